@@ -318,7 +318,7 @@ _tech_from = lambda src: [rolling_ctes(src, "tf"), macd_ctes(src, "mc")]  # noqa
 _tech_join = "tf JOIN mc ON tf.symbol = mc.symbol AND tf.date = mc.date"
 _tech_cols = [f"tf.{c}" if c in BAR else c for c in BAR]
 # Same rounding as the Spark side (see registry.FINE_MEANS).
-FINE_MEANS = {c: 2 for c in ["ma_5", "ma_10", "ma_20", "ma_50", "ma_200", "bb_middle"]}
+FINE_MEANS = {"ma_5": 1, "ma_10": 1, "ma_20": 2, "ma_50": 2, "ma_200": 2, "bb_middle": 2}
 SQL["full_pipeline"] = with_("quotes_dirty", *_clean, _fences("cb"), _iqr, *_tech_from("io"), recursive=True) + sel(
     _tech_join, [(f"tf.{c}", c) for c in BAR[2:]] + ROLLING + MACD_COLS, ["tf.symbol", "tf.date"],
     overrides=FINE_MEANS)
