@@ -579,6 +579,16 @@ SQL["ar_fit"] = with_("bars_nation", _d1) + sel(
     ["symbol", "n_obs", "last_date", "0 AS d"],
     overrides={"phi": 6, "c": 2, "sigma2": -6, "aic": 4, "bic": 4})
 
+# --- 2.10, 2.11 ------------------------------------------------------------------
+SQL["write_bars"] = bars_sql("bars_nation")
+SQL["write_csv"] = bars_sql("bars_nation")
+SQL["write_metrics"] = SQL["regression_metrics"]
+SQL["stream_ingest"] = SQL["validate_bars"]
+SQL["stream_resample"] = bars_sql("bars_event")
+SQL["prepare_for_modeling"] = with_("bars_nation", _mf_cte) + sel(
+    "mf", MODEL_FEATURES + ["target"], ["symbol", "date"],
+    " AND ".join(f"{c} IS NOT NULL" for c in MODEL_FEATURES + ["target"]))
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)

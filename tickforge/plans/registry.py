@@ -623,3 +623,131 @@ def q_select(spark, d):
 
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)
+
+
+# --- 2.10 sinks (write, then read back) ---------------------------------------
+
+import uuid  # noqa: E402
+
+from tickforge.sources import sinks as SK  # noqa: E402
+
+
+def _fresh(spark, name):
+    return scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+@query("write_bars")
+def q_write_bars(spark, d):
+    path = SK.write_bars(nation(spark, d), _fresh(spark, "bars-parquet"))
+    return spark.read.parquet(path).select(*S.BAR_COLS)
+
+
+@query("write_csv")
+def q_write_csv(spark, d):
+    path = SK.write_csv(nation(spark, d), _fresh(spark, "bars-plain-csv"))
+    return spark.read.schema(S.BAR_SCHEMA).option("header", True).csv(path)
+
+
+@query("write_metrics")
+def q_write_metrics(spark, d):
+    path = SK.write_metrics(E.regression_metrics(pairs(spark, d)), _fresh(spark, "metrics-json"))
+    return spark.read.schema("symbol string, n long, rmse double, mae double, mse double, "
+                             "r2 double").json(path)
+
+
+# --- 2.11 streaming ---------------------------------------------------------------
+
+from tickforge.streaming import ingest as ST  # noqa: E402
+
+
+def _land(df: DataFrame, path: str, files: int, order: str) -> str:
+    """Write a table as several files, in order, like batches landing."""
+    df.repartitionByRange(files, order).write.mode("overwrite").parquet(path)
+    return path
+
+
+@query("stream_ingest")
+def q_stream_ingest(spark, d):
+    """Dirty quotes landing as files -> validated keep-last table."""
+    root = _fresh(spark, "stream-ingest")
+    q = dirty(spark, d)
+    src = _land(q, root + "/in", 4, "ingest_seq")
+    return ST.stream_ingest(spark, src, root + "/out", q.schema, name=root.rsplit("/", 1)[-1],
+                            max_files_per_trigger=1)
+
+
+@query("stream_resample")
+def q_stream_resample(spark, d):
+    """Event ticks landing as files -> hourly bars (equals the batch bars)."""
+    root = _fresh(spark, "stream-resample")
+    ev = fx.table(spark, d, "events")
+    src = _land(ev, root + "/in", 4, "ts")
+    return ST.stream_resample(spark, src, root + "/out", ev.schema,
+                              name=root.rsplit("/", 1)[-1], max_files_per_trigger=1)
+
+
+# --- 2.9 models ---------------------------------------------------------------------
+
+from tickforge.operators import ml as ML  # noqa: E402
+
+_MODELS: dict = {}
+
+
+def _gbt(spark, d):
+    key = (id(spark), d)
+    if key not in _MODELS:
+        _MODELS[key] = ML.gbt_train(FE.model_features(nation(spark, d)), max_iter=20)
+    return _MODELS[key]
+
+
+@query("prepare_for_modeling")
+def q_prepare(spark, d):
+    return ML.prepare_for_modeling(FE.model_features(nation(spark, d)))
+
+
+@query("standard_scale")
+def q_standard_scale(spark, d):
+    x = ML.prepare_for_modeling(FE.model_features(nation(spark, d)))
+    sp = FC.temporal_split(x)
+    tr, te = ML.standard_scale(sp.filter("is_train"), sp.filter(~F.col("is_train")))
+    return ML.scaled_array(te.select("symbol", "date", "scaled"))
+
+
+@query("gbt_train")
+def q_gbt_train(spark, d):
+    return _gbt(spark, d)[1]
+
+
+@query("gbt_forecast")
+def q_gbt_forecast(spark, d):
+    return ML.gbt_forecast(_gbt(spark, d)[0], FE.model_features(nation(spark, d)))
+
+
+@query("feature_importance")
+def q_importance(spark, d):
+    return ML.feature_importance(spark, _gbt(spark, d)[0])
+
+
+@query("top_features")
+def q_top_features(spark, d):
+    return ML.feature_importance(spark, _gbt(spark, d)[0]).limit(10)
+
+
+@query("model_save_load")
+def q_model_save_load(spark, d):
+    path = ML.model_save(_gbt(spark, d)[0], _fresh(spark, "gbt-model"))
+    return ML.gbt_forecast(ML.model_load(path), FE.model_features(nation(spark, d)))
+
+
+@query("gbt_metrics")
+def q_gbt_metrics(spark, d):
+    return E.regression_metrics(_gbt(spark, d)[1])
+
+
+@query("end_to_end")
+def q_end_to_end(spark, d):
+    """load -> preprocess -> analyse -> forecast, one row per symbol and step."""
+    n = nation(spark, d)
+    analysis = A.analyze_symbols(n).select("symbol", "latest_price", "total_return_percent",
+                                          "volatility_percent", "rsi_signal")
+    return FC.select_and_forecast(n, 30).join(analysis, "symbol")
