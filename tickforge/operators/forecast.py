@@ -146,7 +146,12 @@ def stationarity(df: DataFrame, key: str = "symbol") -> DataFrame:
                     (t < ADF_CRITICAL_5PCT).alias("is_stationary"))
 
 
-MODELS = {"drift": drift_forecast, "ar": ar_forecast}
+def _seasonal(df, days=30, key="symbol"):
+    from tickforge.operators.seasonal import seasonal_trend_forecast
+    return seasonal_trend_forecast(df, days, key)
+
+
+MODELS = {"drift": drift_forecast, "ar": ar_forecast, "seasonal_trend": _seasonal}
 
 
 def evaluate_models(df: DataFrame, models=("drift", "ar"), key: str = "symbol"

@@ -751,3 +751,9 @@ def q_end_to_end(spark, d):
     analysis = A.analyze_symbols(n).select("symbol", "latest_price", "total_return_percent",
                                           "volatility_percent", "rsi_signal")
     return FC.select_and_forecast(n, 30).join(analysis, "symbol")
+
+
+@query("seasonal_trend_forecast")
+def q_seasonal(spark, d):
+    from tickforge.operators.seasonal import seasonal_trend_forecast
+    return seasonal_trend_forecast(nation(spark, d), 30)
