@@ -47,5 +47,5 @@ def sql_round(expr: str, name: str, overrides: dict | None = None) -> str:
     """DuckDB rounding with Spark's semantics: HALF_UP on the shortest decimal
     text of the double (DuckDB's own round works on the binary value)."""
     d = (overrides or {}).get(name, decimals_for(name))
-    dec = f"CAST(CAST(CAST({expr} AS DOUBLE) AS VARCHAR) AS DECIMAL(38, 12))"
+    dec = f"CAST(CAST(CAST({expr} AS DOUBLE) AS VARCHAR) AS DECIMAL(38, 18))"
     return f"(CAST(round({dec}, {d}) AS DOUBLE) + 0.0) AS {name}"
