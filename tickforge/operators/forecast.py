@@ -16,9 +16,22 @@ from tickforge.operators.evaluate import best_model, regression_metrics
 Z95 = 1.959963984540054
 
 
-def forecast_spine(last: DataFrame, days: int) -> DataFrame:
-    """Next ``days`` calendar days after each symbol's ``last_date``."""
-    x = last.select("*", F.explode(F.sequence(F.lit(1), F.lit(days))).alias("forecast_step"))
+def _days(days) -> F.Column:
+    """An int horizon, or the name of a per-symbol horizon column."""
+    return F.col(days) if isinstance(days, str) else F.lit(days)
+
+
+def with_horizon(fit: DataFrame, horizon: DataFrame | None, key: str) -> DataFrame:
+    """Attach a per-symbol ``_days`` column (symbols without one are dropped)."""
+    if horizon is None:
+        return fit
+    return fit.join(horizon.select(key, F.col("days").alias("_days")), key)
+
+
+def forecast_spine(last: DataFrame, days) -> DataFrame:
+    """Next ``days`` calendar days after each symbol's ``last_date``; ``days``
+    is an int or the name of a per-symbol column."""
+    x = last.select("*", F.explode(F.sequence(F.lit(1), _days(days))).alias("forecast_step"))
     return x.withColumn("date", F.date_add(F.col("last_date"), F.col("forecast_step"))
                         .cast("timestamp_ntz")) \
             .withColumn("date_text", F.date_format("date", "yyyy-MM-dd"))
@@ -60,10 +73,11 @@ def drift_fit(df: DataFrame, key: str = "symbol") -> DataFrame:
         "drift", F.try_divide(F.col("last_close") - F.col("first_close"), F.col("n") - 1))
 
 
-def drift_forecast(df: DataFrame, days: int = 30, key: str = "symbol") -> DataFrame:
+def drift_forecast(df: DataFrame, days: int = 30, key: str = "symbol",
+                   horizon: DataFrame | None = None) -> DataFrame:
     """last + h * drift, with a 95 % interval of sigma * sqrt(h)."""
-    fit = drift_fit(df, key)
-    sp = forecast_spine(fit, days)
+    fit = with_horizon(drift_fit(df, key), horizon, key)
+    sp = forecast_spine(fit, "_days" if horizon is not None else days)
     h = F.col("forecast_step")
     pred = F.col("last_close") + h * F.col("drift")
     half = F.lit(Z95) * F.col("sigma") * F.sqrt(h)
@@ -95,11 +109,11 @@ def ar_fit(df: DataFrame, d: int = 1, key: str = "symbol") -> DataFrame:
                       (n * F.ln(F.try_divide(ssr, n)) + k * F.ln(n)).alias("bic"))
 
 
-def ar_forecast(df: DataFrame, days: int = 30, d: int = 1, key: str = "symbol"
-                ) -> DataFrame:
+def ar_forecast(df: DataFrame, days: int = 30, d: int = 1, key: str = "symbol",
+                horizon: DataFrame | None = None) -> DataFrame:
     """Recursive h-step forecast with a 95 % interval from psi weights."""
-    fit = ar_fit(df, d, key)
-    steps = F.sequence(F.lit(1), F.lit(days))
+    fit = with_horizon(ar_fit(df, d, key), horizon, key)
+    steps = F.sequence(F.lit(1), _days("_days" if horizon is not None else days))
     # state: (z, level, psi_j, sum_psi, var_factor) per step
     init = F.struct(F.col("last_z").alias("z"), F.col("last_close").alias("y"),
                     F.lit(1.0).alias("psi"), F.lit(0.0).alias("cum"), F.lit(0.0).alias("v"),
@@ -146,9 +160,9 @@ def stationarity(df: DataFrame, key: str = "symbol") -> DataFrame:
                     (t < ADF_CRITICAL_5PCT).alias("is_stationary"))
 
 
-def _seasonal(df, days=30, key="symbol"):
+def _seasonal(df, days=30, key="symbol", horizon=None):
     from tickforge.operators.seasonal import seasonal_trend_forecast
-    return seasonal_trend_forecast(df, days, key)
+    return seasonal_trend_forecast(df, days, key, horizon=horizon)
 
 
 MODELS = {"drift": drift_forecast, "ar": ar_forecast, "seasonal_trend": _seasonal}
@@ -165,11 +179,10 @@ def evaluate_models(df: DataFrame, models=("drift", "ar"), key: str = "symbol"
     test = seq.with_position(sp.filter(~F.col("is_train")).drop("is_train"), key, "date")
     test = test.select(key, "date", F.col("close").alias("actual"),
                        (F.col(seq.RN) + 1).cast("int").alias("forecast_step"))
-    horizon = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
-    days = max(1, int(horizon or 1) - int((horizon or 1) * S.TRAIN_FRACTION))
+    horizon = test.groupBy(key).agg(F.max("forecast_step").alias("days"))
     out = []
     for m in models:
-        f = MODELS[m](train, days=days, key=key)
+        f = MODELS[m](train, key=key, horizon=horizon)
         pairs = test.join(f.select(key, "forecast_step", "predicted_value"),
                           [key, "forecast_step"]).withColumnRenamed("predicted_value",
                                                                      "predicted")

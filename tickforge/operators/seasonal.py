@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tickforge.operators.forecast import Z95, forecast_spine
+from tickforge.operators.forecast import Z95, forecast_spine, with_horizon
 
 N_CHANGEPOINTS = 10
 CHANGEPOINT_RANGE = 0.8
@@ -48,7 +48,8 @@ def _design(df: DataFrame, span: DataFrame, key: str, cps: int, weekly: int, yea
 
 def seasonal_trend_forecast(df: DataFrame, days: int = 30, key: str = "symbol",
                             cps: int = N_CHANGEPOINTS, weekly: int = WEEKLY_ORDER,
-                            yearly: int = YEARLY_ORDER, ridge: float = RIDGE) -> DataFrame:
+                            yearly: int = YEARLY_ORDER, ridge: float = RIDGE,
+                            horizon: DataFrame | None = None) -> DataFrame:
     span = df.groupBy(key).agg(F.min("date").alias("_t0"), F.max("date").alias("last_date"),
                                (F.unix_timestamp(F.max("date").cast("timestamp"))
                                 - F.unix_timestamp(F.min("date").cast("timestamp")))
@@ -81,7 +82,8 @@ def seasonal_trend_forecast(df: DataFrame, days: int = 30, key: str = "symbol",
 
     # one moment row per symbol: the groups handed to Python are bounded by p*p
     coef = mom.groupBy(key).applyInPandas(solve, coef_type)
-    sp = forecast_spine(span.join(coef, key), days)
+    fit = with_horizon(span.join(coef, key), horizon, key)
+    sp = forecast_spine(fit, "_days" if horizon is not None else days)
     fut, _ = _design(sp.select(key, "forecast_step", "date", "coef", "sigma"), span, key,
                      cps, weekly, yearly)
     yhat = sum((F.col("coef")[i] * F.col(f"_b{i}") for i in range(p)), F.lit(0.0))
