@@ -140,14 +140,21 @@ def trend_signals(features: DataFrame, key: str = "symbol") -> DataFrame:
 
 
 def analyze_symbols(bars: DataFrame, preprocess: bool = True, key: str = "symbol",
-                    chunk_rows: int = seq.DEFAULT_CHUNK_ROWS) -> DataFrame:
-    """One analysis row per symbol, for all symbols in one job."""
+                    chunk_rows: int = seq.DEFAULT_CHUNK_ROWS, materialize: bool = True
+                    ) -> DataFrame:
+    """One analysis row per symbol, for all symbols in one job.
+
+    With ``materialize`` the per-bar features are checkpointed before the
+    per-symbol summary (which reads them three times)."""
     from tickforge.operators.clean import full_pipeline
     from tickforge.operators.features import rolling_indicators
+    from tickforge.session import cut_lineage
     if preprocess:
-        f = full_pipeline(bars, key=key, chunk_rows=chunk_rows)
+        f = full_pipeline(bars, key=key, chunk_rows=chunk_rows, materialize=materialize)
     else:
-        f = rolling_indicators(bars, key, chunk_rows).drop(seq.RN, seq.CK)
+        f = rolling_indicators(bars, key, chunk_rows)
+    if materialize:
+        f = cut_lineage(f)
     f = f.select(key, "date", "open", "high", "low", "close", "volume", "daily_return",
                  "ma_20", "ma_50", "rsi", "macd", "macd_signal", "macd_histogram",
                  "bb_position") if preprocess else f.select(
@@ -201,8 +208,9 @@ def pipeline_audit(raw: DataFrame, key: str = "symbol",
     """Per symbol and step: (symbol, step, metric, value) of the full pipeline."""
     from tickforge.operators.clean import clean_bars, outlier_counts, outliers_iqr
     from tickforge.operators.features import TECHNICAL_COLUMNS, technical_features
+    from tickforge.session import cut_lineage
     value_cols = [c for c in raw.columns if c not in (key,)]
-    clean = clean_bars(raw, key, chunk_rows=chunk_rows)
+    clean = cut_lineage(clean_bars(raw, key, chunk_rows=chunk_rows))
     price_cols = [c for c in S.BAR_COLS if c != key]
 
     def nulls(df, cols):
@@ -221,8 +229,8 @@ def pipeline_audit(raw: DataFrame, key: str = "symbol",
         "remaining_nulls",
         (F.col("rows") - F.coalesce(F.col("remaining_rows"), F.lit(0.0))).alias("removed_rows"))
     s3 = outlier_counts(clean, key=key)
-    cleaned = outliers_iqr(clean, key=key)
-    feats = technical_features(cleaned, key, chunk_rows)
+    cleaned = cut_lineage(outliers_iqr(clean, key=key))
+    feats = cut_lineage(technical_features(cleaned, key, chunk_rows))
     s4 = feats.groupBy(key).agg(
         F.count(F.lit(1)).cast("double").alias("feature_rows"),
         nulls(feats, [*price_cols, *TECHNICAL_COLUMNS]).cast("double").alias("final_nulls"),

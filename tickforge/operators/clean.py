@@ -146,12 +146,14 @@ def fill_prices(df: DataFrame, key: str = "symbol", columns=S.PRICE_COLS,
     """
     base = list(df.columns)
     s = seq.chunked(df, key, "date", chunk_rows=chunk_rows)
-    w = seq.window(key)
-    before = w.rowsBetween(Window.unboundedPreceding, 0)
-    after = w.rowsBetween(0, Window.unboundedFollowing)
+    # Both fills are running frames (O(n)); the backward one runs over the
+    # reversed order. A (current, unboundedFollowing) frame would be O(n^2).
+    before = seq.window(key).rowsBetween(Window.unboundedPreceding, 0)
+    rev = Window.partitionBy(key, seq.CK).orderBy(F.col(seq.RN).desc()).rowsBetween(
+        Window.unboundedPreceding, 0)
     x = s.select("*", *[F.last(c, ignorenulls=True).over(before).alias(f"_ff_{c}")
                         for c in columns],
-                 *[F.first(c, ignorenulls=True).over(after).alias(f"_bf_{c}")
+                 *[F.last(c, ignorenulls=True).over(rev).alias(f"_bf_{c}")
                    for c in columns])
     summ = s.groupBy(key, seq.CK).agg(
         *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(seq.RN))).alias(f"_l_{c}")
@@ -164,8 +166,9 @@ def fill_prices(df: DataFrame, key: str = "symbol", columns=S.PRICE_COLS,
         *[F.last(f"_l_{c}", ignorenulls=True).over(
             wc.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_pl_{c}")
           for c in columns],
-        *[F.first(f"_f_{c}", ignorenulls=True).over(
-            wc.rowsBetween(1, Window.unboundedFollowing)).alias(f"_nf_{c}")
+        *[F.last(f"_f_{c}", ignorenulls=True).over(
+            Window.partitionBy(key).orderBy(F.col(seq.CK).desc()).rowsBetween(
+                Window.unboundedPreceding, -1)).alias(f"_nf_{c}")
           for c in columns])
     x = x.join(summ, [key, seq.CK], "left")
     filled = {c: F.coalesce(F.col(f"_ff_{c}"), F.col(f"_pl_{c}"),
@@ -294,13 +297,18 @@ def outlier_counts(df: DataFrame, columns=S.PRICE_COLS, key: str = "symbol",
 
 
 def full_pipeline(df: DataFrame, add_features: bool = True, handle_outliers: bool = True,
-                  key: str = "symbol", chunk_rows: int = seq.DEFAULT_CHUNK_ROWS
-                  ) -> DataFrame:
-    """clean -> IQR outliers -> technical features, each step optional."""
+                  key: str = "symbol", chunk_rows: int = seq.DEFAULT_CHUNK_ROWS,
+                  materialize: bool = True) -> DataFrame:
+    """clean -> IQR outliers -> technical features, each step optional.
+
+    With ``materialize`` the cleaned bars are checkpointed (shared folder)
+    before the next stage, so each stage plans and runs on a leaf input.
+    """
     from tickforge.operators.features import technical_features
+    from tickforge.session import cut_lineage
     x = clean_bars(df, key, chunk_rows=chunk_rows)
     if handle_outliers:
-        x = outliers_iqr(x, key=key)
+        x = outliers_iqr(cut_lineage(x) if materialize else x, key=key)
     if add_features:
-        x = technical_features(x, key, chunk_rows)
+        x = technical_features(cut_lineage(x) if materialize else x, key, chunk_rows)
     return x

@@ -62,16 +62,9 @@ def rsi_expr(close: str, w, period: int = S.RSI_PERIOD):
     return F.when(full & F.col(close).isNotNull(), value)
 
 
-def rolling_indicators(df: DataFrame, key: str = "symbol",
-                       chunk_rows: int = seq.DEFAULT_CHUNK_ROWS, extra_back: int = 0,
-                       keep_halo: bool = False) -> DataFrame:
-    """Returns, SMAs, Bollinger, RSI, volatility, volume, momentum, ranges.
-
-    With ``keep_halo`` the chunked frame (``_rn``/``_ck``/``_halo``) is kept
-    for a following EMA pass over the same partitioning.
-    """
-    back = max(max(S.MA_WINDOWS) - 1, extra_back)
-    s = seq.chunked(df, key, "date", back=back, chunk_rows=chunk_rows)
+def add_rolling(s: DataFrame, key: str = "symbol") -> DataFrame:
+    """Returns, SMAs, Bollinger, RSI, volatility, volume, momentum, ranges on a
+    chunked frame (``sequence.chunked`` with at least 199 halo rows)."""
     w = seq.window(key)
     level1 = [daily_return("close", w).alias("daily_return"),
               log_return("close", w).alias("log_return")]
@@ -98,8 +91,14 @@ def rolling_indicators(df: DataFrame, key: str = "symbol",
                safe_div("volume", "volume_ma_20").alias("volume_ratio"),
                safe_div(F.col("high") - F.col("low"), F.col("close")).alias("hl_ratio"),
                safe_div(F.col("close") - F.col("open"), F.col("open")).alias("oc_ratio")]
-    x = x.select("*", *level2).drop("_bb_std")
-    return x if keep_halo else seq.drop_halo(x)
+    return x.select("*", *level2).drop("_bb_std")
+
+
+def rolling_indicators(df: DataFrame, key: str = "symbol",
+                       chunk_rows: int = seq.DEFAULT_CHUNK_ROWS) -> DataFrame:
+    """Returns, SMAs, Bollinger, RSI, volatility, volume, momentum, ranges."""
+    s = seq.chunked(df, key, "date", back=max(S.MA_WINDOWS) - 1, chunk_rows=chunk_rows)
+    return seq.drop_halo(add_rolling(s, key))
 
 
 MACD_HALO = ewm_halo(max(S.EMA_SPANS), S.MACD_SIGNAL_SPAN)
@@ -119,9 +118,11 @@ def technical_features(df: DataFrame, key: str = "symbol",
                        chunk_rows: int = seq.DEFAULT_CHUNK_ROWS) -> DataFrame:
     """All 35 indicators of the reference feature set, one partitioning."""
     base = list(df.columns)
-    x = rolling_indicators(df, key, chunk_rows, extra_back=MACD_HALO, keep_halo=True)
-    x = seq.drop_halo(add_macd(x, key, "close"))
-    return x.select(*base, *TECHNICAL_COLUMNS)
+    s = seq.chunked(df, key, "date", back=max(MACD_HALO, max(S.MA_WINDOWS) - 1),
+                    chunk_rows=chunk_rows)
+    # EMAs first, while rows are narrow: their range frames buffer whole rows.
+    x = add_rolling(add_macd(s, key, "close"), key)
+    return seq.drop_halo(x).select(*base, *TECHNICAL_COLUMNS)
 
 
 def macd(df: DataFrame, key: str = "symbol",

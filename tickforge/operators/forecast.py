@@ -174,7 +174,8 @@ def evaluate_models(df: DataFrame, models=("drift", "ar"), key: str = "symbol"
 
     Pairs are joined on (symbol, forecast_step) = position after the split.
     """
-    sp = temporal_split(df, key=key)
+    from tickforge.session import cut_lineage
+    sp = cut_lineage(temporal_split(df, key=key))
     train = sp.filter("is_train").drop("is_train")
     test = seq.with_position(sp.filter(~F.col("is_train")).drop("is_train"), key, "date")
     test = test.select(key, "date", F.col("close").alias("actual"),

@@ -68,9 +68,17 @@ def chunked(df: DataFrame, key: str = "symbol", order: str = "date", back: int =
         copies.append(F.when((pos < fwd) & (ck > 0),
                              F.struct((ck - 1).alias(CK), F.lit(True).alias(HALO))))
     if len(copies) == 1:
-        return s.withColumn(CK, ck).withColumn(HALO, F.lit(False))
-    arr = F.filter(F.array(*copies), lambda c: c.isNotNull())
-    return s.select("*", F.inline(arr))
+        out = s.withColumn(CK, ck).withColumn(HALO, F.lit(False))
+    else:
+        arr = F.filter(F.array(*copies), lambda c: c.isNotNull())
+        out = s.select("*", F.inline(arr))
+    # The window stages after this exchange are CPU-heavy; an explicit
+    # partition count keeps AQE from coalescing a small input into one task.
+    return out.repartition(_partitions(df), key, CK)
+
+
+def _partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def window(key: str = "symbol") -> Window:

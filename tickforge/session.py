@@ -21,6 +21,7 @@ RECOMMENDED_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -58,7 +59,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def cut_lineage(df, eager: bool = True):
     """Truncate a long plan with a reliable checkpoint in the shared folder.
 
-    ``localCheckpoint`` is never used: its blocks die with the executor.
+    Composite operators call this between stages: every "aggregate, then join
+    back" step embeds a second copy of its input plan, so deep pipelines grow
+    (and recompute) exponentially without a cut. ``localCheckpoint`` is never
+    used: its blocks die with the executor.
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
