@@ -29,7 +29,8 @@ def test_every_query_has_oracle_or_is_model():
     assert rows_only <= {"ar_forecast", "best_model", "pipeline_audit", "random_split",
                          "select_and_forecast", "standard_scale", "gbt_train", "gbt_forecast",
                          "feature_importance", "top_features", "model_save_load", "gbt_metrics",
-                         "end_to_end", "seasonal_trend_forecast"}
+                         "end_to_end", "seasonal_trend_forecast", "ar_order_select",
+                         "arp_forecast", "select_and_forecast_all"}
 
 
 def test_entry(spark):

@@ -165,7 +165,14 @@ def _seasonal(df, days=30, key="symbol", horizon=None):
     return seasonal_trend_forecast(df, days, key, horizon=horizon)
 
 
-MODELS = {"drift": drift_forecast, "ar": ar_forecast, "seasonal_trend": _seasonal}
+def _arp(df, days=30, key="symbol", horizon=None):
+    from tickforge.operators.arima import arp_forecast
+    return arp_forecast(df, days, key=key, horizon=horizon).withColumn(
+        "model_used", F.lit("arp"))
+
+
+MODELS = {"drift": drift_forecast, "ar": ar_forecast, "seasonal_trend": _seasonal,
+          "arp": _arp}
 
 
 def evaluate_models(df: DataFrame, models=("drift", "ar"), key: str = "symbol"
@@ -201,3 +208,13 @@ def select_and_forecast(df: DataFrame, days: int = 30, models=("drift", "ar"),
                                                 for m in models])
     return fc.join(best.select(key, F.col("best_model").alias("model_used")),
                    [key, "model_used"], "left_semi")
+
+
+def save_params(params: DataFrame, path: str) -> str:
+    """Persist fitted per-symbol model parameters as a Parquet table."""
+    params.write.mode("overwrite").parquet(path)
+    return path
+
+
+def load_params(spark, path: str) -> DataFrame:
+    return spark.read.parquet(path)

@@ -589,6 +589,8 @@ SQL["prepare_for_modeling"] = with_("bars_nation", _mf_cte) + sel(
     "mf", MODEL_FEATURES + ["target"], ["symbol", "date"],
     " AND ".join(f"{c} IS NOT NULL" for c in MODEL_FEATURES + ["target"]))
 
+SQL["model_params_save_load"] = SQL["ar_fit"]
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)

@@ -757,3 +757,30 @@ def q_end_to_end(spark, d):
 def q_seasonal(spark, d):
     from tickforge.operators.seasonal import seasonal_trend_forecast
     return seasonal_trend_forecast(nation(spark, d), 30)
+
+
+@query("model_params_save_load", {"phi": 6, "c": 2, "sigma2": -6, "aic": 4, "bic": 4})
+def q_params_save_load(spark, d):
+    """AR parameters written as a Parquet table and read back."""
+    path = FC.save_params(FC.ar_fit(nation(spark, d), d=0), _fresh(spark, "ar-params"))
+    return FC.load_params(spark, path)
+
+
+@query("ar_order_select")
+def q_ar_select(spark, d):
+    from tickforge.operators.arima import ar_select
+    return ar_select(nation(spark, d), 5, d=1).withColumn("phi", F.to_json("phi")) \
+        .withColumn("last_z", F.to_json("last_z"))
+
+
+@query("arp_forecast")
+def q_arp(spark, d):
+    from tickforge.operators.arima import arp_forecast
+    return arp_forecast(nation(spark, d), 30, d=1)
+
+
+@query("select_and_forecast_all")
+def q_select_all(spark, d):
+    """Best of drift, ARI(1,1), AIC-selected ARI(p,1) and seasonal-trend per symbol."""
+    return FC.select_and_forecast(nation(spark, d), 30,
+                                  models=("drift", "ar", "arp", "seasonal_trend"))
