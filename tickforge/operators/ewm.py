@@ -60,27 +60,37 @@ def ewm_columns(df: DataFrame, specs: list[tuple[str, float, str]], key: str = "
     ``ewm_halo(span)`` halo rows; values on halo rows are not exact. Inputs
     must be non-null (fill first).
     """
-    x = df.withColumn("_sc", F.floor(F.col(RN) / SUB).cast("long")) \
-          .withColumn("_k", (F.col(RN) % SUB).cast("int"))
+    x = df.select("*", F.floor(F.col(RN) / SUB).cast("long").alias("_sc"),
+                  (F.col(RN) % SUB).cast("int").alias("_k"))
     w_sc = Window.partitionBy(key, CK, "_sc").orderBy(RN)
     w_run = w_sc.rowsBetween(Window.unboundedPreceding, 0)
     w_all = w_sc.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    w_prev = lambda k: Window.partitionBy(key, CK).orderBy("_sc").rangeBetween(-k, -1)
-    is_end = F.col(RN) == F.max(RN).over(w_all)
-    x = x.withColumn("_n", F.count(F.lit(1)).over(w_all)).withColumn("_end", is_end)
-    outs = {}
+
+    def w_prev(k):
+        return Window.partitionBy(key, CK).orderBy("_sc").rangeBetween(-k, -1)
+
+    # layer 2: sub-chunk size, end flag and the local scans of every span
+    layer2 = [F.count(F.lit(1)).over(w_all).alias("_n"),
+              (F.col(RN) == F.max(RN).over(w_all)).alias("_end")]
+    scans = []
     for i, (c, span, out) in enumerate(specs):
         a, r = smoothing(span)
         if r <= 0.0:
-            outs[out] = F.col(c).cast("double")
             continue
         contrib = F.when(F.col(RN) == 0, F.col(c)).otherwise(F.lit(a) * F.col(c))
-        loc = F.pow(F.lit(r), F.col("_k")) * F.sum(
-            contrib * F.pow(F.lit(r), -F.col("_k"))).over(w_run)
-        x = x.withColumn(f"_loc{i}", loc)
+        layer2.append((F.pow(F.lit(r), F.col("_k")) * F.sum(
+            contrib * F.pow(F.lit(r), -F.col("_k"))).over(w_run)).alias(f"_loc{i}"))
+        scans.append((i, span, out, r))
+    x = x.select("*", *layer2)
+    # layer 3: carry from the previous sub-chunks' ends, folded
+    outs = {}
+    for c, span, out in specs:
+        if smoothing(span)[1] <= 0.0:
+            outs[out] = F.col(c).cast("double")
+    for i, span, out, r in scans:
         ends = F.collect_list(F.when(F.col("_end"), F.struct(
             F.col("_n").alias("n"), F.col(f"_loc{i}").alias("e")))).over(w_prev(reach(span)))
         carry = F.aggregate(ends, F.lit(0.0), _fold(r))
         outs[out] = F.col(f"_loc{i}") + F.pow(F.lit(r), F.col("_k") + 1) * carry
-    x = x.withColumns(outs)
-    return x.select(*df.columns, *[o for o in outs if o not in df.columns])
+    keep = [c for c in df.columns if c not in outs]
+    return x.select(*keep, *[v.alias(k) for k, v in outs.items()])

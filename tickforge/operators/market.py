@@ -16,8 +16,9 @@ def sector_dimension(spark: SparkSession, sets: dict | None = None) -> DataFrame
 
 
 def sector_join(df: DataFrame, sectors: DataFrame, how: str = "inner") -> DataFrame:
-    """Attach the sector; the dimension is one row per symbol and broadcast."""
-    return df.join(F.broadcast(sectors.select("symbol", "sector")), "symbol", how)
+    """Attach the sector. The dimension has one row per symbol but no proven
+    bound, so the broadcast decision is left to AQE's runtime size check."""
+    return df.join(sectors.select("symbol", "sector"), "symbol", how)
 
 
 def industry_join(df: DataFrame, dim: DataFrame, aliases: dict | None = None) -> DataFrame:
@@ -27,7 +28,7 @@ def industry_join(df: DataFrame, dim: DataFrame, aliases: dict | None = None) ->
     for old, new in aliases.items():
         sym = F.when(sym == old, F.lit(new)).otherwise(sym)
     d = dim.withColumn("symbol", sym)
-    return df.join(F.broadcast(d), "symbol", "left")
+    return df.join(d, "symbol", "left")  # AQE broadcasts it when small
 
 
 def predicted_change(forecast: DataFrame, bars: DataFrame) -> DataFrame:

@@ -104,6 +104,7 @@ def source_health(sources: list[tuple[str, DataFrame]], spark: SparkSession) ->
                             for n, d in sources]).groupBy("source").agg(
         F.count(F.lit(1)).alias("records"),
         F.max_by("close", F.struct("date", "symbol")).alias("last_price"))
+    # one row per source in the given list: bounded by len(sources)
     x = names.join(F.broadcast(stats), "source", "left").select(
         "source", "source_rank", F.coalesce("records", F.lit(0)).alias("records"),
         "last_price")
