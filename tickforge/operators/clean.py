@@ -176,12 +176,30 @@ def fill_prices(df: DataFrame, key: str = "symbol", columns=S.PRICE_COLS,
     return x.withColumns(filled).select(*base)
 
 
-def fill_volume_median(df: DataFrame, key: str = "symbol", approx: bool = False
+def group_quantiles(df: DataFrame, value: str, probs: list[float], keys, method: str
+                    ) -> DataFrame:
+    """Per-group quantiles as columns q0, q1, ...
+
+    ``exact``: distributed histogram refinement (no group gathered in a task);
+    ``buffer``: Spark's exact ``percentile`` (merges a value->count map per
+    group in one task); ``approx``: ``percentile_approx``.
+    """
+    from tickforge.operators.quantiles import exact_quantiles
+    keys = list(keys)
+    if method == "exact":
+        return exact_quantiles(df, value, probs, keys)
+    fn = (F.percentile_approx(value, probs, 100000) if method == "approx"
+          else F.percentile(value, probs))
+    g = df.groupBy(*keys).agg(fn.alias("_q"))
+    return g.select(*keys, *[F.col("_q")[i].cast("double").alias(f"q{i}")
+                             for i in range(len(probs))])
+
+
+def fill_volume_median(df: DataFrame, key: str = "symbol", method: str = "exact"
                        ) -> DataFrame:
-    """Null volume -> the symbol's median volume (exact unless ``approx``)."""
-    med = (F.percentile_approx("volume", 0.5, 100000) if approx
-           else F.percentile("volume", 0.5))
-    meds = df.groupBy(key).agg(med.cast("double").alias("_med"))
+    """Null volume -> the symbol's median volume."""
+    meds = group_quantiles(df, "volume", [0.5], [key], method).select(
+        key, F.col("q0").alias("_med"))
     return (df.join(meds, key, "left")
             .withColumn("volume", F.coalesce(F.col("volume"), F.col("_med")))
             .select(*df.columns))
@@ -244,16 +262,19 @@ def validate_bars(df: DataFrame, order: str = "ingest_seq") -> DataFrame:
 # --- outliers ----------------------------------------------------------------
 
 def iqr_fences(df: DataFrame, columns=S.PRICE_COLS, key: str = "symbol",
-               k: float = S.OUTLIER_IQR_K) -> DataFrame:
-    aggs = []
-    for c in columns:
-        aggs.append(F.percentile(c, [0.25, 0.75]).alias(f"_q_{c}"))
-    f = df.groupBy(key).agg(*aggs)
-    out = [key]
-    for c in columns:
-        q1, q3 = F.col(f"_q_{c}")[0], F.col(f"_q_{c}")[1]
-        out += [(q1 - k * (q3 - q1)).alias(f"lo_{c}"), (q3 + k * (q3 - q1)).alias(f"hi_{c}")]
-    return f.select(*out)
+               k: float = S.OUTLIER_IQR_K, method: str = "exact") -> DataFrame:
+    """Per symbol and column: Q1 - k*IQR and Q3 + k*IQR, all columns in one
+    long (symbol, column, value) pass."""
+    long = df.select(key, F.explode(F.array(*[
+        F.struct(F.lit(c).alias("_col"), F.col(c).cast("double").alias("_val"))
+        for c in columns])).alias("_e")).select(key, "_e._col", "_e._val")
+    q = group_quantiles(long, "_val", [0.25, 0.75], [key, "_col"], method)
+    q = q.select(key, "_col", (F.col("q0") - k * (F.col("q1") - F.col("q0"))).alias("_lo"),
+                 (F.col("q1") + k * (F.col("q1") - F.col("q0"))).alias("_hi"))
+    f = q.groupBy(key).pivot("_col", list(columns)).agg(F.first("_lo").alias("lo"),
+                                                         F.first("_hi").alias("hi"))
+    return f.select(key, *[x for c in columns for x in (F.col(f"{c}_lo").alias(f"lo_{c}"),
+                                                        F.col(f"{c}_hi").alias(f"hi_{c}"))])
 
 
 def _clip(c: str, lo: F.Column, hi: F.Column) -> F.Column:
@@ -262,9 +283,9 @@ def _clip(c: str, lo: F.Column, hi: F.Column) -> F.Column:
 
 
 def outliers_iqr(df: DataFrame, columns=S.PRICE_COLS, key: str = "symbol",
-                 k: float = S.OUTLIER_IQR_K) -> DataFrame:
+                 k: float = S.OUTLIER_IQR_K, method: str = "exact") -> DataFrame:
     """Clip each column to [Q1 - k*IQR, Q3 + k*IQR] of its symbol."""
-    fences = iqr_fences(df, columns, key, k)
+    fences = iqr_fences(df, columns, key, k, method)
     x = df.join(fences, key, "left")
     return x.withColumns({c: _clip(c, F.col(f"lo_{c}"), F.col(f"hi_{c}"))
                           for c in columns}).select(*df.columns)
@@ -285,9 +306,9 @@ def outliers_zscore(df: DataFrame, columns=S.PRICE_COLS, key: str = "symbol",
 
 
 def outlier_counts(df: DataFrame, columns=S.PRICE_COLS, key: str = "symbol",
-                   k: float = S.OUTLIER_IQR_K) -> DataFrame:
+                   k: float = S.OUTLIER_IQR_K, method: str = "exact") -> DataFrame:
     """Outliers per price column (before clipping) and their total, per symbol."""
-    fences = iqr_fences(df, columns, key, k)
+    fences = iqr_fences(df, columns, key, k, method)
     x = df.join(fences, key, "left")
     counts = [F.count_if((F.col(c) < F.col(f"lo_{c}")) | (F.col(c) > F.col(f"hi_{c}")))
               .alias(f"outliers_{c}") for c in columns]

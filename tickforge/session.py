@@ -64,8 +64,15 @@ def cut_lineage(df, eager: bool = True):
     (and recompute) exponentially without a cut. ``localCheckpoint`` is never
     used: its blocks die with the executor.
     """
+    from pyspark import StorageLevel
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+    # Without a persisted copy Spark computes the plan twice: once for the
+    # eager count and again while writing the checkpoint files.
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cached.checkpoint(eager=eager)
+    if eager:
+        cached.unpersist(blocking=False)
+    return out
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
