@@ -196,8 +196,8 @@ def freshness(df: DataFrame, as_of, key: str = "symbol", fresh_days: int = S.FRE
         else as_of
     x = df.groupBy(key).agg(F.max("date").alias("last_date"),
                             F.count(F.lit(1)).alias("record_count"))
-    secs = (F.unix_timestamp(as_of_col.cast("timestamp"))
-            - F.unix_timestamp(F.col("last_date").cast("timestamp")))
+    # elapsed seconds on the wall-clock values: independent of the session zone
+    secs = F.timestamp_diff("SECOND", F.col("last_date"), as_of_col)
     days = F.floor(secs / 86400).cast("long")
     return x.select(key, "last_date", "record_count", days.alias("days_old"),
                     (days <= fresh_days).alias("is_fresh"))

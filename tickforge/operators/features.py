@@ -116,7 +116,7 @@ def add_macd(df: DataFrame, key: str = "symbol", price: str = "close") -> DataFr
 
 def technical_features(df: DataFrame, key: str = "symbol",
                        chunk_rows: int = seq.DEFAULT_CHUNK_ROWS) -> DataFrame:
-    """All 35 indicators of the reference feature set, one partitioning."""
+    """All 35 technical indicators, one partitioning."""
     base = list(df.columns)
     s = seq.chunked(df, key, "date", back=max(MACD_HALO, max(S.MA_WINDOWS) - 1),
                     chunk_rows=chunk_rows)

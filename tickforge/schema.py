@@ -29,7 +29,7 @@ FORECAST_SCHEMA = T.StructType([
     T.StructField("model_used", T.StringType()),
 ])
 
-# --- fixed values (must equal the reference for identical behaviour) -------
+# --- fixed values (kept as given for identical behaviour) ----------------
 # Column synonyms, first match wins, in this order.
 SYNONYMS = {
     "date": ["date", "datetime", "timestamp", "time"],
