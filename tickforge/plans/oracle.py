@@ -591,6 +591,23 @@ SQL["prepare_for_modeling"] = with_("bars_nation", _mf_cte) + sel(
 
 SQL["model_params_save_load"] = SQL["ar_fit"]
 
+# ARI(1,1) forecast by closed forms (the Spark side recurses step by step):
+# z_h = c(1 - phi^h)/(1 - phi) + phi^h z_T, y_h = y_T + sum z, var ~ sum cum_j^2.
+SQL["ar_forecast"] = with_("bars_nation", _d1, f"""afit AS (SELECT symbol, regr_slope(d, d1) AS phi,
+  regr_intercept(d, d1) AS c,
+  (regr_syy(d, d1) - regr_sxy(d, d1) * regr_sxy(d, d1) / NULLIF(regr_sxx(d, d1), 0))
+    / NULLIF(regr_count(d, d1) - 2, 0) AS sigma2,
+  arg_max(close, date) AS last_close, arg_max(d, date) AS last_z, max(date) AS last_date
+  FROM dd1 GROUP BY symbol)""", """ast AS (SELECT symbol, h, last_date, sigma2, last_close,
+  c * (1 - pow(phi, h)) / (1 - phi) + pow(phi, h) * last_z AS z,
+  (1 - pow(phi, h)) / (1 - phi) AS cum FROM afit, range(1, 31) t(h))""", """aacc AS (SELECT symbol, h, last_date,
+  last_close + sum(z) OVER (PARTITION BY symbol ORDER BY h ROWS UNBOUNDED PRECEDING) AS y,
+  sigma2 * sum(cum * cum) OVER (PARTITION BY symbol ORDER BY h ROWS UNBOUNDED PRECEDING) AS var FROM ast)""") + sel(
+    "aacc", [("y", "predicted_value"), (f"y - {lit(1.959963984540054)} * sqrt(var)", "lower_ci"),
+             (f"y + {lit(1.959963984540054)} * sqrt(var)", "upper_ci")],
+    ["symbol", "CAST(h AS INTEGER) AS forecast_step",
+     "CAST(last_date + h * INTERVAL 1 DAY AS TIMESTAMP) AS date", "'ar' AS model_used"])
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
