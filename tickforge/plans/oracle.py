@@ -609,5 +609,61 @@ SQL["ar_forecast"] = with_("bars_nation", _d1, f"""afit AS (SELECT symbol, regr_
      "CAST(last_date + h * INTERVAL 1 DAY AS TIMESTAMP) AS date", "'ar' AS model_used"])
 
 
+def _ar_ctes(src: str, p: str, horizon: str) -> list[str]:
+    """ARI(1,1) fit on ``src`` and closed-form forecast for h in 1..horizon(symbol)."""
+    return [f"""{p}_dd AS (SELECT symbol, date, close, close - lag(close) OVER (PARTITION BY symbol ORDER BY date) AS d,
+  lag(close) OVER (PARTITION BY symbol ORDER BY date) - lag(close, 2) OVER (PARTITION BY symbol ORDER BY date) AS d1
+  FROM {src})""", f"""{p}_fit AS (SELECT symbol, regr_slope(d, d1) AS phi, regr_intercept(d, d1) AS c,
+  arg_max(close, date) AS last_close, arg_max(d, date) AS last_z, max(date) AS last_date
+  FROM {p}_dd GROUP BY symbol)""", f"""{p}_fc AS (SELECT f.symbol, h,
+  last_close + sum(c * (1 - pow(phi, h)) / (1 - phi) + pow(phi, h) * last_z)
+    OVER (PARTITION BY f.symbol ORDER BY h ROWS UNBOUNDED PRECEDING) AS pred
+  FROM {p}_fit f JOIN {horizon} z ON f.symbol = z.symbol, range(1, z.days + 1) t(h))"""]
+
+
+def _drift_ctes(src: str, p: str, horizon: str) -> list[str]:
+    return [f"""{p}_dfit AS (SELECT symbol, arg_min(close, date) AS first_close, arg_max(close, date) AS last_close,
+  count(*) AS n FROM {src} GROUP BY symbol)""", f"""{p}_dfc AS (SELECT f.symbol, h,
+  last_close + h * ((last_close - first_close) / NULLIF(n - 1, 0)) AS pred
+  FROM {p}_dfit f JOIN {horizon} z ON f.symbol = z.symbol, range(1, z.days + 1) t(h))"""]
+
+
+_eval = [_split.replace("tfit AS", "tfit_unused AS"),
+         "hz AS (SELECT symbol, CAST(max(step) AS BIGINT) AS days FROM te GROUP BY symbol)",
+         *_ar_ctes("tr", "ev", "hz"), *_drift_ctes("tr", "ev", "hz"),
+         """scores AS (
+  SELECT te.symbol, 'ar' AS model_name, sqrt(avg((actual - pred) * (actual - pred))) AS rmse
+  FROM te JOIN ev_fc f ON te.symbol = f.symbol AND te.step = f.h GROUP BY te.symbol
+  UNION ALL
+  SELECT te.symbol, 'drift', sqrt(avg((actual - pred) * (actual - pred)))
+  FROM te JOIN ev_dfc f ON te.symbol = f.symbol AND te.step = f.h GROUP BY te.symbol)""",
+         """best AS (SELECT symbol, arg_min(model_name, (rmse, model_name)) AS best_model, min(rmse) AS best_rmse
+  FROM scores WHERE rmse IS NOT NULL GROUP BY symbol)"""]
+SQL["best_model"] = with_("bars_nation", *_eval) + sel("best", ["best_rmse"], ["symbol", "best_model"])
+_final = ["fz AS (SELECT symbol, 30 AS days FROM bars_nation GROUP BY symbol)",
+          f"""fdd AS (SELECT symbol, date, close, close - {lag('close')} AS d, {lag('close')} - {lag('close', 2)} AS d1
+  FROM bars_nation)""",
+          """ffit AS (SELECT symbol, regr_slope(d, d1) AS phi, regr_intercept(d, d1) AS c,
+  (regr_syy(d, d1) - regr_sxy(d, d1) * regr_sxy(d, d1) / NULLIF(regr_sxx(d, d1), 0))
+    / NULLIF(regr_count(d, d1) - 2, 0) AS sigma2,
+  arg_max(close, date) AS last_close, arg_max(d, date) AS last_z, max(date) AS last_date FROM fdd GROUP BY symbol)""",
+          """far AS (SELECT symbol, h, last_date, 'ar' AS model_used,
+  last_close + sum(c * (1 - pow(phi, h)) / (1 - phi) + pow(phi, h) * last_z)
+    OVER (PARTITION BY symbol ORDER BY h ROWS UNBOUNDED PRECEDING) AS y,
+  sqrt(sigma2 * sum(((1 - pow(phi, h)) / (1 - phi)) * ((1 - pow(phi, h)) / (1 - phi)))
+    OVER (PARTITION BY symbol ORDER BY h ROWS UNBOUNDED PRECEDING)) AS sd
+  FROM ffit, range(1, 31) t(h))""",
+          f"""fdr AS (SELECT symbol, h, last_date, 'drift' AS model_used,
+  last_close + h * ((last_close - first_close) / NULLIF(n - 1, 0)) AS y, sigma * sqrt(h) AS sd
+  FROM dfit, range(1, 31) t(h))"""]
+_drift_fit_only = _drift.split("dfc AS")[0].rstrip().rstrip(",")
+SQL["select_and_forecast"] = with_("bars_nation", *_eval, _drift_fit_only, *_final) + sel(
+    "(SELECT * FROM far UNION ALL SELECT * FROM fdr) x JOIN best b ON x.symbol = b.symbol AND x.model_used = b.best_model",
+    [("y", "predicted_value"), (f"y - {lit(1.959963984540054)} * sd", "lower_ci"),
+     (f"y + {lit(1.959963984540054)} * sd", "upper_ci")],
+    ["x.symbol", "CAST(h AS INTEGER) AS forecast_step",
+     "CAST(last_date + h * INTERVAL 1 DAY AS TIMESTAMP) AS date", "model_used"])
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
