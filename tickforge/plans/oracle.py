@@ -665,5 +665,49 @@ SQL["select_and_forecast"] = with_("bars_nation", *_eval, _drift_fit_only, *_fin
      "CAST(last_date + h * INTERVAL 1 DAY AS TIMESTAMP) AS date", "model_used"])
 
 
+def _audit_sql() -> str:
+    price = ["date", "open", "high", "low", "close", "volume"]
+    nulls = lambda cols: " + ".join(f"count(*) FILTER (WHERE {c} IS NULL)" for c in cols)
+    dd = """dd AS (SELECT * FROM araw QUALIFY row_number() OVER (PARTITION BY symbol, date ORDER BY
+  open DESC NULLS LAST, high DESC NULLS LAST, low DESC NULLS LAST, close DESC NULLS LAST,
+  volume DESC NULLS LAST) = 1)"""
+    ctes = ["quotes_dirty", "araw AS (SELECT symbol, date, open, high, low, close, volume FROM quotes_dirty)",
+            dd, *_clean[1:], _fences("cb"), _iqr, *_tech_from("io"),
+            f"feats AS (SELECT tf.*, {', '.join(MACD_COLS)} FROM {_tech_join})",
+            f"""s1 AS (SELECT symbol, count(*) AS rows, 7 AS columns, {nulls(price)} AS null_values,
+  count(*) - count(DISTINCT date) AS duplicates FROM araw GROUP BY symbol)""",
+            f"s2 AS (SELECT symbol, count(*) AS remaining_rows, {nulls(price)} AS remaining_nulls FROM cb GROUP BY symbol)",
+            "s3 AS (SELECT symbol, " + ", ".join(
+                f"count(*) FILTER (WHERE {c} < lo_{c} OR {c} > hi_{c}) AS outliers_{c}" for c in S.PRICE_COLS)
+            + " FROM cb LEFT JOIN fe ON symbol = s GROUP BY symbol)",
+            f"""s4 AS (SELECT symbol, count(*) AS feature_rows, {nulls(price + ROLLING + MACD_COLS)} AS final_nulls,
+  avg(close) AS close_mean, stddev_samp(close) AS close_std, min(close) AS close_min, max(close) AS close_max
+  FROM feats GROUP BY symbol)"""]
+    parts = []
+
+    def add(step, table, metric, expr=None):
+        parts.append(f"SELECT symbol, '{step}' AS step, '{metric}' AS metric, "
+                     f"CAST({expr or metric} AS DOUBLE) AS value FROM {table}")
+    for m in ["rows", "columns", "null_values", "duplicates"]:
+        add("1. Data Validation", "s1", m)
+    add("2. Data Cleaning", "s1 JOIN s2 USING (symbol)", "removed_rows", "rows - remaining_rows")
+    for m in ["remaining_rows", "remaining_nulls"]:
+        add("2. Data Cleaning", "s2", m)
+    for c in S.PRICE_COLS:
+        add("3. Outlier Handling", "s3", f"outliers_{c}")
+    add("3. Outlier Handling", "s3", "outliers_total", " + ".join(f"outliers_{c}" for c in S.PRICE_COLS))
+    add("4. Feature Engineering", "s4", "features_added", "35")
+    add("4. Feature Engineering", "s4", "feature_rows")
+    for m in ["close_mean", "close_std", "close_min", "close_max"]:
+        add("5. Normalization", "s4", m)
+    add("6. Final Quality", "s4", "final_nulls")
+    add("6. Final Quality", "s4", "quality_excellent", "CASE WHEN final_nulls = 0 THEN 1 ELSE 0 END")
+    return with_(*ctes, recursive=True) + sel("(" + " UNION ALL ".join(parts) + ")",
+                                               ["value"], ["symbol", "step", "metric"])
+
+
+SQL["pipeline_audit"] = _audit_sql()
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
