@@ -709,5 +709,16 @@ def _audit_sql() -> str:
 SQL["pipeline_audit"] = _audit_sql()
 
 
+_ok = " AND ".join(f"{c} IS NOT NULL" for c in MODEL_FEATURES + ["target"])
+SQL["standard_scale"] = with_("bars_nation", _mf_cte, f"""pm AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS rn,
+  count(*) OVER (PARTITION BY symbol) AS n FROM mf WHERE {_ok})""",
+    "ptr AS (SELECT * FROM pm WHERE rn < floor(n * 0.8))",
+    "pst AS (SELECT " + ", ".join(f"avg({c}) AS m_{c}, stddev_samp({c}) AS s_{c}" for c in MODEL_FEATURES)
+    + " FROM ptr)") + sel(
+    "pm, pst WHERE rn >= floor(n * 0.8)",
+    [(f"CASE WHEN s_{c} = 0 THEN 0.0 ELSE ({c} - m_{c}) / s_{c} END", f"z_{c}") for c in MODEL_FEATURES],
+    ["symbol", "date"])
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)

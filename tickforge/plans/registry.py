@@ -711,7 +711,9 @@ def q_standard_scale(spark, d):
     x = ML.prepare_for_modeling(FE.model_features(nation(spark, d)))
     sp = FC.temporal_split(x)
     tr, te = ML.standard_scale(sp.filter("is_train"), sp.filter(~F.col("is_train")))
-    return ML.scaled_array(te.select("symbol", "date", "scaled"))
+    arr = ML.scaled_array(te.select("symbol", "date", "scaled"))
+    return arr.select("symbol", "date", *[F.col("scaled")[i].alias(f"z_{c}")
+                                          for i, c in enumerate(FE.MODEL_FEATURES)])
 
 
 @query("gbt_train")
