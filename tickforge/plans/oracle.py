@@ -719,6 +719,10 @@ SQL["standard_scale"] = with_("bars_nation", _mf_cte, f"""pm AS (SELECT *, row_n
     [(f"CASE WHEN s_{c} = 0 THEN 0.0 ELSE ({c} - m_{c}) / s_{c} END", f"z_{c}") for c in MODEL_FEATURES],
     ["symbol", "date"])
 
+SQL["end_to_end"] = (
+    "SELECT f.*, a.latest_price, a.total_return_percent, a.volatility_percent, a.rsi_signal "
+    f"FROM ({SQL['select_and_forecast']}) f JOIN ({SQL['analyze_symbols']}) a ON f.symbol = a.symbol")
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
