@@ -49,8 +49,10 @@ def temporal_split(df: DataFrame, fraction: float = S.TRAIN_FRACTION, key: str =
 
 def random_split(df: DataFrame, fraction: float = S.TRAIN_FRACTION, seed: int = 42,
                  key=S.KEY) -> DataFrame:
-    """Hash split, stable under repartitioning (leaks time; opt-in)."""
-    h = F.pmod(F.xxhash64(F.lit(seed), *[F.col(k) for k in key]), F.lit(100))
+    """Hash split on the row key, stable under repartitioning and retries
+    (leaks time; opt-in). Bucket = first 32 bits of md5(key text | seed) mod 100."""
+    text = F.concat_ws("|", *[F.col(k).cast("string") for k in key], F.lit(str(seed)))
+    h = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % 100
     return df.withColumn("is_train", h < int(round(fraction * 100)))
 
 

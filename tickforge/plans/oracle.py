@@ -723,6 +723,11 @@ SQL["end_to_end"] = (
     "SELECT f.*, a.latest_price, a.total_return_percent, a.volatility_percent, a.rsi_signal "
     f"FROM ({SQL['select_and_forecast']}) f JOIN ({SQL['analyze_symbols']}) a ON f.symbol = a.symbol")
 
+SQL["random_split"] = with_("bars_nation") + sel(
+    "bars_nation", BAR[2:], BAR[:2] + [
+        "CAST('0x' || substr(md5(symbol || '|' || CAST(date AS VARCHAR) || '|42'), 1, 8) AS BIGINT) % 100"
+        " < 80 AS is_train"])
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
