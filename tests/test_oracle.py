@@ -9,7 +9,7 @@ SF = "/root/testdata/sf0.001"
 FAST = ["resample_bars", "technical_features", "clean_bars", "validate_bars", "analyze_symbols",
         "drift_forecast", "merge_bars", "market_analysis", "regression_metrics",
         "direction_metrics", "stationarity", "outliers_iqr", "tail_n", "model_features",
-        "source_failover", "stream_resample"]
+        "source_failover", "stream_resample", "ar_forecast", "random_split", "best_model"]
 
 
 @pytest.fixture(scope="module")
