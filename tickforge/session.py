@@ -7,6 +7,7 @@ exists for tests and the bench only.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -39,21 +40,34 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``, which all executors share.
 
-    On a cluster this is set by the deployment (a shared filesystem). Only when
-    it is unset, as in unit tests, a scratch folder is created here.
+    Where it is unset a single-process session (``local[...]``, as in tests)
+    gets a scratch folder; any other master raises, because a machine-local
+    folder would be invisible to the other executors.
     """
     sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if folder:
+        return folder
+    if sc.getCheckpointDir():
+        return sc.getCheckpointDir()
+    if not re.match(r"local(\[|$)", sc.master):
+        raise ValueError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
+    folder = tempfile.mkdtemp(prefix="tickforge-ckpt-")
+    sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir() or folder
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """Make sure ``checkpoint()`` has a folder; returns it."""
+    sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if not conf_dir:
-        conf_dir = tempfile.mkdtemp(prefix="tickforge-ckpt-")
-    sc.setCheckpointDir(conf_dir)
-    return sc.getCheckpointDir() or conf_dir
+    sc.setCheckpointDir(shared_folder(spark))
+    return sc.getCheckpointDir()
 
 
 def cut_lineage(df, eager: bool = True):
