@@ -5,8 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickforge.llm import line_dedup, quality_rules
-from tickforge.llm.store import table
+from tickforge.llm import (
+    decontaminate,
+    line_dedup,
+    ngram_join,
+    packing,
+    quality_knn,
+    quality_rules,
+    token_counts,
+    url_filter,
+    warc,
+)
+from tickforge.llm.store import scratch, table
+
+TOKENIZER = "piece_bpe_32k.model"
+
+
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), packing.word_count(F.col("text")))
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +40,21 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("_kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_knn.score(docs, quality_knn.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.component_ids(table(spark, sf_dir, "documents"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark, "archives")
+    warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    return warc.read_archives(spark, folder)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.ledger(table(spark, sf_dir, "documents"))
     return quality_rules.apply_policy(rows).select(
@@ -23,5 +62,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_failed", "kept", "n_lines", "fail_bits")
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
 def queries() -> dict:
-    return {"op5_line_dedup": op5_line_dedup, "op9_quality_rules": op9_quality_rules}
+    found = (op1_benchmark_decontamination, op2_best_fit_packing, op3_url_filter, op5_line_dedup,
+             op6_quality_classifier, op7_ngram_jaccard, op8_warc, op9_quality_rules, op10_token_counts)
+    return {f.__name__: f for f in found}
