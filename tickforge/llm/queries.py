@@ -12,6 +12,7 @@ from tickforge.llm import (
     packing,
     quality_knn,
     quality_rules,
+    suffix_dedup,
     token_counts,
     url_filter,
     warc,
@@ -33,6 +34,11 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup_text(docs).select(
@@ -68,6 +74,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (op1_benchmark_decontamination, op2_best_fit_packing, op3_url_filter, op5_line_dedup,
-             op6_quality_classifier, op7_ngram_jaccard, op8_warc, op9_quality_rules, op10_token_counts)
+    found = (op1_benchmark_decontamination, op2_best_fit_packing, op3_url_filter,
+             op4_suffix_array_dedup, op5_line_dedup, op6_quality_classifier, op7_ngram_jaccard, op8_warc, op9_quality_rules, op10_token_counts)
     return {f.__name__: f for f in found}

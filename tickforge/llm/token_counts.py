@@ -55,7 +55,7 @@ class PieceCounter:
     def _starts(self, text: str) -> list[int]:
         """Character offset at which each token of ``text`` begins."""
         at, out = 0, []
-        for p in self.sp.encode(text, out_type="immutable_proto").pieces:
+        for p in self.sp.encode(text, return_type="proto").pieces:
             out.append(at)
             at += len(p.surface)
         return out if at == len(text) else []
