@@ -72,8 +72,13 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def _row_key(id_col: str, text_col: str) -> list:
+    return [F.coalesce(F.col(id_col), F.lit(_LAST)).cast("long").alias("doc"),
+            F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("row")]
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(id_col), F.lit(_LAST)).cast("long").alias("doc"), F.col(text_col).alias("body"))
+    return docs.select(*_row_key(id_col, text_col), F.col(text_col).alias("body"))
 
 
 def _slices(texts: pd.Series, most: int = 16_000_000) -> Iterator[slice]:
@@ -88,21 +93,22 @@ def _slices(texts: pd.Series, most: int = 16_000_000) -> Iterator[slice]:
 
 
 def signatures(keyed: DataFrame, words: int) -> DataFrame:
-    """(doc, h1, h2, n, vec) per row, and (token, df) of locally frequent shingles."""
+    """(doc, row, h1, h2, n, vec) per row, and (token, df) of locally frequent shingles."""
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for part in _slices(batch["body"]):
                 sets = [shingle_set(t, words) for t in batch["body"].iloc[part]]
                 h1, h2 = zip(*map(set_hashes, sets), strict=True)
-                yield pd.DataFrame({"doc": batch["doc"].iloc[part].to_numpy(), "h1": h1, "h2": h2,
+                yield pd.DataFrame({"doc": batch["doc"].iloc[part].to_numpy(),
+                                    "row": batch["row"].iloc[part].to_numpy(), "h1": h1, "h2": h2,
                                     "n": [len(s) for s in sets], "vec": [count_vector(s).tobytes() for s in sets],
                                     "token": 0, "df": 0})
                 tokens, df = np.unique(np.concatenate(sets), return_counts=True)
                 often = df >= max(4, len(sets) // 1000)
-                yield pd.DataFrame({"doc": None, "h1": 0, "h2": 0, "n": 0, "vec": None,
+                yield pd.DataFrame({"doc": None, "row": 0, "h1": 0, "h2": 0, "n": 0, "vec": None,
                                     "token": tokens[often].view(np.int64), "df": df[often]})
 
-    return keyed.mapInPandas(sign, "doc long, h1 long, h2 long, n int, vec binary, token long, df long")
+    return keyed.mapInPandas(sign, "doc long, row long, h1 long, h2 long, n int, vec binary, token long, df long")
 
 
 def prefixes(keyed: DataFrame, frequent: np.ndarray, words: int, percent: int) -> DataFrame:
@@ -289,7 +295,7 @@ def cell_pairs(members: DataFrame, percent: int) -> DataFrame:
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
          percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, reps, links): rows (doc, h1, h2, n); reps (h1, h2, rep, n, vec), one
+    """(rows, reps, links): rows (doc, row, h1, h2, n), ``row`` the hash of the text; reps (h1, h2, rep, n, vec), one
     node per distinct set; links (node, root) of the verified similarity graph."""
     keyed = _keyed(docs, id_col, text_col)
     signed = stored(signatures(keyed, words), "signatures")
@@ -322,24 +328,28 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     return rows, reps.select("h1", "h2", "rep"), links
 
 
+def _labelled(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
+    rows, reps, links = join(docs, id_col, text_col, words, percent)
+    named = (rows.select("doc", "row", "h1", "h2", "n").join(reps, ["h1", "h2"], "left")
+             .join(links.select(F.col("node").alias("rep"), "root"), "rep", "left"))
+    return named.select("doc", "row", "n", F.coalesce("root", "rep", "doc").alias("component"))
+
+
 def component_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
                   percent: int = PERCENT) -> DataFrame:
     """(id, n_shingles, component_id) per row."""
-    rows, reps, links = join(docs, id_col, text_col, words, percent)
-    named = (rows.select("doc", "h1", "h2", "n").join(reps, ["h1", "h2"], "left")
-             .join(links.select(F.col("node").alias("rep"), "root"), "rep", "left"))
-    back = lambda c: F.when(c != _LAST, c)
-    return named.select(back(F.col("doc")).alias(id_col), F.col("n").cast("long").alias("n_shingles"),
-                        back(F.coalesce("root", "rep", "doc")).alias("component_id"))
+    back = lambda c: F.when(F.col(c) != _LAST, F.col(c))
+    return _labelled(docs, id_col, text_col, words, percent).select(
+        back("doc").alias(id_col), F.col("n").cast("long").alias("n_shingles"), back("component").alias("component_id"))
 
 
 def first_of_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
                    percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` whose document is the least of its component.
+    """The rows of ``docs`` whose id is the least of their component, with all columns.
 
-    Of rows that repeat an id all stay, or none.
+    A row that repeats both id and text of another stays or goes with it.
     """
-    labelled = component_ids(docs, id_col, text_col, words, percent)
-    gone = labelled.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_gone")).distinct()
-    gone = stored(gone, "gone")
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    gone = _labelled(docs, id_col, text_col, words, percent).where("doc != component")
+    gone = stored(gone.select(F.col("doc").alias("_doc"), F.col("row").alias("_row")).distinct(), "gone")
+    doc, row = _row_key(id_col, text_col)
+    return docs.join(gone, (doc == F.col("_doc")) & (row == F.col("_row")), "left_anti")
