@@ -100,7 +100,7 @@ def tail_n(df: DataFrame, n: int = 100, key: str = "symbol") -> DataFrame:
     """Last ``n`` rows of every symbol (top-k per group by position)."""
     s = seq.with_position(df, key, "date")
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    return s.join(counts, key).filter(F.col(seq.RN) >= F.col("_n") - n).select(*df.columns)
+    return seq.join_on_key(s, counts, [key], "inner").filter(F.col(seq.RN) >= F.col("_n") - n).select(*df.columns)
 
 
 def recent_return(df: DataFrame, n: int = 20, key: str = "symbol") -> DataFrame:

@@ -42,12 +42,17 @@ def default_symbol(df: DataFrame, value: str = "UNKNOWN") -> DataFrame:
 def require_columns(df: DataFrame, required=S.BAR_COLS) -> DataFrame:
     missing = [c for c in required if c not in df.columns]
     if missing:
-        raise ValueError(f"Missing required columns: {missing}")
+        raise ValueError(f"bars lack the columns {missing}")
     return df
 
 
+def finite(c: F.Column) -> F.Column:
+    """NaN and infinities count as missing."""
+    return F.when(~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))), c)
+
+
 def cast_types(df: DataFrame, date_col: str = "date") -> DataFrame:
-    """date -> timestamp_ntz, numbers -> double; unparsable values become null."""
+    """date -> timestamp_ntz, numbers -> double; unparsable, NaN and infinite values become null."""
     out = []
     types = dict(df.dtypes)
     for c in df.columns:
@@ -58,9 +63,9 @@ def cast_types(df: DataFrame, date_col: str = "date") -> DataFrame:
                 out.append(F.col(c).cast("timestamp_ntz").alias(c))
         elif c in S.OHLCV:
             if types[c] == "string":
-                out.append(F.expr(f"try_cast(trim(`{c}`) as double)").alias(c))
+                out.append(finite(F.expr(f"try_cast(trim(`{c}`) as double)")).alias(c))
             else:
-                out.append(F.col(c).cast("double").alias(c))
+                out.append(finite(F.col(c).cast("double")).alias(c))
         else:
             out.append(F.col(c))
     return df.select(*out)
@@ -91,7 +96,7 @@ def check_negative_volume(df: DataFrame, strict: bool = False) -> DataFrame:
     bad = df.filter(F.col("volume") < 0)
     if strict:
         return df.withColumn("volume", F.when(
-            F.col("volume") < 0, F.raise_error(F.lit("Volume cannot be negative"))
+            F.col("volume") < 0, F.raise_error(F.lit("a bar has a volume below zero"))
         ).otherwise(F.col("volume")))
     return bad
 
@@ -170,7 +175,7 @@ def fill_prices(df: DataFrame, key: str = "symbol", columns=S.PRICE_COLS,
             Window.partitionBy(key).orderBy(F.col(seq.CK).desc()).rowsBetween(
                 Window.unboundedPreceding, -1)).alias(f"_nf_{c}")
           for c in columns])
-    x = x.join(summ, [key, seq.CK], "left")
+    x = seq.join_on_key(x, summ, [key, seq.CK])
     filled = {c: F.coalesce(F.col(f"_ff_{c}"), F.col(f"_pl_{c}"),
                             F.col(f"_bf_{c}"), F.col(f"_nf_{c}")) for c in columns}
     return x.withColumns(filled).select(*base)
@@ -200,7 +205,7 @@ def fill_volume_median(df: DataFrame, key: str = "symbol", method: str = "exact"
     """Null volume -> the symbol's median volume."""
     meds = group_quantiles(df, "volume", [0.5], [key], method).select(
         key, F.col("q0").alias("_med"))
-    return (df.join(meds, key, "left")
+    return (seq.join_on_key(df, meds, [key])
             .withColumn("volume", F.coalesce(F.col("volume"), F.col("_med")))
             .select(*df.columns))
 
@@ -218,11 +223,14 @@ def clean_bars(df: DataFrame, key: str = "symbol", order: str = "ingest_seq",
 
 
 def clean_spark_bars(df: DataFrame) -> DataFrame:
-    """standardise -> full-row dedup -> drop null date/close -> cast -> close > 0."""
+    """standardise -> full-row dedup -> cast -> drop null date/close -> close > 0.
+
+    The null check follows the cast, so text that is no date or number goes too.
+    """
     x = standardise_columns(df)
     x = dedup_full_row(x)
-    x = drop_null_critical(x, ("date", "close"))
     x = cast_types(x)
+    x = drop_null_critical(x, ("date", "close"))
     return filter_positive_close(x)
 
 
@@ -247,9 +255,17 @@ def validate(df: DataFrame, order: str = "ingest_seq") -> tuple[DataFrame, DataF
               .when(F.col("volume") < 0, F.lit("negative_volume")))
     x = x.withColumn("reject_reason", reason)
     ok = x.filter(F.col("reject_reason").isNull()).drop("reject_reason")
-    good = dedup_keep_last(ok, S.KEY, order)
-    superseded = ok.join(good.select(*S.KEY, *([order] if order in ok.columns else [])),
-                         [*S.KEY, *([order] if order in ok.columns else [])], "left_anti")
+    # Equal rows are counted once, map-side; of each key the last row stays once,
+    # every other copy is a reject, so good + rejects = input.
+    rest = [c for c in ok.columns if c not in S.KEY]
+    rows = ok.groupBy(*ok.columns).agg(F.count(F.lit(1)).alias("_copies"))
+    rank = F.struct(order, *[c for c in rest if c != order]) if order in rest else F.struct(*rest)
+    best = rows.groupBy(*S.KEY).agg(F.max_by(F.struct(*rest), rank).alias("_best"))
+    good = best.select(*S.KEY, "_best.*").select(*ok.columns)
+    spare = F.col("_copies") - F.struct(*rest).eqNullSafe(F.col("_best")).cast("int")
+    superseded = (rows.join(best, list(S.KEY)).withColumn("_spare", spare).where("_spare > 0")
+                  .select(*ok.columns, F.explode(F.sequence(F.lit(1), F.col("_spare").cast("int"))).alias("_n"))
+                  .drop("_n"))
     rejects = x.filter(F.col("reject_reason").isNotNull()).unionByName(
         superseded.withColumn("reject_reason", F.lit("duplicate")))
     return good, rejects
@@ -286,7 +302,7 @@ def outliers_iqr(df: DataFrame, columns=S.PRICE_COLS, key: str = "symbol",
                  k: float = S.OUTLIER_IQR_K, method: str = "exact") -> DataFrame:
     """Clip each column to [Q1 - k*IQR, Q3 + k*IQR] of its symbol."""
     fences = iqr_fences(df, columns, key, k, method)
-    x = df.join(fences, key, "left")
+    x = seq.join_on_key(df, fences, [key])
     return x.withColumns({c: _clip(c, F.col(f"lo_{c}"), F.col(f"hi_{c}"))
                           for c in columns}).select(*df.columns)
 
@@ -296,7 +312,7 @@ def outliers_zscore(df: DataFrame, columns=S.PRICE_COLS, key: str = "symbol",
     """|z| > 3 -> mean +/- 3 std (sample std), per symbol."""
     stats = df.groupBy(key).agg(*[F.avg(c).alias(f"_m_{c}") for c in columns],
                                 *[F.stddev_samp(c).alias(f"_s_{c}") for c in columns])
-    x = df.join(stats, key, "left")
+    x = seq.join_on_key(df, stats, [key])
     new = {}
     for c in columns:
         m, s = F.col(f"_m_{c}"), F.col(f"_s_{c}")
@@ -309,7 +325,7 @@ def outlier_counts(df: DataFrame, columns=S.PRICE_COLS, key: str = "symbol",
                    k: float = S.OUTLIER_IQR_K, method: str = "exact") -> DataFrame:
     """Outliers per price column (before clipping) and their total, per symbol."""
     fences = iqr_fences(df, columns, key, k, method)
-    x = df.join(fences, key, "left")
+    x = seq.salted_join(df, fences, key)
     counts = [F.count_if((F.col(c) < F.col(f"lo_{c}")) | (F.col(c) > F.col(f"hi_{c}")))
               .alias(f"outliers_{c}") for c in columns]
     out = x.groupBy(key).agg(*counts)

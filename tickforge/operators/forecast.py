@@ -42,7 +42,7 @@ def temporal_split(df: DataFrame, fraction: float = S.TRAIN_FRACTION, key: str =
     """Flag the first ``floor(fraction * n)`` rows of every symbol as train."""
     s = seq.with_position(df, key, "date")
     n = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    x = s.join(n, key)
+    x = seq.join_on_key(s, n, [key], "inner")
     return x.withColumn("is_train", F.col(seq.RN) < F.floor(F.col("_n") * fraction)) \
             .drop(seq.RN, "_n")
 

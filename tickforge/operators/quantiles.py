@@ -2,12 +2,13 @@
 
 Spark's exact ``percentile`` merges a value -> count map per group in a
 single task, which for a hot group with distinct values is the whole group.
-Here each pass counts rows per (group, value bin) with partial aggregation,
+Here each pass counts rows per (group, value bin): rows meet the bins of their
+group split by salt, so the counts are summed before the shuffle by group. It
 finds the bin holding the wanted rank from prefix sums over the small bin
 table, and narrows the value interval to that bin. A target is resolved when
 its bin holds one distinct value, or when the bin is small enough
-(``gather`` rows) to sort. Every pass reads the data once; the number of
-passes is bounded because each one shrinks the interval by ``bins``.
+(``gather`` rows) to sort. Every pass reads the data once and parts an interval
+that holds two or more values, so the passes end by themselves.
 
 Interpolation is the linear one of pandas / ``percentile`` /
 ``quantile_cont``: position (n-1)p between the values of ranks floor and ceil.
@@ -17,20 +18,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tickforge.operators.sequence import group_key
 from tickforge.session import cut_lineage
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: list[float], keys=("symbol",),
-                    bins: int = 1024, gather: int = 100_000, max_passes: int = 12
-                    ) -> DataFrame:
-    """One row per group: ``q0, q1, ...`` for ``probs`` (nulls ignored)."""
-    keys = list(keys)
+                    bins: int = 1024, gather: int = 100_000, salts: int = 32) -> DataFrame:
+    """One row per group: ``q0, q1, ...`` for ``probs`` (nulls ignored; null keys
+    are a group)."""
+    names = list(keys)
+    keys = [f"_g{i}" for i in range(len(names))]
+    df = df.select(value, *[group_key(c).alias(g) for c, g in zip(names, keys)],
+                   *[F.col(c).alias(f"{g}v") for c, g in zip(names, keys)])
+    originals = [f"{g}v" for g in keys]
     # read several times (stats, passes, final sort): materialise the narrow
     # (group, value) projection once instead of re-running the upstream plan
-    x = cut_lineage(df.select(*keys, F.col(value).cast("double").alias("_v")).filter(
+    x = cut_lineage(df.select(*keys, *originals, F.col(value).cast("double").alias("_v")).filter(
         F.col("_v").isNotNull()))
+    x = x.withColumn("_salt", F.pmod(F.xxhash64("_v"), F.lit(salts)).cast("int"))
+    spread = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt")
     stats = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"),
-                                 F.max("_v").alias("_hi"))
+                                 F.max("_v").alias("_hi"), *[F.first(c).alias(c) for c in originals])
+    named = stats.select(*keys, *originals)
     want = []
     for i, p in enumerate(probs):
         pos = (F.col("_n") - 1) * F.lit(float(p))
@@ -46,12 +55,12 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], keys=("symbol
         F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).alias("val"),
         F.col("_n").alias("cnt"))
     tkeys = keys + ["q", "side"]
-    for _ in range(max_passes):
+    while True:
         # groups already within the gather bound skip the histogram passes
         open_ = state.filter(F.col("val").isNull() & (F.col("cnt") > gather))
         if open_.isEmpty():
             break
-        j = x.join(open_.select(*tkeys, "lo", "hi"), keys).filter(
+        j = x.join(open_.select(*tkeys, "lo", "hi", spread), [*keys, "_salt"]).filter(
             (F.col("_v") >= F.col("lo")) & (F.col("_v") <= F.col("hi")))
         b = F.least(F.floor((F.col("_v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins),
                     F.lit(bins - 1)).cast("int")
@@ -73,7 +82,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], keys=("symbol
         state = cut_lineage(kept.unionByName(moved))
     # Sort the remaining small intervals (at most ``gather`` rows each).
     rest = state.filter(F.col("val").isNull())
-    j = x.join(rest.select(*tkeys, "lo", "hi", "rank", "before"), keys).filter(
+    j = x.join(rest.select(*tkeys, "lo", "hi", "rank", "before", spread), [*keys, "_salt"]).filter(
         (F.col("_v") >= F.col("lo")) & (F.col("_v") <= F.col("hi")))
     picked = j.groupBy(*tkeys, "rank", "before").agg(
         F.sort_array(F.collect_list("_v")).alias("_vals")).select(
@@ -91,5 +100,6 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], keys=("symbol
     qv = lo_side.join(hi_side, keys + ["q"]).select(
         *keys, "q", F.when((lower == higher) | (F.col("v0") == F.col("v1")), F.col("v0"))
         .otherwise(interp).alias("qv"))
-    return qv.groupBy(*keys).pivot("q", list(range(len(probs)))).agg(F.first("qv")) \
-        .select(*keys, *[F.col(str(i)).alias(f"q{i}") for i in range(len(probs))])
+    wide = qv.groupBy(*keys).pivot("q", list(range(len(probs)))).agg(F.first("qv"))
+    return wide.join(named, keys).select(*[F.col(f"{g}v").alias(c) for c, g in zip(names, keys)],
+                                         *[F.col(str(i)).alias(f"q{i}") for i in range(len(probs))])
