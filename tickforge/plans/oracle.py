@@ -173,6 +173,22 @@ SQL["resample_monthly"] = with_("bars_nation", """m AS (SELECT *, (year(date) *
   arg_min(open, date) AS open, max(high) AS high, min(low) AS low, arg_max(close, date) AS close,
   sum(volume) AS volume FROM m GROUP BY symbol, mi - mi % 3"""
 SQL["scan_bars_csv"] = bars_sql("bars_nation")
+SQL["scan_csv_validated"] = with_("bars_nation", """seen AS (
+  SELECT * REPLACE (CASE WHEN day(date) = 13 THEN NULL ELSE volume END AS volume) FROM bars_nation)""") + sel(
+    "seen", BAR[2:], BAR[:2])
+SQL["validate_partition"] = with_("quotes_dirty", """landed AS (
+  SELECT * FROM quotes_dirty
+  UNION ALL SELECT * FROM quotes_dirty WHERE ingest_seq % 7 = 0
+  UNION ALL SELECT * REPLACE (CASE WHEN ingest_seq % 2 = 0 THEN symbol END AS symbol,
+                              CASE WHEN ingest_seq % 3 = 0 THEN date END AS date)
+  FROM quotes_dirty WHERE ingest_seq % 11 = 0)""", """judged AS (
+  SELECT *, CASE WHEN symbol IS NULL THEN 'null_symbol' WHEN date IS NULL THEN 'null_date'
+                 WHEN coalesce(high < low OR high < open OR high < close OR low > open OR low > close, false)
+                 THEN 'price_relation' WHEN volume < 0 THEN 'negative_volume' END AS reason
+  FROM landed)""", """ranked AS (
+  SELECT symbol, reason, row_number() OVER (PARTITION BY symbol, date, reason ORDER BY ingest_seq DESC) AS k
+  FROM judged)""") + """SELECT symbol, coalesce(reason, CASE WHEN k = 1 THEN 'kept' ELSE 'duplicate' END) AS reject_reason,
+       count(*) AS n FROM ranked GROUP BY ALL"""
 SQL["scan_single_symbol"] = with_("bars_nation") + sel("bars_nation", BAR[2:], BAR[:2],
                                                        "symbol = 'NATION_7'")
 SQL["union_symbols"] = with_("bars_nation", "bars_priority") + sel(

@@ -8,6 +8,7 @@ policy shared with the oracle SQL (``rounding``).
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -48,6 +49,10 @@ def dirty(spark, d):
     return fx.quotes_dirty(spark, d)
 
 
+def _fresh(spark, name):
+    return scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
 def _scratch(spark, d, name):
     tag = hashlib.sha1(d.encode()).hexdigest()[:10]
     return scratch_path(spark, f"{name}-{tag}")
@@ -89,6 +94,41 @@ def q_scan_single_symbol(spark, d):
     return B.scan_single_symbol(spark, path, "NATION_7")
 
 
+@query("scan_csv_validated")
+def q_scan_csv_validated(spark, d):
+    """Files with two column orders and name sets, NaN text, a header-only file and
+    a file that is no symbol, scanned by header and validated."""
+    root = _fresh(spark, "bars-csv-mixed")
+    text = [F.col(c).cast("string").alias(c) for c in ("date", "open", "high", "low", "close")]
+    bars = nation(spark, d).select("symbol", *text, F.when(F.dayofmonth("date") == 13, "NaN").otherwise(
+        F.col("volume").cast("string")).alias("volume"))
+    odd = F.length("symbol") % 2 == 1
+    other = bars.where(odd).select("symbol", F.col("close").alias("Close "), F.col("date").alias("Timestamp"),
+                                   F.col("low").alias("LOW"), F.col("volume").alias("Quantity"),
+                                   F.col("open").alias("opening"), F.col("high").alias("High"))
+    rest = bars.where(~odd).unionByName(bars.limit(0))
+    info = bars.select(F.lit("stock_metadata").alias("symbol"), F.col("close").alias("date"),
+                       F.lit("x").alias("industry")).limit(3)
+    for part in (info, other, rest):
+        part.write.mode("append").partitionBy("symbol").option("header", True).csv(root)
+    bars.limit(0).drop("symbol").coalesce(1).write.option("header", True).csv(root + "/symbol=EMPTY")
+    return B.scan_csv_validated(spark, root)[0].select(*S.BAR_COLS)
+
+
+@query("validate_partition")
+def q_validate_partition(spark, d):
+    """Dirty quotes with null keys and exact re-deliveries: every row is either
+    a bar or a reject, counted per symbol and outcome."""
+    q = dirty(spark, d)
+    again = q.where("ingest_seq % 7 = 0")
+    lost = q.where("ingest_seq % 11 = 0").withColumns({
+        "symbol": F.when(F.col("ingest_seq") % 2 == 0, F.col("symbol")),
+        "date": F.when(F.col("ingest_seq") % 3 == 0, F.col("date"))})
+    good, bad = C.validate(q.unionByName(again).unionByName(lost))
+    both = good.withColumn("reject_reason", F.lit("kept")).unionByName(bad)
+    return both.groupBy("symbol", "reject_reason").agg(F.count("*").alias("n"))
+
+
 @query("union_symbols")
 def q_union_symbols(spark, d):
     return B.union_symbols(nation(spark, d),
@@ -628,15 +668,9 @@ def queries() -> dict[str, Query]:
 
 # --- 2.10 sinks (write, then read back) ---------------------------------------
 
-import uuid  # noqa: E402
-
 from tickforge.sources import sinks as SK  # noqa: E402
 
 
-def _fresh(spark, name):
-    return scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
-
-
 @query("write_bars")
 def q_write_bars(spark, d):
     path = SK.write_bars(nation(spark, d), _fresh(spark, "bars-parquet"))
@@ -673,8 +707,7 @@ def q_stream_ingest(spark, d):
     root = _fresh(spark, "stream-ingest")
     q = dirty(spark, d)
     src = _land(q, root + "/in", 4, "ingest_seq")
-    return ST.stream_ingest(spark, src, root + "/out", q.schema, name=root.rsplit("/", 1)[-1],
-                            max_files_per_trigger=1)
+    return ST.stream_ingest(spark, src, root + "/out", q.schema, max_files_per_trigger=1)
 
 
 @query("stream_resample")
@@ -683,8 +716,7 @@ def q_stream_resample(spark, d):
     root = _fresh(spark, "stream-resample")
     ev = fx.table(spark, d, "events")
     src = _land(ev, root + "/in", 4, "ts")
-    return ST.stream_resample(spark, src, root + "/out", ev.schema,
-                              name=root.rsplit("/", 1)[-1], max_files_per_trigger=1)
+    return ST.stream_resample(spark, src, root + "/out", ev.schema, max_files_per_trigger=1)
 
 
 # --- 2.9 models ---------------------------------------------------------------------

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
+import csv
+import re
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from tickforge import schema as S
 from tickforge.operators import clean as C
 
-_RAW_COLUMNS = ["Date", "Symbol", "Series", "Prev Close", "Open", "High", "Low", "Last",
-                "Close", "VWAP", "Volume", "Turnover", "Trades", "Deliverable Volume",
-                "%Deliverble"]
-
-
 def _stem_symbol(path: F.Column) -> F.Column:
     """Symbol from the file path: Hive-style ``symbol=X`` dir, else the file stem.
 
@@ -24,30 +22,81 @@ def _stem_symbol(path: F.Column) -> F.Column:
     return F.url_decode(F.regexp_replace(raw, r"\+", "%2B"))
 
 
-def scan_bars_csv(spark: SparkSession, path: str, symbols: list[str] | None = None,
-                  raw_schema: T.StructType | None = None) -> DataFrame:
-    """Read every symbol file under ``path`` in one multi-file scan.
+def _file_symbol(path: str) -> str:
+    """The same rule as ``_stem_symbol`` for a path known to the driver."""
+    hive = re.search(r"symbol=([^/]+)/[^/]*$", path)
+    return unquote(hive[1] if hive else re.sub(r"\.[^./]*$", "", path.rsplit("/", 1)[-1]))
+
 
-    Header row, explicit all-string schema (no inference pass), symbol from the
-    file name, non-symbol files skipped, optional symbol subset (pushed as a
-    filter on the derived column).
+def csv_headers(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+    """Files under ``path`` by their own header row.
+
+    One small read per file through Hadoop's file system (any store, any codec
+    Spark knows); files that hold no symbol and empty files are left out.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(conf)
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+    found, files = {}, fs.listFiles(root, True)
+    while files.hasNext():
+        file = files.next().getPath()
+        name = file.toString()
+        if re.search(r"/[_.]", name[len(root.toString()):]) or _file_symbol(name) in S.NON_SYMBOL_STEMS:
+            continue
+        codec, stream = codecs.getCodec(file), fs.open(file)
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(
+            codec.createInputStream(stream) if codec else stream, "UTF-8"))
+        try:
+            line = reader.readLine()
+        finally:
+            reader.close()
+        if line is not None:
+            found.setdefault(tuple(next(csv.reader([line.lstrip("\ufeff")]), [])), []).append(name)
+    return found
+
+
+def scan_bars_csv(spark: SparkSession, path: str, symbols: list[str] | None = None) -> DataFrame:
+    """Read every symbol file under ``path``, columns by each file's own header.
+
+    Files with the same header are one multi-file scan under an explicit
+    all-string schema (no inference pass); the scans are united by column name.
+    The symbol comes from the file name; ``symbols`` selects files before any
+    data is read.
     """
-    reader = spark.read.option("header", True).option("recursiveFileLookup", False)
-    if raw_schema is not None:
-        reader = reader.schema(raw_schema)
-    df = reader.csv(path)
-    df = df.withColumn("_file_symbol", _stem_symbol(F.col("_metadata.file_path")))
-    df = df.filter(~F.col("_file_symbol").isin(S.NON_SYMBOL_STEMS))
-    x = C.map_synonyms(C.standardise_columns(df.drop("symbol") if "symbol" in
-                                             [c.lower() for c in df.columns] else df))
-    x = x.withColumn("symbol", F.col("_file_symbol")).drop("_file_symbol")
-    x = C.cast_types(x)
-    if symbols:
-        x = x.filter(F.col("symbol").isin(list(symbols)))
+    parts = []
+    for header, files in sorted(csv_headers(spark, path).items()):
+        files = [f for f in files if symbols is None or _file_symbol(f) in symbols]
+        names = [c if header[:i].count(c) == 0 else f"{c}_{i}" for i, c in enumerate(header)]
+        if not files:
+            continue
+        raw = T.StructType([T.StructField(c, T.StringType()) for c in names])
+        df = spark.read.schema(raw).option("header", True).csv(files)
+        df = df.withColumn("_file_symbol", _stem_symbol(F.col("_metadata.file_path")))
+        x = C.map_synonyms(C.standardise_columns(df).drop("symbol"))
+        parts.append(x.withColumn("symbol", F.col("_file_symbol")).drop("_file_symbol"))
+    if not parts:
+        return spark.createDataFrame([], S.BAR_SCHEMA)
+    x = C.cast_types(union_symbols(*parts))
     keep = [c for c in S.BAR_COLS if c in x.columns]
     return x.select(*keep, *[c for c in x.columns if c not in keep])
 
 
+def scan_csv_validated(spark: SparkSession, path: str, symbols: list[str] | None = None
+                       ) -> tuple[DataFrame, DataFrame]:
+    """Scan and validate bar files: (bars, rejects with a reason).
+
+    A file that lacks one of the bar columns fails the scan; uploaded bytes are
+    a file landed under ``path``.
+    """
+    for header, files in csv_headers(spark, path).items():
+        named = [c.strip().lower() for c in header]
+        lacking = [c for c in S.BAR_COLS if c != "symbol" and not any(o in named for o in S.SYNONYMS[c])]
+        if lacking:
+            raise ValueError(f"{files[0]}: bars lack the columns {lacking}")
+    return C.validate(scan_bars_csv(spark, path, symbols))
+
+
 def scan_single_symbol(spark: SparkSession, path: str, symbol: str) -> DataFrame:
     return C.clean_spark_bars(scan_bars_csv(spark, path, [symbol]).select(*S.BAR_COLS))
 

@@ -1,68 +1,92 @@
-"""Streaming ingest and resampling with exactly-once, restartable sinks.
-
-Each micro-batch is written by ``foreachBatch`` to its own ``epoch=<id>``
-folder with overwrite, so a replayed batch after a failure rewrites the same
-files (idempotent). The current table is the keep-last view over all epochs.
+"""Streaming ingest and resampling with restartable, idempotent sinks.
+
+Every micro-batch is written by ``foreachBatch`` to a folder of its own, named
+by the query's id and the epoch. The id lives in the checkpoint, so a restarted
+query goes on where it stopped and a replayed batch rewrites the same folder,
+while a query with a new checkpoint never touches what an older one wrote. The
+current table is the keep-last view over all folders; ``compact_bars`` folds
+them into one.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tickforge import schema as S
 from tickforge.operators.clean import dedup_keep_last, validate_bars
-from tickforge.session import ensure_checkpoint_dir
 
 
-def _checkpoint(spark: SparkSession, name: str) -> str:
-    return os.path.join(ensure_checkpoint_dir(spark), "streams", name)
+def default_checkpoint(target: str) -> str:
+    """Beside the target and as lasting as it: the same after every restart."""
+    return target.rstrip("/") + "-checkpoint"
 
 
-def _epoch_writer(target: str, transform):
+def _epoch_writer(target: str, checkpoint: str, transform):
     def write(batch: DataFrame, epoch_id: int) -> None:
+        told = batch.sparkSession.read.text(os.path.join(checkpoint, "metadata")).first()[0]
+        folder = f"batch={json.loads(told)['id']}-{epoch_id}"
         out = transform(batch)
         out.withColumn("_epoch", F.lit(epoch_id).cast("long")).write.mode("overwrite") \
-            .parquet(os.path.join(target, f"epoch={epoch_id}"))
+            .parquet(os.path.join(target, folder))
     return write
 
 
 def stream_ingest(spark: SparkSession, source_dir: str, target: str, schema: T.StructType,
-                  name: str = "ingest", fmt: str = "parquet", watermark: str = "3650 days",
+                  checkpoint_location: str | None = None, fmt: str = "parquet",
                   max_files_per_trigger: int | None = None) -> DataFrame:
     """Landed quote files -> validation -> keep-last upsert into ``target``.
 
-    Exact re-deliveries (same symbol, date, ingest_seq) are dropped within the
-    watermark on the bar time.
+    Stateless: re-delivered rows and late rows are written like all others and
+    resolved by the keep-last view, so nothing is dropped for its age and no
+    state grows with the stream.
     """
+    checkpoint = checkpoint_location or default_checkpoint(target)
     reader = spark.readStream.schema(schema).format(fmt)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    stream = reader.load(source_dir)
-    x = (stream.withColumn("_event", F.col("date").cast("timestamp"))
-         .withWatermark("_event", watermark)
-         .dropDuplicatesWithinWatermark(["symbol", "date", "ingest_seq"]).drop("_event"))
-    q = (x.writeStream.foreachBatch(_epoch_writer(target, validate_bars))
-         .option("checkpointLocation", _checkpoint(spark, name))
-         .trigger(availableNow=True).start())
+    q = (reader.load(source_dir).writeStream
+         .foreachBatch(_epoch_writer(target, checkpoint, validate_bars))
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
     return current_bars(spark, target)
 
 
 def current_bars(spark: SparkSession, target: str) -> DataFrame:
-    """Keep-last view over all ingested epochs (largest ingest_seq wins)."""
-    allb = spark.read.parquet(target).drop("_epoch", "epoch")
+    """Keep-last view over all ingested batches (largest ingest_seq wins)."""
+    allb = spark.read.parquet(target).drop("_epoch", "batch")
     return dedup_keep_last(allb, S.KEY, "ingest_seq")
 
 
+def compact_bars(spark: SparkSession, target: str) -> None:
+    """Fold all batch folders into one.
+
+    The folded copy is written before the folders that it replaces go; a failure
+    in between, or a replayed batch later, leaves rows twice, which keep-last
+    resolves.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(target)
+    fs = root.getFileSystem(conf)
+    old = [f.getPath() for f in fs.listStatus(root) if f.getPath().getName().startswith("batch=")]
+    if len(old) > 1:
+        current_bars(spark, target).withColumn("_epoch", F.lit(-1).cast("long")).write.parquet(
+            os.path.join(target, f"batch=base-{uuid.uuid4().hex}"))
+        for folder in old:
+            fs.delete(folder, True)
+
+
 def stream_resample(spark: SparkSession, source_dir: str, target: str, schema: T.StructType,
-                    name: str = "resample", interval: str = "1 hour", watermark: str = "30 days",
-                    symbol: str = "event_type", ts: str = "ts", price: str = "value",
+                    checkpoint_location: str | None = None, interval: str = "1 hour",
+                    watermark: str = "30 days", symbol: str = "event_type", ts: str = "ts", price: str = "value",
                     order: str = "event_id", max_files_per_trigger: int | None = None
                     ) -> DataFrame:
     """Ticks -> bars per tumbling window in update mode; state is dropped once
     the watermark passes a window, rows later than the watermark are ignored."""
+    checkpoint = checkpoint_location or default_checkpoint(target)
     reader = spark.readStream.schema(schema).format("parquet")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
@@ -76,11 +100,11 @@ def stream_resample(spark: SparkSession, source_dir: str, target: str, schema: T
     bars = bars.select("symbol", F.col("window.start").cast("timestamp_ntz").alias("date"),
                        "open", "high", "low", "close", "volume", "_last_id")
     q = (bars.writeStream.outputMode("update")
-         .foreachBatch(_epoch_writer(target, lambda b: b))
-         .option("checkpointLocation", _checkpoint(spark, name))
+         .foreachBatch(_epoch_writer(target, checkpoint, lambda b: b))
+         .option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    allb = spark.read.parquet(target).drop("epoch")
-    # an updated window supersedes its earlier emission: newest epoch wins
-    latest = dedup_keep_last(allb, S.KEY, "_epoch")
-    return latest.drop("_epoch", "_last_id")
+    # an updated window supersedes its earlier emission: it has counted more ticks
+    allb = spark.read.parquet(target).drop("batch").withColumn("_order", F.struct("volume", "_epoch"))
+    latest = dedup_keep_last(allb, S.KEY, "_order")
+    return latest.drop("_order", "_epoch", "_last_id")
