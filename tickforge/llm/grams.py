@@ -64,13 +64,18 @@ def _powers(n: int) -> np.ndarray:
     return _POWERS
 
 
+def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of every word between ASCII white space."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], _SPACE[data], [True]]).view(np.int8)))
+    return edges[::2], edges[1::2]
+
+
 def word_hashes(data: np.ndarray) -> np.ndarray:
     """64-bit hash of every word between ASCII white space, A-Z taken as a-z."""
-    solid = ~_SPACE[data]
-    starts = np.flatnonzero(solid & ~np.concatenate([[False], solid[:-1]]))
+    starts, _ = word_bounds(data)
     if not len(starts):
         return np.zeros(0, dtype=np.uint64)
-    at = np.flatnonzero(solid)
+    at = np.flatnonzero(~_SPACE[data])
     codes = data[at]
     codes = np.where((codes >= 65) & (codes <= 90), codes + 32, codes).astype(np.uint64) + np.uint64(1)
     first = np.searchsorted(at, starts)

@@ -52,6 +52,25 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM b
 """
 
+#: Base32 of a SHA-1: every 5 hex digits (20 bits) are 4 base32 digits.
+OP8 = r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload, sha1(coalesce(html, '')) AS h FROM pages),
+digits AS (
+  SELECT *, list_transform(range(0, 8), lambda k: ('0x' || h[5 * k + 1:5 * k + 5])::BIGINT) AS parts FROM p),
+named AS (
+  SELECT page_id, payload, array_to_string(list_transform(parts, lambda v:
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[(v // 32768) % 32 + 1]
+           || 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[(v // 1024) % 32 + 1]
+           || 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[(v // 32) % 32 + 1]
+           || 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[v % 32 + 1]), '') AS payload_digest
+  FROM digits),
+firsts AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM named)
+SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM firsts
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": OP5, "op9_quality_rules": OP9}
+    return {"op5_line_dedup": OP5, "op8_warc": OP8, "op9_quality_rules": OP9}

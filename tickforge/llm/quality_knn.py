@@ -1,8 +1,10 @@
 """Quality classifier by nearest-neighbour voting in a latent-semantic space.
 
-Texts become log counts of hashed byte trigrams, weighted by inverse document
-frequency and projected on the leading eigenvectors of the sample's Gram matrix
-(latent semantic analysis). The vectors of a bounded sample of labelled rows
+Texts become terms of two kinds, each of unit length: log counts of hashed byte
+trigrams weighted by inverse document frequency, and frequencies of word forms
+(case, symbols, end mark, length, same word as before). The terms are projected
+on the leading eigenvectors of the sample's Gram matrix (latent semantic
+analysis). The vectors of a bounded sample of labelled rows
 are broadcast; every document's cosine with all of them is an exact product
 computed in blocks, and the ``neighbours`` nearest vote with weights that grow
 with their similarity.
@@ -31,8 +33,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BINS, DIMS, SAMPLE, NEIGHBOURS, BLOCK = 2048, 64, 8192, 24, 512
-THRESHOLD, SHARPNESS = 0.3, 4.0
+from tickforge.llm.grams import word_bounds, word_hashes
+
+TRIGRAMS, FORMS = 2048, 128
+BINS, DIMS, SAMPLE, NEIGHBOURS, BLOCK = TRIGRAMS + FORMS, 64, 8192, 16, 512
+THRESHOLD, SHARPNESS, FORM_WEIGHT = 0.3, 16.0, 2.0
 
 
 def held_out(id_col: Column) -> Column:
@@ -40,17 +45,53 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def trigram_counts(texts) -> np.ndarray:
-    """Hashed byte-trigram counts, one row of ``BINS`` per text."""
+def _among(characters: str) -> np.ndarray:
+    table = np.zeros(256, dtype=bool)
+    table[[ord(c) for c in characters]] = True
+    return table
+
+
+_SYMBOL, _END = _among("#*$%&|<>"), _among(".,!?;:")
+
+
+def word_forms(data: np.ndarray) -> np.ndarray:
+    """Form code of every word: repeats its predecessor, holds a symbol, starts in
+    upper case, all upper case, ends in a mark, length class."""
+    starts, ends = word_bounds(data)
+    if not len(starts):
+        return np.zeros(0, dtype=np.int64)
+    hashes = word_hashes(data)
+    upper, lower = (data >= 65) & (data <= 90), (data >= 97) & (data <= 122)
+    again = np.append(False, hashes[1:] == hashes[:-1])
+    symbol = np.add.reduceat(_SYMBOL[data], starts, dtype=np.int64) > 0
+    loud = (np.add.reduceat(upper, starts, dtype=np.int64) > 1) & (np.add.reduceat(lower, starts, dtype=np.int64) == 0)
+    return (again + 2 * symbol + 4 * upper[starts] + 8 * loud + 16 * _END[data[ends - 1]]
+            + 32 * np.digitize(ends - starts, [3, 6, 10]))
+
+
+def term_counts(texts) -> np.ndarray:
+    """Hashed byte trigrams, then word forms: one row of ``BINS`` counts per text."""
     out = np.zeros((len(texts), BINS), dtype=np.float32)
     for i, t in enumerate(texts):
-        b = np.frombuffer((t or "").encode("utf-8", "replace"), dtype=np.uint8).astype(np.uint32)
+        data = np.frombuffer((t or "").encode("utf-8", "replace"), dtype=np.uint8)
+        b = data.astype(np.uint32)
         if len(b) >= 3:
             code = (b[:-2] | b[1:-1] << 8 | b[2:] << 16) * np.uint32(0x9E3779B1)
-            out[i] = np.bincount(code >> np.uint32(21), minlength=BINS)
+            out[i, :TRIGRAMS] = np.bincount(code >> np.uint32(21), minlength=TRIGRAMS)
+            out[i, TRIGRAMS:] = np.bincount(word_forms(data), minlength=FORMS)
     return out
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+
+
+def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Both kinds of terms, each of unit length, forms times ``FORM_WEIGHT``."""
+    grams = _unit(np.log1p(counts[:, :TRIGRAMS]) * idf)
+    return np.concatenate([grams, FORM_WEIGHT * _unit(np.sqrt(counts[:, TRIGRAMS:]))], axis=1)
+
+
 @dataclass
 class Model:
     """What is broadcast: weights, projection, labelled vectors and votes."""
@@ -61,11 +102,7 @@ class Model:
     prior: float
 
     def embed(self, counts: np.ndarray) -> np.ndarray:
-        x = np.log1p(counts) * self.idf
-        norm = np.linalg.norm(x, axis=1, keepdims=True)
-        y = (x / np.maximum(norm, 1e-9)) @ self.basis
-        size = np.linalg.norm(y, axis=1, keepdims=True)
-        return (y / np.maximum(size, 1e-9)).astype(np.float32)
+        return _unit(weighted(counts, self.idf) @ self.basis).astype(np.float32)
 
     def score(self, texts, neighbours: int, block: int = BLOCK) -> np.ndarray:
         out = np.full(len(texts), self.prior)
@@ -73,7 +110,7 @@ class Model:
             return out
         k = min(neighbours, len(self.votes))
         for at in range(0, len(texts), block):
-            counts = trigram_counts(texts[at:at + block])
+            counts = term_counts(texts[at:at + block])
             some = np.flatnonzero(counts.sum(axis=1) > 0)
             if not len(some):
                 continue
@@ -95,20 +132,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            counts = np.minimum(trigram_counts(batch["body"]), 65_535).astype(np.uint16)
+            counts = np.minimum(term_counts(batch["body"]), 65_535).astype(np.uint16)
             yield pd.DataFrame({"id": batch["id"], "mark": batch["mark"], "counts": [c.tobytes() for c in counts]})
 
     id_type = docs.schema[id_col].dataType.simpleString()
     fitted = (rows.mapInPandas(count, f"id {id_type}, mark int, counts binary")
               .orderBy(F.xxhash64("id"), "id", "counts").limit(sample).collect())
     if not fitted:
-        return Model(np.ones(BINS, np.float32), np.zeros((BINS, dims), np.float32),
+        return Model(np.ones(TRIGRAMS, np.float32), np.zeros((BINS, dims), np.float32),
                      np.zeros((0, dims), np.float32), np.zeros(0), 0.5)
     counts = np.stack([np.frombuffer(r["counts"], dtype=np.uint16) for r in fitted]).astype(np.float32)
     votes = np.array([float(r["mark"] > 0) for r in fitted])
-    idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + 1
-    x = np.log1p(counts) * idf
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    held = (counts[:, :TRIGRAMS] > 0).sum(axis=0)
+    idf = np.log((1 + len(counts)) / (1 + held)).astype(np.float32) + 1
+    x = weighted(counts, idf)
     basis = np.linalg.eigh(x.T @ x)[1][:, ::-1][:, :dims].astype(np.float32)
     model = Model(idf, basis, np.zeros((0, dims), np.float32), votes, float(votes.mean()))
     some = counts.sum(axis=1) > 0
