@@ -139,38 +139,47 @@ def trend_signals(features: DataFrame, key: str = "symbol") -> DataFrame:
                        trend_signal("close", "ma_50").alias("current_vs_ma50"))
 
 
+def _last_indicators(bars: DataFrame, names: list[str], key: str, chunk_rows: int, full: bool
+                     ) -> tuple[DataFrame, DataFrame]:
+    """(symbol, _l): the newest bar's indicators, and the tail they came from.
+
+    An indicator of the newest bar reads the longest window and what the
+    exponential averages have not forgotten, not the whole history.
+    """
+    from tickforge.operators.features import MACD_HALO, rolling_indicators, technical_features
+    from tickforge.session import cut_lineage
+    reach = MACD_HALO + max(S.MA_WINDOWS) if full else max(S.MA_WINDOWS)
+    tail = cut_lineage(tail_n(bars, reach, key))
+    f = technical_features(tail, key, chunk_rows) if full else rolling_indicators(tail, key, chunk_rows)
+    return f.groupBy(key).agg(F.max_by(F.struct(*names), "date").alias("_l")), tail
+
+
 def analyze_symbols(bars: DataFrame, preprocess: bool = True, key: str = "symbol",
                     chunk_rows: int = seq.DEFAULT_CHUNK_ROWS, materialize: bool = True
                     ) -> DataFrame:
     """One analysis row per symbol, for all symbols in one job.
 
-    With ``materialize`` the per-bar features are checkpointed before the
-    per-symbol summary (which reads them three times)."""
+    Returns, volatility and extremes read every bar; the indicators, of which
+    only the newest values are reported, are computed on the tail of each symbol.
+    """
     from tickforge.operators.clean import full_pipeline
-    from tickforge.operators.features import rolling_indicators
     from tickforge.session import cut_lineage
-    if preprocess:
-        f = full_pipeline(bars, key=key, chunk_rows=chunk_rows, materialize=materialize)
-    else:
-        f = rolling_indicators(bars, key, chunk_rows)
-    if materialize:
-        f = cut_lineage(f)
-    f = f.select(key, "date", "open", "high", "low", "close", "volume", "daily_return",
-                 "ma_20", "ma_50", "rsi", "macd", "macd_signal", "macd_histogram",
-                 "bb_position") if preprocess else f.select(
-        key, "date", "high", "low", "close", "volume", "daily_return", "ma_20", "ma_50")
+    x = full_pipeline(bars, add_features=False, key=key, chunk_rows=chunk_rows,
+                      materialize=materialize) if preprocess else bars
+    x = x.select(key, "date", "open", "high", "low", "close", "volume")
+    x = cut_lineage(x) if materialize else x
     last_cols = ["close", "ma_20", "ma_50"] + (
         ["rsi", "macd", "macd_signal", "macd_histogram", "bb_position"] if preprocess else [])
-    summary = f.groupBy(key).agg(
-        F.max_by(F.struct(*last_cols), "date").alias("_l"),
+    last, tail = _last_indicators(x, last_cols, key, chunk_rows, preprocess)
+    summary = with_daily_return(x, key, chunk_rows).groupBy(key).agg(
         F.min_by("close", "date").alias("_first_close"),
         F.max("date").alias("latest_date"), F.min("date").alias("start_date"),
         F.count(F.lit(1)).alias("total_records"),
         (F.stddev_samp("daily_return") * 100).alias("_vol"),
         F.max("high").alias("highest_price"), F.min("low").alias("lowest_price"),
         F.avg("volume").cast("long").alias("average_volume"))
-    recent = recent_return(f.select(key, "date", "close"), 20, key)
-    out = summary.join(recent, key, "left")
+    recent = recent_return(tail.select(key, "date", "close"), 20, key)
+    out = seq.join_on_key(seq.join_on_key(summary, last, [key]), recent, [key])
     cols = [key, F.col("_l.close").alias("latest_price"), "latest_date", "total_records",
             "start_date", F.col("latest_date").alias("end_date"),
             F.round(pct("_l.close", "_first_close"), 2).alias("total_return_percent"),

@@ -211,12 +211,17 @@ def fill_volume_median(df: DataFrame, key: str = "symbol", method: str = "exact"
 
 
 def clean_bars(df: DataFrame, key: str = "symbol", order: str = "ingest_seq",
-               chunk_rows: int = seq.DEFAULT_CHUNK_ROWS) -> DataFrame:
-    """keep-last -> fill prices -> volume median -> drop non-positive -> repair."""
+               chunk_rows: int = seq.DEFAULT_CHUNK_ROWS, materialize: bool = True) -> DataFrame:
+    """keep-last -> fill prices -> volume median -> drop non-positive -> repair.
+
+    With ``materialize`` the input is read once and the bars, which the fills
+    read several times, go through the shared folder."""
+    from tickforge.session import cut_lineage
+    cut = cut_lineage if materialize else (lambda x: x)
     x = dedup_keep_last(df, (key, "date"), order)
     if order in x.columns:
         x = x.drop(order)
-    x = fill_prices(x, key, chunk_rows=chunk_rows)
+    x = cut(fill_prices(cut(x), key, chunk_rows=chunk_rows))
     x = fill_volume_median(x, key)
     x = filter_positive_ohlc(x)
     return repair_ohlc(x)
@@ -343,7 +348,7 @@ def full_pipeline(df: DataFrame, add_features: bool = True, handle_outliers: boo
     """
     from tickforge.operators.features import technical_features
     from tickforge.session import cut_lineage
-    x = clean_bars(df, key, chunk_rows=chunk_rows)
+    x = clean_bars(df, key, chunk_rows=chunk_rows, materialize=materialize)
     if handle_outliers:
         x = outliers_iqr(cut_lineage(x) if materialize else x, key=key)
     if add_features:

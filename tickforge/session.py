@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -70,26 +71,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut_lineage(df, eager: bool = True):
-    """Truncate a long plan with a reliable checkpoint in the shared folder.
+def cut_lineage(df):
+    """Truncate a long plan: write it to the shared folder and read it back.
 
     Composite operators call this between stages: every "aggregate, then join
     back" step embeds a second copy of its input plan, so deep pipelines grow
-    (and recompute) exponentially without a cut. ``localCheckpoint`` is never
-    used: its blocks die with the executor.
+    (and recompute) exponentially without a cut. The table is computed once,
+    compressed, pruned by column on re-read, and survives the loss of any
+    executor.
     """
-    from pyspark import StorageLevel
-    ensure_checkpoint_dir(df.sparkSession)
-    # Without a persisted copy Spark computes the plan twice: once for the
-    # eager count and again while writing the checkpoint files.
-    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-    out = cached.checkpoint(eager=eager)
-    if eager:
-        cached.unpersist(blocking=False)
-    return out
+    spark = df.sparkSession
+    path = scratch_path(spark, f"cut-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for intermediate tables."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, "tickforge-tables", name)
+    return os.path.join(shared_folder(spark), "tickforge-tables", name)
