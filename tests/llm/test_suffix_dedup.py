@@ -37,6 +37,26 @@ def test_odd_rows(odd, none):
     assert sd.remove_repeats(none).count() == 0
 
 
+def test_named_repeats_have_all_their_occurrences(spark):
+    least, texts = 40, [t for t in pasted(8)[5:45]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    _, owners, repeats = sd.find_repeats(docs, least=least, seed=12)
+    owner = {r.h1: r.doc for r in owners.collect()}
+    groups = {}
+    for r in repeats.collect():
+        body = texts[owner[r.ref]].encode()[r.start:r.end]
+        assert len(body) >= least
+        groups.setdefault(body, set()).add((owner[r.ref], r.start))
+    distinct = [texts[i].encode() for i in sorted(owner.values())]
+    assert groups and all(len(g) >= 2 for g in groups.values())
+    # every doubled window of the corpus lies in a group
+    seen = {}
+    for t in distinct:
+        for i in range(len(t) - least + 1):
+            seen[t[i:i + least]] = seen.get(t[i:i + least], 0) + 1
+    assert all(any(w in body for body in groups) for w, n in seen.items() if n > 1)
+
+
 def test_anchors_do_not_depend_on_blocks(monkeypatch):
     import numpy as np
     data = np.random.default_rng(2).integers(97, 100, 5000).astype(np.uint8)

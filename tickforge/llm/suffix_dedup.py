@@ -123,31 +123,67 @@ def _widest(gaps: np.ndarray) -> np.ndarray:
     return np.maximum(gaps, np.append(gaps[1:], 0))
 
 
-def extents(lefts: list[bytes], rights: list[bytes], least: int = LEAST) -> set[tuple[int, int, int]]:
-    """(member, l, r): bytes before and after the member's anchor that some other
-    member shares, with l + r >= ``least``. Contexts may not repeat.
+Node = tuple[np.ndarray, np.ndarray, int]
+
+
+def suffix_nodes(lefts: list[bytes], rights: list[bytes], least: int = LEAST) -> Iterator[Node]:
+    """(members, gaps, r) of every set of suffixes that share r bytes and may hold
+    a repeat of ``least``: its members in left order, and the bytes that each
+    shares with its predecessor before their anchors.
 
     ``lefts`` are read towards the start of the text.
     """
-    n, out = len(lefts), set()
+    n = len(lefts)
     if n < 2:
-        return out
+        return
     by_left = sorted(range(n), key=lefts.__getitem__)
     left_gap = _adjacent([lefts[i] for i in by_left])
     by_right = sorted(range(n), key=rights.__getitem__)
     right_gap = _adjacent([rights[i] for i in by_right])
-    if left_gap.max() + right_gap.max() < least:
-        return out
+    widest = int(left_gap.max())
+    if widest + right_gap.max() < least:
+        return
     rank = np.empty(n, np.int64)
     rank[by_left] = np.arange(n)
     order, lowest, place = np.array(by_right), _RangeMin(left_gap), np.array(by_left)
     for first, last, depth in lcp_intervals(right_gap.tolist()):
+        if depth + widest < least:
+            continue
+        if last - first == 1:
+            pair = order[first:last + 1]
+            reach = common_prefix(lefts[pair[0]], lefts[pair[1]])
+            if reach + depth >= least:
+                yield pair, np.array([0, reach]), depth
+            continue
         ranks = np.sort(rank[order[first:last + 1]])
-        gaps = np.concatenate([[0], lowest(ranks[:-1] + 1, ranks[1:])])
+        yield place[ranks], np.append(0, lowest(ranks[:-1] + 1, ranks[1:])), depth
+
+
+def maximal_repeats(nodes: Iterator[Node], least: int = LEAST) -> Iterator[tuple[np.ndarray, int, int]]:
+    """(members, l, r): every set that shares l bytes before and r after its anchors.
+
+    In left order the members split where their left extensions differ; a part
+    that cannot be extended as a whole is a maximal repeat with all occurrences.
+    """
+    for members, gaps, depth in nodes:
+        for first, last, reach in lcp_intervals(gaps.tolist()):
+            if reach + depth >= least:
+                yield members[first:last + 1], reach, depth
+
+
+def hull(nodes: Iterator[Node], n: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """Per member the bytes before and after its anchor that some repeat covers.
+
+    All repeats of a member hold its anchor, so their union is one stretch.
+    """
+    before, after = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for members, gaps, depth in nodes:
         reach = _widest(gaps)
-        for i in np.flatnonzero(reach + depth >= least):
-            out.add((int(place[ranks[i]]), int(reach[i]), depth))
-    return out
+        enough = reach + depth >= least
+        some = members[enough]
+        before[some] = np.maximum(before[some], reach[enough])
+        after[some] = np.maximum(after[some], depth)
+    return before, after
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -184,7 +220,7 @@ def anchor_rows(texts: DataFrame, least: int, seed: int) -> DataFrame:
 
 
 def classify(rows: DataFrame) -> DataFrame:
-    """(ref, loc, full, edges): anchors with a repeated context, and per seed with
+    """(ctx, ref, loc, full, edges): anchors with a repeated context, and per seed with
     several contexts one anchor of each, as array<struct<seed, ref, loc>>."""
     rows = rows.repartition("seed").dropDuplicates(["seed", "ctx", "ref", "loc"])
     order = Window.partitionBy("seed").orderBy("ctx", "ref", "loc")
@@ -197,7 +233,7 @@ def classify(rows: DataFrame) -> DataFrame:
     lead = F.struct("seed", F.col("first_ref").alias("ref"), F.col("first_loc").alias("loc"))
     starts = F.coalesce(F.col("prev") != F.col("ctx"), F.lit(False))
     edges = F.when(starts & (F.col("prev") == F.col("first_ctx")), F.array(lead, this)).when(starts, F.array(this))
-    return seen.select("ref", "loc", full.alias("full"), edges.alias("edges")).where("full or edges is not null")
+    return seen.select("ctx", "ref", "loc", full.alias("full"), edges.alias("edges")).where("full or edges is not null")
 
 
 def contexts(texts: DataFrame, owners: DataFrame, edges: DataFrame, before: int, whole: bool) -> DataFrame:
@@ -237,45 +273,63 @@ def contexts(texts: DataFrame, owners: DataFrame, edges: DataFrame, before: int,
 _CONTEXT = ["seed", "ref", "pos", "hl", "hr", "lhs", "rhs"]
 
 
-def _spans(group: pd.DataFrame, least: int) -> list[tuple[int, int, int, int]]:
-    """(repeat, ref, start, end) from the contexts of one node."""
+def _spans(group: pd.DataFrame, least: int, named: bool) -> pd.DataFrame:
+    """(repeat, ref, start, end) from the contexts of one node: one stretch per
+    anchor, or if ``named`` one row per maximal repeat and occurrence."""
     sides = {}
     for c, h in (("lhs", "hl"), ("rhs", "hr")):
-        known = group[c].notna()
-        sides[c] = dict(zip(group.loc[known, h], group.loc[known, c], strict=True))
-    group = group.drop_duplicates(["hl", "hr"])
-    refs, places = group["ref"].tolist(), group["pos"].tolist()
+        known = group[c].notna().to_numpy()
+        sides[c] = dict(zip(group[h].to_numpy()[known], group[c].to_numpy()[known], strict=True))
+    if group.duplicated(["hl", "hr"]).any():
+        group = group.drop_duplicates(["hl", "hr"])
+    refs, places = group["ref"].to_numpy(), group["pos"].to_numpy()
     lefts = [bytes(sides["lhs"][h]) for h in group["hl"]]
     rights = [bytes(sides["rhs"][h]) for h in group["hr"]]
-    out = []
-    for i, before, after in extents(lefts, rights, least):
-        name = xxhash.xxh3_64_intdigest(lefts[i][:before][::-1] + rights[i][:after])
-        out.append((_signed(name), refs[i], places[i] - before, places[i] + after))
-    return out
+    nodes = suffix_nodes(lefts, rights, least)
+    if named:
+        out = []
+        for members, k, r in maximal_repeats(nodes, least):
+            one = members[0]
+            name = _signed(xxhash.xxh3_64_intdigest(lefts[one][:k][::-1] + rights[one][:r]))
+            out += [(name, refs[i], places[i] - k, places[i] + r) for i in members.tolist()]
+        return pd.DataFrame(out, columns=_SPAN)
+    before, after = hull(nodes, len(lefts), least)
+    some = after > 0
+    return pd.DataFrame({"repeat": 0, "ref": refs[some], "start": (places - before)[some], "end": (places + after)[some]})
+
+
+_SPAN = ["repeat", "ref", "start", "end"]
 
 
-def solve(rows: DataFrame, least: int) -> DataFrame:
+def solve(rows: DataFrame, least: int, named: bool) -> DataFrame:
     """(repeat, ref, start, end) of all rows of ``contexts``, seed by seed."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size = [], 0
-        names = ["repeat", "ref", "start", "end"]
+        held = []
         for batch in batches:
             seeds = batch["seed"].to_numpy()
-            cuts = np.flatnonzero(np.diff(seeds)) + 1
-            edges = [0, *cuts.tolist(), len(batch)]
-            out = []
+            edges = [0, *(np.flatnonzero(np.diff(seeds)) + 1).tolist(), len(batch)]
             for lo, hi in zip(edges, edges[1:], strict=False):
                 part = batch.iloc[lo:hi]
-                if held and held[-1]["seed"].iloc[0] != part["seed"].iloc[0]:
-                    out += _spans(pd.concat(held) if len(held) > 1 else held[0], least)
+                if held and held[-1]["seed"].iloc[0] != seeds[lo]:
+                    yield _spans(pd.concat(held) if len(held) > 1 else held[0], least, named)
                     held = []
                 held.append(part)
-            yield pd.DataFrame(out, columns=names)
         if held:
-            yield pd.DataFrame(_spans(pd.concat(held), least), columns=names)
+            yield _spans(pd.concat(held), least, named)
+
+    def batched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out, size = [], 0
+        for spans in run(batches):
+            out.append(spans)
+            size += len(spans)
+            if size > 20_000 or len(out) > 1000:
+                yield pd.concat(out)
+                out, size = [], 0
+        if out:
+            yield pd.concat(out)
 
     return rows.repartition("seed").sortWithinPartitions("seed").mapInPandas(
-        run, "repeat long, ref long, start long, end long")
+        batched, "repeat long, ref long, start long, end long")
 
 
 @F.pandas_udf(IntegerType())
@@ -284,7 +338,7 @@ def _lcp(a: pd.Series, b: pd.Series) -> pd.Series:
                       for x, y in zip(a, b, strict=True)], dtype="int32")
 
 
-def solve_large(rows: DataFrame, least: int, group: int) -> DataFrame:
+def solve_large(rows: DataFrame, least: int, group: int, named: bool) -> DataFrame:
     """As ``solve`` for seeds of any size: the top of the tree level by level.
 
     A node's depth is the common prefix of its least and greatest suffix, a
@@ -297,7 +351,7 @@ def solve_large(rows: DataFrame, least: int, group: int) -> DataFrame:
         stats = state.groupBy("node").agg(F.count("*").alias("n"), F.min("rhs").alias("lo"), F.max("rhs").alias("hi"))
         stats = stored(stats.select("node", "n", _lcp("lo", "hi").alias("depth")), "nodes")
         fits = state.join(stats.where(F.col("n") <= group).select("node"), "node")
-        some = solve(fits.select(F.col("node").alias("seed"), *_CONTEXT[1:]), least)
+        some = solve(fits.select(F.col("node").alias("seed"), *_CONTEXT[1:]), least, named)
         out = some if out is None else out.unionByName(some)
         large = stats.where(F.col("n") > group)
         if large.isEmpty():
@@ -335,9 +389,13 @@ def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST,
-                 seed: int = SEED, group: int = GROUP) -> tuple[DataFrame, DataFrame, DataFrame]:
+                 seed: int = SEED, group: int = GROUP, named: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, owners, repeats): rows (doc, h1, h2, n); owners one row per distinct
-    text (h1, h2, doc, copies, n); repeats (repeat, ref, start, end) between them."""
+    text (h1, h2, doc, copies, n); repeats (repeat, ref, start, end) between them.
+
+    ``named``: every maximal repeat with all its occurrences, which share
+    ``repeat``; else one covered stretch per anchor, which is all removal needs.
+    """
     texts = _texts(docs, id_col, text_col)
     rows = stored(texts.select("doc", "h1", "h2", F.octet_length("body").cast("long").alias("n")), "texts")
     owners = stored(rows.groupBy("h1", "h2").agg(F.min("doc").alias("doc"), F.count("*").alias("copies"),
@@ -345,18 +403,18 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     hits = stored(classify(anchor_rows(texts, least, seed)), "hits")
     pos = F.floor(F.col("loc") / _PACK)
     full = hits.where("full").select(
-        F.lit(None).cast("long").alias("repeat"), "ref", (pos - F.least(pos, F.lit(least - seed))).alias("start"),
+        F.col("ctx").alias("repeat"), "ref", (pos - F.least(pos, F.lit(least - seed))).alias("start"),
         (pos + F.pmod("loc", F.lit(_PACK))).alias("end"))
     edges = stored(hits.where("edges is not null").select(F.inline("edges")), "edges")
     sizes = edges.groupBy("seed").agg(F.count("*").alias("size"))
     large = stored(sizes.where(F.col("size") > group).select("seed"), "large")
     owned = owners.select("doc", "h1")
     if large.isEmpty():
-        found = solve(contexts(texts, owned, edges, least - seed, False), least)
+        found = solve(contexts(texts, owned, edges, least - seed, False), least, named)
     else:
         few, many = edges.join(large, "seed", "left_anti"), edges.join(large, "seed", "left_semi")
-        found = solve(contexts(texts, owned, few, least - seed, False), least).unionByName(
-            solve_large(stored(contexts(texts, owned, many, least - seed, True), "contexts"), least, group))
+        found = solve(contexts(texts, owned, few, least - seed, False), least, named).unionByName(
+            solve_large(stored(contexts(texts, owned, many, least - seed, True), "contexts"), least, group, named))
     repeats = stored(full.unionByName(found), "repeats")
     discard(hits)
     discard(edges)
@@ -366,7 +424,7 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST,
                    seed: int = SEED, group: int = GROUP) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept) per row; ``kept`` is binary."""
-    rows, owners, repeats = find_repeats(docs, id_col, text_col, least, seed, group)
+    rows, owners, repeats = find_repeats(docs, id_col, text_col, least, seed, group, named=False)
     single = owners.where("copies = 1").select(F.col("h1").alias("ref"), "doc", "n")
     spans = repeats.groupBy("ref").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     merged = single.join(spans, "ref").select("ref", "n", "spans").mapInPandas(
