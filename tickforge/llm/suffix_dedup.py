@@ -265,7 +265,8 @@ def contexts(texts: DataFrame, owners: DataFrame, edges: DataFrame, before: int,
                     out = []
             yield pd.DataFrame(out, columns=_CONTEXT)
 
-    found = texts.select("doc", "h1", "body").join(wanted, ["doc", "h1"])
+    # Sorted by hash on both sides: what is wanted grows with the corpus, so it is never broadcast.
+    found = texts.select("doc", "h1", "body").join(wanted.hint("merge"), ["doc", "h1"])
     return found.select("h1", "body", "wants").mapInPandas(
         cut, "seed long, ref long, pos long, hl long, hr long, lhs binary, rhs binary")
 
@@ -439,7 +440,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     raw: Column = F.col("body").cast("binary")
     rest = F.array_join(F.transform("keep", lambda k: F.substring(
         raw, (k["at"] + 1).cast("int"), k["len"].cast("int")).cast("string")), "").cast("binary")
-    joined = _texts(docs, id_col, text_col).select("id", "doc", "h1", "body").join(fate, ["doc", "h1"], "left")
+    joined = _texts(docs, id_col, text_col).select("id", "doc", "h1", "body").join(fate.hint("merge"), ["doc", "h1"], "left")
     return joined.select(F.col("id").alias(id_col), F.octet_length("body").cast("long").alias("n_bytes"),
                          F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
                          F.coalesce("n_spans", F.lit(0)).alias("n_spans"),
