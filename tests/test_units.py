@@ -123,17 +123,3 @@ def test_missing_column_raises(spark):
     df = spark.createDataFrame([("2020-01-01", 1.0)], "date string, close double")
     with pytest.raises(ValueError):
         C.require_columns(C.default_symbol(df))
-
-
-def test_ar_order_selection_recovers_ar2(spark):
-    from tickforge.operators.arima import ar_select, arp_forecast
-    rng = np.random.default_rng(3)
-    y = [0.0, 0.0]
-    for _ in range(2000):
-        y.append(0.5 * y[-1] - 0.3 * y[-2] + rng.normal())
-    df = bars(spark, [v + 50.0 for v in y])
-    f = ar_select(df, 5, d=0).first()
-    assert f.p == 2 and abs(f.phi[0] - 0.5) < 0.1 and abs(f.phi[1] + 0.3) < 0.1
-    fc = arp_forecast(df, 10, d=0).orderBy("forecast_step").toPandas()
-    width = (fc.upper_ci - fc.lower_ci).to_numpy()
-    assert len(fc) == 10 and (np.diff(width) >= -1e-9).all()

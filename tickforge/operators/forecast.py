@@ -7,6 +7,8 @@ task; forecasts are a per-symbol recursion over ``sequence(1, days)``.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from tickforge import schema as S
@@ -25,7 +27,7 @@ def with_horizon(fit: DataFrame, horizon: DataFrame | None, key: str) -> DataFra
     """Attach a per-symbol ``_days`` column (symbols without one are dropped)."""
     if horizon is None:
         return fit
-    return fit.join(horizon.select(key, F.col("days").alias("_days")), key)
+    return seq.join_on_key(fit, horizon.select(key, F.col("days").alias("_days")), [key], "inner")
 
 
 def forecast_spine(last: DataFrame, days) -> DataFrame:
@@ -113,34 +115,34 @@ def ar_fit(df: DataFrame, d: int = 1, key: str = "symbol") -> DataFrame:
 
 def ar_forecast(df: DataFrame, days: int = 30, d: int = 1, key: str = "symbol",
                 horizon: DataFrame | None = None) -> DataFrame:
-    """Recursive h-step forecast with a 95 % interval from psi weights."""
+    """ARI(1, d) forecast, d 0 or 1, with a 95 % interval: closed form per step.
+
+    z(h) = m + phi^h (z - m) with m = c / (1 - phi); its sum and the variance of
+    the shocks are geometric sums. phi within 1e-6 of 1 takes their limits.
+    """
+    if d not in (0, 1):
+        raise ValueError(f"ARI(1, d) knows d = 0 and 1, not {d}; arima_forecast takes more")
     fit = with_horizon(ar_fit(df, d, key), horizon, key)
-    steps = F.sequence(F.lit(1), _days("_days" if horizon is not None else days))
-    # state: (z, level, psi_j, sum_psi, var_factor) per step
-    init = F.struct(F.col("last_z").alias("z"), F.col("last_close").alias("y"),
-                    F.lit(1.0).alias("psi"), F.lit(0.0).alias("cum"), F.lit(0.0).alias("v"),
-                    F.array().cast("array<struct<y:double,v:double>>").alias("out"))
-
-    def step(acc, _h):
-        z = F.col("c") + F.col("phi") * acc["z"]
-        y = (acc["y"] + z) if d == 1 else z
-        # integrated weight of the shock j steps back: sum_{i<=j} phi^i
-        cum = acc["cum"] * F.col("phi") + F.lit(1.0) if d == 1 else acc["psi"]
-        v = acc["v"] + (cum * cum if d == 1 else acc["psi"] * acc["psi"])
-        return F.struct(z.alias("z"), y.alias("y"), (acc["psi"] * F.col("phi")).alias("psi"),
-                        cum.alias("cum"), v.alias("v"),
-                        F.concat(acc["out"], F.array(F.struct(y.alias("y"), v.alias("v"))))
-                        .alias("out"))
-
-    path = fit.select(key, "last_date", "sigma2",
-                      F.aggregate(steps, init, step)["out"].alias("_path"))
-    x = path.select(key, "last_date", "sigma2", F.posexplode("_path").alias("_i", "_p"))
-    pred = F.col("_p.y")
-    half = F.lit(Z95) * F.sqrt(F.col("sigma2") * F.col("_p.v"))
-    return x.select(key, (F.col("_i") + 1).cast("int").alias("forecast_step"),
-                    F.date_add("last_date", F.col("_i") + 1).cast("timestamp_ntz").alias("date"),
-                    pred.alias("predicted_value"), (pred - half).alias("lower_ci"),
-                    (pred + half).alias("upper_ci"), F.lit("ar").alias("model_used"))
+    sp = forecast_spine(fit, "_days" if horizon is not None else days)
+    h, z, y = F.col("forecast_step").cast("double"), F.col("last_z"), F.col("last_close")
+    c, phi = F.col("c"), F.col("phi")
+    unit = F.abs(1 - phi) < 1e-6
+    q, ph = 1 - phi, F.pow(phi, h)
+    mean = c / q
+    geo, geo2 = (1 - ph) / q, (1 - ph * ph) / (1 - phi * phi)
+    if d == 1:
+        pred = F.when(unit, y + h * z + c * h * (h + 1) / 2).otherwise(y + h * mean + (z - mean) * phi * geo)
+        spread = F.when(unit, h * (h + 1) * (2 * h + 1) / 6).otherwise(
+            (h - 2 * phi * geo + phi * phi * geo2) / (q * q))
+    else:
+        pred = F.when(unit, z + h * c).otherwise(mean + ph * (z - mean))
+        spread = F.when(unit, h).otherwise(geo2)
+    # without a slope (constant or too short) the last close goes on
+    pred = F.coalesce(pred, y)
+    half = F.lit(Z95) * F.sqrt(F.col("sigma2") * spread)
+    return sp.select(key, F.col("forecast_step").cast("int").alias("forecast_step"), "date",
+                     pred.alias("predicted_value"), (pred - half).alias("lower_ci"),
+                     (pred + half).alias("upper_ci"), F.lit("ar").alias("model_used"))
 
 
 # MacKinnon asymptotic 5 % critical value, constant and no trend.
@@ -167,17 +169,15 @@ def _seasonal(df, days=30, key="symbol", horizon=None):
     return seasonal_trend_forecast(df, days, key, horizon=horizon)
 
 
-def _arp(df, days=30, key="symbol", horizon=None):
-    from tickforge.operators.arima import arp_forecast
-    return arp_forecast(df, days, key=key, horizon=horizon).withColumn(
-        "model_used", F.lit("arp"))
+def _arima(df, days=30, key="symbol", horizon=None):
+    from tickforge.operators.arima import arima_forecast
+    return arima_forecast(df, days, key, horizon).withColumn("model_used", F.lit("arima"))
 
 
-MODELS = {"drift": drift_forecast, "ar": ar_forecast, "seasonal_trend": _seasonal,
-          "arp": _arp}
+MODELS = {"drift": drift_forecast, "ar": ar_forecast, "seasonal_trend": _seasonal, "arima": _arima}
 
 
-def evaluate_models(df: DataFrame, models=("drift", "ar"), key: str = "symbol"
+def evaluate_models(df: DataFrame, models=("arima", "seasonal_trend"), key: str = "symbol"
                     ) -> DataFrame:
     """Fit every model on the first 80 % of each symbol, score the rest.
 
@@ -197,19 +197,24 @@ def evaluate_models(df: DataFrame, models=("drift", "ar"), key: str = "symbol"
                           [key, "forecast_step"]).withColumnRenamed("predicted_value",
                                                                      "predicted")
         out.append(regression_metrics(pairs, by=(key,)).withColumn("model_name", F.lit(m)))
-    from functools import reduce
     return reduce(lambda a, b: a.unionByName(b), out)
 
 
-def select_and_forecast(df: DataFrame, days: int = 30, models=("drift", "ar"),
+def select_and_forecast(df: DataFrame, days: int = 30, models=("arima", "seasonal_trend"),
                         key: str = "symbol") -> DataFrame:
-    """Best model per symbol by test RMSE, refit on all rows, forecast ``days``."""
-    best = best_model(evaluate_models(df, models, key), "rmse", by=(key,))
-    from functools import reduce
-    fc = reduce(lambda a, b: a.unionByName(b), [MODELS[m](df, days=days, key=key)
-                                                for m in models])
-    return fc.join(best.select(key, F.col("best_model").alias("model_used")),
-                   [key, "model_used"], "left_semi")
+    """Best model per symbol by test RMSE, refit on all rows, forecast ``days``.
+
+    A symbol that no model could score (too short to split) takes the first one.
+    Each model is refit only on the symbols that it won.
+    """
+    from tickforge.session import cut_lineage
+    df = cut_lineage(df)
+    best = best_model(evaluate_models(df, models, key), "rmse", by=(key,)).select(key, "best_model")
+    chosen = cut_lineage(seq.join_on_key(df.select(key).distinct(), best, [key]).select(
+        key, F.coalesce("best_model", F.lit(models[0])).alias("_model")))
+    tagged = seq.join_on_key(df, chosen, [key], "inner")
+    parts = [MODELS[m](tagged.where(F.col("_model") == m).drop("_model"), days=days, key=key) for m in models]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def save_params(params: DataFrame, path: str) -> str:

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tickforge import schema as S
+from tickforge.operators import sequence as seq
 from tickforge.operators.features import MODEL_FEATURES
 from tickforge.operators.forecast import random_split, temporal_split
+from tickforge.session import cut_lineage
 
 
 def prepare_for_modeling(df: DataFrame, target: str = "target", drop_na: bool = True
@@ -31,31 +36,65 @@ def standard_scale(train: DataFrame, other: DataFrame | None = None,
             model.transform(other).drop("_raw") if other is not None else None)
 
 
-def gbt_pipeline(features=MODEL_FEATURES, max_iter: int = 100, depth: int = 5,
-                 step: float = 0.05, seed: int = 42) -> Pipeline:
-    asm = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
+#: Forecast distances whose labels are trained on; others are interpolated by the trees.
+HORIZONS = (1, 2, 3, 5, 8, 13, 21, 30)
+ROUNDS, LEARNING_RATE, DEPTH, VALIDATION_TOL = 500, 0.05, 5, 1e-4
+
+
+def gbt_pipeline(features=MODEL_FEATURES, rounds: int = ROUNDS, depth: int = DEPTH,
+                 step: float = LEARNING_RATE, seed: int = 42) -> Pipeline:
+    """Assemble -> z-score -> boosted trees.
+
+    Up to ``rounds`` rounds; training ends at the first round that no longer
+    lowers the error on the validation rows by ``VALIDATION_TOL``.
+    """
+    asm = VectorAssembler(inputCols=[*features, "horizon"], outputCol="_raw")
+    scaler = StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True)
     gbt = GBTRegressor(featuresCol="features", labelCol="label", maxDepth=depth, stepSize=step,
-                       maxIter=max_iter, subsamplingRate=0.8, featureSubsetStrategy="0.9",
-                       validationTol=1e-4, seed=seed)
-    return Pipeline(stages=[asm, gbt])
+                       maxIter=rounds, subsamplingRate=0.8, featureSubsetStrategy="0.9",
+                       validationIndicatorCol="is_validation", validationTol=VALIDATION_TOL, seed=seed)
+    return Pipeline(stages=[asm, scaler, gbt])
 
 
-def with_label(features: DataFrame) -> DataFrame:
-    """Label = next-day return (trees cannot extrapolate price levels)."""
-    return features.withColumn("label", F.try_divide(F.col("target"), F.col("close")) - 1)
+def horizon_rows(features: DataFrame, horizons=HORIZONS, key: str = "symbol") -> DataFrame:
+    """One row per bar and forecast distance that the history covers: the bar's
+    features, ``horizon``, ``actual`` = the close that many bars later, and
+    ``label`` = the return to it (trees cannot extrapolate price levels)."""
+    s = seq.chunked(features, key, "date", fwd=max(horizons))
+    w = seq.window(key)
+    later = F.array(*[F.struct(F.lit(h).alias("horizon"), F.lead("close", h).over(w).alias("actual")) for h in horizons])
+    x = seq.drop_halo(s.select("*", later.alias("_later"))).drop("target")
+    x = x.select(*[c for c in x.columns if c != "_later"], F.inline("_later"))
+    x = x.withColumn("label", F.try_divide(F.col("actual"), F.col("close")) - 1)
+    return x.dropna(subset=[*MODEL_FEATURES, "label"])
 
 
-def gbt_train(features: DataFrame, split: str = "temporal", max_iter: int = 100
+def gbt_train(features: DataFrame, split: str = "temporal", rounds: int = ROUNDS, horizons=HORIZONS
               ) -> tuple[PipelineModel, DataFrame]:
-    """Fit on all symbols at once; return the model and test predictions."""
-    x = with_label(prepare_for_modeling(features)).dropna()
+    """Fit on all symbols at once; return the model and test predictions.
+
+    The last fifth of every symbol's bars (``split`` random: of all bars) is the
+    test set; a tenth of the rest, by hash of the row key, is the validation set.
+    """
+    x = prepare_for_modeling(features, drop_na=False).dropna(subset=list(MODEL_FEATURES))
     sp = temporal_split(x) if split == "temporal" else random_split(x)
-    train = sp.filter("is_train").drop("is_train")
-    test = sp.filter(~F.col("is_train")).drop("is_train")
-    model = gbt_pipeline(max_iter=max_iter).fit(train)
+    rows = horizon_rows(sp, horizons)
+    # a label must not look into the test bars: its bar and the bar it names are both in train
+    ends = sp.where("is_train").groupBy("symbol").agg(F.max("date").alias("_end"), F.count(F.lit(1)).alias("_n"))
+    rows = cut_lineage(rows)
+    if split == "temporal":
+        last = seq.join_on_key(seq.with_position(sp.where("is_train").select("symbol", "date"), "symbol", "date"),
+                               ends.select("symbol", "_n"), ["symbol"], "inner")
+        left = last.select("symbol", "date", (F.col("_n") - 1 - F.col(seq.RN)).alias("_left"))
+        train = rows.where("is_train").join(left, ["symbol", "date"]).where("horizon <= _left").drop("_left")
+    else:
+        train = rows.where("is_train")
+    key = F.concat_ws("|", F.col("symbol"), F.col("date").cast("string"))
+    train = cut_lineage(train.withColumn("is_validation", F.pmod(F.xxhash64(key), F.lit(10)) == 0))
+    model = gbt_pipeline(rounds=rounds).fit(train)
+    test = rows.where(~F.col("is_train") & (F.col("horizon") == 1)).withColumn("is_validation", F.lit(False))
     pred = model.transform(test).select(
-        "symbol", "date", F.col("target").alias("actual"),
-        (F.col("close") * (1 + F.col("prediction"))).alias("predicted"))
+        "symbol", "date", "actual", (F.col("close") * (1 + F.col("prediction"))).alias("predicted"))
     return model, pred
 
 
@@ -63,30 +102,50 @@ def feature_importance(spark: SparkSession, model: PipelineModel,
                        features=MODEL_FEATURES) -> DataFrame:
     """(feature, importance, rank) of the fitted trees, most important first."""
     imp = model.stages[-1].featureImportances.toArray().tolist()
-    rows = [(f, float(v)) for f, v in zip(features, imp)]
+    rows = [(f, float(v)) for f, v in zip([*features, "horizon"], imp)]
     df = spark.createDataFrame(rows, "feature string, importance double")
     return df.orderBy(F.col("importance").desc(), "feature")
 
 
-def gbt_forecast(model: PipelineModel, features: DataFrame) -> DataFrame:
-    """One-step forecast from every symbol's latest feature row (target not
-    required, so the newest bar is used)."""
-    last = features.groupBy("symbol").agg(F.max("date").alias("date"))
-    x = features.join(last, ["symbol", "date"]).dropna(subset=list(MODEL_FEATURES))
-    p = model.transform(x)
-    return p.select("symbol", F.lit(1).alias("forecast_step"),
-                    F.date_add("date", 1).cast("timestamp_ntz").alias("date"),
-                    (F.col("close") * (1 + F.col("prediction"))).alias("predicted_value"),
-                    F.lit("gbt").alias("model_used"))
+def gbt_forecast(model: PipelineModel, features: DataFrame, days: int = 30) -> DataFrame:
+    """Forecast of the next ``days`` calendar days from each symbol's newest bar
+    with complete features (the target is not needed). A symbol without such a
+    bar keeps its last close (``model_used`` last_close)."""
+    full = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in MODEL_FEATURES])
+    ends = features.groupBy("symbol").agg(
+        F.max("date").alias("_last"), F.max_by("close", "date").alias("_close"),
+        F.max_by(F.struct(*MODEL_FEATURES), F.when(full, F.col("date"))).alias("_f"))
+    spine = ends.select("*", F.explode(F.sequence(F.lit(1), F.lit(days))).alias("horizon"))
+    ready = spine.where(F.col("_f").isNotNull()).select("symbol", "_last", "horizon", "_f.*")
+    said = model.transform(ready.withColumn("is_validation", F.lit(False))).select(
+        "symbol", "_last", "horizon", (F.col("close") * (1 + F.col("prediction"))).alias("predicted_value"),
+        F.lit("gbt").alias("model_used"))
+    rest = spine.where(F.col("_f").isNull()).select(
+        "symbol", "_last", "horizon", F.col("_close").alias("predicted_value"), F.lit("last_close").alias("model_used"))
+    out = said.unionByName(rest)
+    return out.select("symbol", F.col("horizon").alias("forecast_step"),
+                      F.date_add("_last", F.col("horizon")).cast("timestamp_ntz").alias("date"),
+                      "predicted_value", "model_used")
 
 
 def model_save(model: PipelineModel, path: str) -> str:
-    model.write().overwrite().save(path)
+    """Scaler and trees, and beside them what a caller must know to use them."""
+    model.write().overwrite().save(path + "/model")
+    spark = SparkSession.getActiveSession()
+    spark.createDataFrame([([*MODEL_FEATURES, "horizon"], S.LOOKBACK, list(HORIZONS))],
+                          "feature_names array<string>, lookback int, horizons array<int>").coalesce(1) \
+        .write.mode("overwrite").json(path + "/metadata")
     return path
 
 
-def model_load(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def model_load(path: str) -> tuple[PipelineModel, dict]:
+    """The fitted pipeline and its metadata; raises if the features differ from ours."""
+    spark = SparkSession.getActiveSession()
+    meta = spark.read.schema("feature_names array<string>, lookback int, horizons array<int>").json(
+        path + "/metadata").first().asDict()
+    if meta["feature_names"] != [*MODEL_FEATURES, "horizon"]:
+        raise ValueError("the model was trained on other features")
+    return PipelineModel.load(path + "/model"), meta
 
 
 def scaled_array(df: DataFrame, col: str = "scaled") -> DataFrame:

@@ -745,5 +745,14 @@ SQL["random_split"] = with_("bars_nation") + sel(
         " < 80 AS is_train"])
 
 
+SQL["gbt_forecast_spine"] = with_("bars_nation") + """SELECT symbol, h::INT AS forecast_step,
+  date_trunc('day', max(date)) + to_days(h::INT) AS date, true AS is_finite
+FROM bars_nation, range(1, 31) r(h) GROUP BY symbol, h"""
+SQL["sector_sets"] = with_("bars_nation", "dim(sector, symbol) AS (VALUES " + ", ".join(
+    f"('{sec}', '{sym}')" for sec, syms in S.SECTOR_SETS.items() for sym in syms) + ")") + """
+SELECT sector, count(*) AS symbols, 0::BIGINT AS renamed
+FROM (SELECT * FROM dim UNION ALL SELECT DISTINCT '(none)', symbol FROM bars_nation) GROUP BY sector"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)

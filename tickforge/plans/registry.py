@@ -654,12 +654,12 @@ def q_ar_fit(spark, d):
 
 @query("best_model")
 def q_best_model(spark, d):
-    return E.best_model(FC.evaluate_models(nation(spark, d)), "rmse")
+    return E.best_model(FC.evaluate_models(nation(spark, d), ("drift", "ar")), "rmse")
 
 
 @query("select_and_forecast")
 def q_select(spark, d):
-    return FC.select_and_forecast(nation(spark, d), 30)
+    return FC.select_and_forecast(nation(spark, d), 30, ("drift", "ar"))
 
 
 def queries() -> dict[str, Query]:
@@ -723,14 +723,9 @@ def q_stream_resample(spark, d):
 
 from tickforge.operators import ml as ML  # noqa: E402
 
-_MODELS: dict = {}
-
 
 def _gbt(spark, d):
-    key = (id(spark), d)
-    if key not in _MODELS:
-        _MODELS[key] = ML.gbt_train(FE.model_features(nation(spark, d)), max_iter=20)
-    return _MODELS[key]
+    return ML.gbt_train(FE.model_features(nation(spark, d)))
 
 
 @query("prepare_for_modeling")
@@ -755,7 +750,16 @@ def q_gbt_train(spark, d):
 
 @query("gbt_forecast")
 def q_gbt_forecast(spark, d):
-    return ML.gbt_forecast(_gbt(spark, d)[0], FE.model_features(nation(spark, d)))
+    return ML.gbt_forecast(_gbt(spark, d)[0], FE.model_features(nation(spark, d)), 30)
+
+
+@query("gbt_forecast_spine")
+def q_gbt_forecast_spine(spark, d):
+    """Rows and dates of a saved and reloaded model's forecast; values are finite."""
+    path = ML.model_save(_gbt(spark, d)[0], _fresh(spark, "gbt-spine"))
+    model, meta = ML.model_load(path)
+    f = ML.gbt_forecast(model, FE.model_features(nation(spark, d)), max(meta["horizons"]))
+    return f.select("symbol", "forecast_step", "date", (F.abs("predicted_value") < 1e12).alias("is_finite"))
 
 
 @query("feature_importance")
@@ -771,7 +775,8 @@ def q_top_features(spark, d):
 @query("model_save_load")
 def q_model_save_load(spark, d):
     path = ML.model_save(_gbt(spark, d)[0], _fresh(spark, "gbt-model"))
-    return ML.gbt_forecast(ML.model_load(path), FE.model_features(nation(spark, d)))
+    model, _ = ML.model_load(path)
+    return ML.gbt_forecast(model, FE.model_features(nation(spark, d)), 30)
 
 
 @query("gbt_metrics")
@@ -785,7 +790,7 @@ def q_end_to_end(spark, d):
     n = nation(spark, d)
     analysis = A.analyze_symbols(n).select("symbol", "latest_price", "total_return_percent",
                                           "volatility_percent", "rsi_signal")
-    return FC.select_and_forecast(n, 30).join(analysis, "symbol")
+    return FC.select_and_forecast(n, 30, ("drift", "ar")).join(analysis, "symbol")
 
 
 @query("seasonal_trend_forecast")
@@ -803,19 +808,56 @@ def q_params_save_load(spark, d):
 
 @query("ar_order_select")
 def q_ar_select(spark, d):
-    from tickforge.operators.arima import ar_select
-    return ar_select(nation(spark, d), 5, d=1).withColumn("phi", F.to_json("phi")) \
-        .withColumn("last_z", F.to_json("last_z"))
+    from tickforge.operators.arima import arima_fit
+    return arima_fit(nation(spark, d), max_q=0, d=1).select(
+        "symbol", "p", "d", F.to_json("phi").alias("phi"), "c", "sigma2", "aic", "bic", "n_obs")
 
 
 @query("arp_forecast")
 def q_arp(spark, d):
-    from tickforge.operators.arima import arp_forecast
-    return arp_forecast(nation(spark, d), 30, d=1)
+    from tickforge.operators.arima import arima_forecast
+    return arima_forecast(nation(spark, d), 30, max_q=0, d=1)
+
+
+@query("arima_forecast")
+def q_arima(spark, d):
+    """ARIMA(p, d, q), every order chosen per symbol."""
+    from tickforge.operators.arima import arima_forecast
+    return arima_forecast(nation(spark, d), 30)
+
+
+@query("arima_metrics")
+def q_arima_metrics(spark, d):
+    """Orders and in-sample errors, through the stored parameter table."""
+    from tickforge.operators.arima import arima_fit
+    path = FC.save_params(arima_fit(nation(spark, d)), _fresh(spark, "arima-params"))
+    return FC.load_params(spark, path).select("symbol", "p", "d", "q", "aic", "bic", "n_obs", "rmse", "mae", "mape")
+
+
+@query("adf_test")
+def q_adf(spark, d):
+    from tickforge.operators.arima import adf
+    return adf(nation(spark, d))
+
+
+@query("seasonal_metrics")
+def q_seasonal_metrics(spark, d):
+    from tickforge.operators.seasonal import seasonal_fit, seasonal_metrics
+    n = nation(spark, d)
+    return seasonal_metrics(n, seasonal_fit(n))
 
 
 @query("select_and_forecast_all")
 def q_select_all(spark, d):
-    """Best of drift, ARI(1,1), AIC-selected ARI(p,1) and seasonal-trend per symbol."""
-    return FC.select_and_forecast(nation(spark, d), 30,
-                                  models=("drift", "ar", "arp", "seasonal_trend"))
+    """Best of ARIMA(p, d, q) and seasonal-trend per symbol (the defaults)."""
+    return FC.select_and_forecast(nation(spark, d), 30)
+
+
+@query("sector_sets")
+def q_sector_sets(spark, d):
+    """The fixed sector sets joined to the symbols, renamed symbols mapped."""
+    dim = M.sector_dimension(spark)
+    renamed = spark.createDataFrame(list(S.SYMBOL_ALIASES.items()), "symbol string, alias string")
+    n = nation(spark, d).select("symbol").distinct().withColumn("sector", F.lit("(none)"))
+    known = dim.unionByName(n).join(renamed, "symbol", "left")
+    return known.groupBy("sector").agg(F.count("*").alias("symbols"), F.count("alias").alias("renamed"))

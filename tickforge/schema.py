@@ -19,16 +19,6 @@ BAR_SCHEMA = T.StructType([
     T.StructField("volume", T.DoubleType()),
 ])
 
-FORECAST_SCHEMA = T.StructType([
-    T.StructField("symbol", T.StringType()),
-    T.StructField("forecast_step", T.IntegerType()),
-    T.StructField("date", T.TimestampNTZType()),
-    T.StructField("predicted_value", T.DoubleType()),
-    T.StructField("lower_ci", T.DoubleType()),
-    T.StructField("upper_ci", T.DoubleType()),
-    T.StructField("model_used", T.StringType()),
-])
-
 # --- fixed values (kept as given for identical behaviour) ----------------
 # Column synonyms, first match wins, in this order.
 SYNONYMS = {
