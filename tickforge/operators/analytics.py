@@ -214,8 +214,9 @@ def freshness(df: DataFrame, as_of, key: str = "symbol", fresh_days: int = S.FRE
 
 def pipeline_audit(raw: DataFrame, key: str = "symbol",
                    chunk_rows: int = seq.DEFAULT_CHUNK_ROWS) -> DataFrame:
-    """Per symbol and step: (symbol, step, metric, value) of the full pipeline."""
-    from tickforge.operators.clean import clean_bars, outlier_counts, outliers_iqr
+    """Per symbol and step: (symbol, step, metric, value) of the full pipeline;
+    dates are days since 1970."""
+    from tickforge.operators.clean import clean_bars, iqr_fences, outlier_counts, outliers_iqr
     from tickforge.operators.features import TECHNICAL_COLUMNS, technical_features
     from tickforge.session import cut_lineage
     value_cols = [c for c in raw.columns if c not in (key,)]
@@ -236,15 +237,19 @@ def pipeline_audit(raw: DataFrame, key: str = "symbol",
     s12 = s1.join(s2, key, "left").select(
         key, "rows", "columns", "null_values", "duplicates", "remaining_rows",
         "remaining_nulls",
-        (F.col("rows") - F.coalesce(F.col("remaining_rows"), F.lit(0.0))).alias("removed_rows"))
-    s3 = outlier_counts(clean, key=key)
-    cleaned = cut_lineage(outliers_iqr(clean, key=key))
+        (F.col("rows") - F.coalesce(F.col("remaining_rows"), F.lit(0.0))).alias("removed_rows"),
+        (F.col("null_values") - F.coalesce(F.col("remaining_nulls"), F.lit(0.0))).alias("filled_nulls"))
+    fences = cut_lineage(iqr_fences(clean, key=key))
+    s3 = outlier_counts(clean, key=key, fences=fences)
+    cleaned = cut_lineage(outliers_iqr(clean, key=key, fences=fences))
     feats = cut_lineage(technical_features(cleaned, key, chunk_rows))
     s4 = feats.groupBy(key).agg(
         F.count(F.lit(1)).cast("double").alias("feature_rows"),
         nulls(feats, [*price_cols, *TECHNICAL_COLUMNS]).cast("double").alias("final_nulls"),
         F.avg("close").alias("close_mean"), F.stddev_samp("close").alias("close_std"),
-        F.min("close").alias("close_min"), F.max("close").alias("close_max"))
+        F.min("close").alias("close_min"), F.max("close").alias("close_max"),
+        F.unix_date(F.min("date").cast("date")).cast("double").alias("first_day"),
+        F.unix_date(F.max("date").cast("date")).cast("double").alias("last_day"))
 
     def melt(df, step, metrics):
         return df.select(key, F.lit(step).alias("step"), F.explode(F.array(*[
@@ -253,7 +258,7 @@ def pipeline_audit(raw: DataFrame, key: str = "symbol",
 
     parts = [
         melt(s12, "1. Data Validation", ["rows", "columns", "null_values", "duplicates"]),
-        melt(s12, "2. Data Cleaning", ["removed_rows", "remaining_rows", "remaining_nulls"]),
+        melt(s12, "2. Data Cleaning", ["removed_rows", "filled_nulls", "remaining_rows", "remaining_nulls"]),
         melt(s3, "3. Outlier Handling", [f"outliers_{c}" for c in S.PRICE_COLS]
              + ["outliers_total"]),
         melt(s4.withColumn("features_added", F.lit(float(len(TECHNICAL_COLUMNS)))),
@@ -261,6 +266,6 @@ def pipeline_audit(raw: DataFrame, key: str = "symbol",
         melt(s4, "5. Normalization", ["close_mean", "close_std", "close_min", "close_max"]),
         melt(s4.withColumn("quality_excellent",
                            (F.col("final_nulls") == 0).cast("double")),
-             "6. Final Quality", ["final_nulls", "quality_excellent"]),
+             "6. Final Quality", ["final_nulls", "quality_excellent", "first_day", "last_day"]),
     ]
     return reduce(DataFrame.unionByName, parts)

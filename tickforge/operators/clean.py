@@ -304,9 +304,10 @@ def _clip(c: str, lo: F.Column, hi: F.Column) -> F.Column:
 
 
 def outliers_iqr(df: DataFrame, columns=S.PRICE_COLS, key: str = "symbol",
-                 k: float = S.OUTLIER_IQR_K, method: str = "exact") -> DataFrame:
+                 k: float = S.OUTLIER_IQR_K, method: str = "exact", fences: DataFrame | None = None
+                 ) -> DataFrame:
     """Clip each column to [Q1 - k*IQR, Q3 + k*IQR] of its symbol."""
-    fences = iqr_fences(df, columns, key, k, method)
+    fences = iqr_fences(df, columns, key, k, method) if fences is None else fences
     x = seq.join_on_key(df, fences, [key])
     return x.withColumns({c: _clip(c, F.col(f"lo_{c}"), F.col(f"hi_{c}"))
                           for c in columns}).select(*df.columns)
@@ -327,9 +328,10 @@ def outliers_zscore(df: DataFrame, columns=S.PRICE_COLS, key: str = "symbol",
 
 
 def outlier_counts(df: DataFrame, columns=S.PRICE_COLS, key: str = "symbol",
-                   k: float = S.OUTLIER_IQR_K, method: str = "exact") -> DataFrame:
+                   k: float = S.OUTLIER_IQR_K, method: str = "exact", fences: DataFrame | None = None
+                   ) -> DataFrame:
     """Outliers per price column (before clipping) and their total, per symbol."""
-    fences = iqr_fences(df, columns, key, k, method)
+    fences = iqr_fences(df, columns, key, k, method) if fences is None else fences
     x = seq.salted_join(df, fences, key)
     counts = [F.count_if((F.col(c) < F.col(f"lo_{c}")) | (F.col(c) > F.col(f"hi_{c}")))
               .alias(f"outliers_{c}") for c in columns]

@@ -697,7 +697,9 @@ def _audit_sql() -> str:
                 f"count(*) FILTER (WHERE {c} < lo_{c} OR {c} > hi_{c}) AS outliers_{c}" for c in S.PRICE_COLS)
             + " FROM cb LEFT JOIN fe ON symbol = s GROUP BY symbol)",
             f"""s4 AS (SELECT symbol, count(*) AS feature_rows, {nulls(price + ROLLING + MACD_COLS)} AS final_nulls,
-  avg(close) AS close_mean, stddev_samp(close) AS close_std, min(close) AS close_min, max(close) AS close_max
+  avg(close) AS close_mean, stddev_samp(close) AS close_std, min(close) AS close_min, max(close) AS close_max,
+  date_diff('day', TIMESTAMP '1970-01-01', min(date)) AS first_day,
+  date_diff('day', TIMESTAMP '1970-01-01', max(date)) AS last_day
   FROM feats GROUP BY symbol)"""]
     parts = []
 
@@ -707,6 +709,7 @@ def _audit_sql() -> str:
     for m in ["rows", "columns", "null_values", "duplicates"]:
         add("1. Data Validation", "s1", m)
     add("2. Data Cleaning", "s1 JOIN s2 USING (symbol)", "removed_rows", "rows - remaining_rows")
+    add("2. Data Cleaning", "s1 JOIN s2 USING (symbol)", "filled_nulls", "null_values - remaining_nulls")
     for m in ["remaining_rows", "remaining_nulls"]:
         add("2. Data Cleaning", "s2", m)
     for c in S.PRICE_COLS:
@@ -718,6 +721,8 @@ def _audit_sql() -> str:
         add("5. Normalization", "s4", m)
     add("6. Final Quality", "s4", "final_nulls")
     add("6. Final Quality", "s4", "quality_excellent", "CASE WHEN final_nulls = 0 THEN 1 ELSE 0 END")
+    for m in ["first_day", "last_day"]:
+        add("6. Final Quality", "s4", m)
     return with_(*ctes, recursive=True) + sel("(" + " UNION ALL ".join(parts) + ")",
                                                ["value"], ["symbol", "step", "metric"])
 

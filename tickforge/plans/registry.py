@@ -577,8 +577,7 @@ def q_sentiment(spark, d):
 def q_market(spark, d):
     """Per symbol: predicted change, confidence, sector (the market view rows)."""
     res = M.market_analysis(drift30(spark, d), nation(spark, d), fx.sectors(spark, d))
-    # sectors come from nation x region: 25 rows at every scale factor
-    return res["changes"].join(F.broadcast(fx.sectors(spark, d)), "symbol", "left")
+    return res["changes"].join(fx.sectors(spark, d), "symbol", "left")
 
 
 # --- 2.8 evaluation ------------------------------------------------------------
