@@ -8,8 +8,8 @@ at anchors, the places whose ``SEED``-byte hash is the least of some window of
 after it; suffixes are dealt out by the hash of those bytes. What an anchor can
 witness lies within its context: ``least - SEED`` bytes before, ``least`` after.
 
-1. One sorted pass per seed: anchors whose whole context occurs twice need no
-   bytes, their context is repeated. Of the rest one anchor per distinct
+1. Anchors are summed by seed and context: those whose whole context occurs
+   twice need no bytes, their context is repeated. One anchor per distinct
    context goes on, and only in seeds with several contexts.
 2. Per seed the suffixes are sorted and their common prefixes scanned with a
    stack; each interval of the tree is a set of suffixes that share r bytes. In
@@ -219,21 +219,21 @@ def anchor_rows(texts: DataFrame, least: int, seed: int) -> DataFrame:
     return texts.select("h1", "body").mapInPandas(scan, "seed long, ctx long, ref long, loc long")
 
 
-def classify(rows: DataFrame) -> DataFrame:
-    """(ctx, ref, loc, full, edges): anchors with a repeated context, and per seed with
-    several contexts one anchor of each, as array<struct<seed, ref, loc>>."""
-    rows = rows.repartition("seed").dropDuplicates(["seed", "ctx", "ref", "loc"])
-    order = Window.partitionBy("seed").orderBy("ctx", "ref", "loc")
-    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    seen = rows.select("*", F.lag("ctx").over(order).alias("prev"), F.lead("ctx").over(order).alias("next"),
-                       *[F.first(c).over(so_far).alias(f"first_{c}") for c in ("ctx", "ref", "loc")])
-    full = (F.coalesce(F.col("prev") == F.col("ctx"), F.lit(False))
-            | F.coalesce(F.col("next") == F.col("ctx"), F.lit(False)))
-    this = F.struct("seed", "ref", "loc")
-    lead = F.struct("seed", F.col("first_ref").alias("ref"), F.col("first_loc").alias("loc"))
-    starts = F.coalesce(F.col("prev") != F.col("ctx"), F.lit(False))
-    edges = F.when(starts & (F.col("prev") == F.col("first_ctx")), F.array(lead, this)).when(starts, F.array(this))
-    return seen.select("ctx", "ref", "loc", full.alias("full"), edges.alias("edges")).where("full or edges is not null")
+def classify(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(full, edges): anchors (ctx, ref, loc) whose whole context occurs twice or
+    more, and one anchor (seed, ref, loc) per context of each seed with several.
+
+    Anchors are summed to one row per context before the shuffle, so neither a
+    frequent context nor a frequent seed gathers its anchors in one task.
+    """
+    apart = (F.min("ref") != F.max("ref")) | (F.min("loc") != F.max("loc"))
+    kinds = rows.groupBy("seed", "ctx").agg(F.min("ref").alias("ref"), F.min_by("loc", "ref").alias("loc"),
+                                            apart.alias("full"))
+    order = Window.partitionBy("seed").orderBy("ctx")
+    other = F.lag("ctx").over(order).isNotNull() | F.lead("ctx").over(order).isNotNull()
+    hits = stored(kinds.select("*", other.alias("edge")).where("full or edge"), "hits")
+    repeated = hits.where("full").select("seed", "ctx").hint("merge")
+    return rows.join(repeated, ["seed", "ctx"]).select("ctx", "ref", "loc"), hits.where("edge").select("seed", "ref", "loc")
 
 
 def contexts(texts: DataFrame, owners: DataFrame, edges: DataFrame, before: int, whole: bool) -> DataFrame:
@@ -401,24 +401,23 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = stored(texts.select("doc", "h1", "h2", F.octet_length("body").cast("long").alias("n")), "texts")
     owners = stored(rows.groupBy("h1", "h2").agg(F.min("doc").alias("doc"), F.count("*").alias("copies"),
                                                  F.max("n").alias("n")), "owners")
-    hits = stored(classify(anchor_rows(texts, least, seed)), "hits")
+    found = stored(anchor_rows(texts, least, seed), "anchors")
+    full, edges = classify(found)
     pos = F.floor(F.col("loc") / _PACK)
-    full = hits.where("full").select(
+    full = full.select(
         F.col("ctx").alias("repeat"), "ref", (pos - F.least(pos, F.lit(least - seed))).alias("start"),
         (pos + F.pmod("loc", F.lit(_PACK))).alias("end"))
-    edges = stored(hits.where("edges is not null").select(F.inline("edges")), "edges")
     sizes = edges.groupBy("seed").agg(F.count("*").alias("size"))
     large = stored(sizes.where(F.col("size") > group).select("seed"), "large")
     owned = owners.select("doc", "h1")
     if large.isEmpty():
-        found = solve(contexts(texts, owned, edges, least - seed, False), least, named)
+        spans = solve(contexts(texts, owned, edges, least - seed, False), least, named)
     else:
         few, many = edges.join(large, "seed", "left_anti"), edges.join(large, "seed", "left_semi")
-        found = solve(contexts(texts, owned, few, least - seed, False), least, named).unionByName(
+        spans = solve(contexts(texts, owned, few, least - seed, False), least, named).unionByName(
             solve_large(stored(contexts(texts, owned, many, least - seed, True), "contexts"), least, group, named))
-    repeats = stored(full.unionByName(found), "repeats")
-    discard(hits)
-    discard(edges)
+    repeats = stored(full.unionByName(spans), "repeats")
+    discard(found)
     return rows, owners, repeats
 
 
