@@ -269,9 +269,9 @@ def _block_pairs(cell: pd.DataFrame, percent: int) -> pd.DataFrame:
 
 
 def cell_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of every cell: rows (cell, doc, label, n, vec), all pairs bounded."""
-    blocks = members.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
-    own = members.join(blocks, "cell").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    """Candidate pairs of every cell: rows (cell, blocks, doc, label, n, vec), all
+    pairs bounded; a cell of several blocks meets block by block."""
+    own = members.withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     spread = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
                            F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0)
@@ -317,13 +317,15 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     members = (named.where("leaf != hub").select("leaf", "hub").distinct().join(label, "leaf", "left")
                .select(F.col("hub").alias("cell"), F.col("leaf").alias("doc"), F.coalesce("root", "leaf").alias("label")))
     members = stored(members, "members")
-    mixed = members.groupBy("cell").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("cell")
+    mixed = (members.groupBy("cell").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size"))
+             .where("lo < hi").select("cell", F.ceil(F.col("size") / BLOCK_ROWS).cast("int").alias("blocks")))
     shape = reps.groupBy(F.col("rep").alias("doc")).agg(F.collect_list(F.struct("n", "vec")).alias("shapes"))
-    shaped = (members.join(mixed, "cell", "left_semi").join(shape, "doc")
-              .select("cell", "doc", "label", F.inline("shapes")))
-    rest = stored(verify(keyed, cell_pairs(shaped, percent), words, percent), "rest")
+    shaped = (members.join(mixed, "cell").join(shape, "doc")
+              .select("cell", "blocks", "doc", "label", F.inline("shapes")))
+    candidates = stored(cell_pairs(shaped, percent), "candidates")
+    rest = stored(verify(keyed, candidates, words, percent), "rest")
     links = components(stars.unionByName(rest))
-    for done in (pairs, named, members):
+    for done in (pairs, named, members, candidates):
         discard(done)
     return rows, reps.select("h1", "h2", "rep"), links
 
