@@ -169,7 +169,8 @@ def verify(keyed: DataFrame, pairs: DataFrame, words: int, percent: int) -> Data
     """The pairs (leaf, hub) of documents whose sets reach the threshold.
 
     The sets of the leaves travel to their hub; a hub with many leaves is
-    copied to several tasks that share them.
+    copied to several tasks that share them. The documents wanted grow with the
+    corpus, so they are sort-merge joined, never broadcast.
     """
     salts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / LEAVES_PER_SALT).cast("int").alias("salts"))
     leaves = pairs.join(salts, "hub").select(
@@ -201,7 +202,7 @@ def verify(keyed: DataFrame, pairs: DataFrame, words: int, percent: int) -> Data
                     found.append((doc, hub))
             yield pd.DataFrame(found, columns=["u", "v"])
 
-    sets = keyed.join(wants, "doc").select("doc", "body", "wants").mapInPandas(
+    sets = keyed.join(wants.hint("merge"), "doc").select("doc", "body", "wants").mapInPandas(
         send, "hub long, salt int, leaf int, doc long, items binary")
     return (sets.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "leaf")
             .mapInPandas(test, "u long, v long"))
