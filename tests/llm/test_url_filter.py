@@ -78,3 +78,21 @@ def test_domain_edges(spark):
     hosts = spark.createDataFrame([("a.b.com",), ("",), ("com",)], "host string")
     got = {(r.src, r.dst) for r in uf.domain_edges(hosts).where(F.col("weight") == 1).collect()}
     assert got == {("a.b.com", "b.com"), ("b.com", "a.b.com")}
+
+
+@pytest.mark.parametrize("linkers", [2, 30, 300])
+def test_verdicts_do_not_depend_on_the_size_of_the_graph(spark, linkers):
+    bad = LINK.format("best-casino.bad.info") + LINK.format("pills.info")  # neither has a page
+    rows = [("http://farm.info/1", bad), ("http://sub.pills.info/1", ""),
+            ("http://alphabets.info/1", LINK.format("fine.info")), ("http://fine.info/1", "")]
+    rows += [(f"http://news{i}.info/1", bad + LINK.format("fine.info") * 18) for i in range(linkers)]
+    pages = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(rows)], "page_id long, url string, html string")
+    got = {r.host: r.verdict for r in uf.judge(pages).collect()}
+    assert got.pop("farm.info") == got.pop("sub.pills.info") == "block"
+    assert set(got.values()) == {"allow"} and len(got) == linkers + 2
+
+
+def test_much_linked_blocked_seed_stays_blocked(spark):
+    rows = [("http://casino.info/1", "")] + [(f"http://h{i}.info/1", LINK.format("casino.info")) for i in range(50)]
+    pages = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(rows)], "page_id long, url string, html string")
+    assert {r.verdict for r in uf.judge(pages, rounds=4).collect()} == {"block"}

@@ -2,13 +2,17 @@
 
 Edges join the host of a page with the hosts it links to (absolute and
 scheme-relative links), and every host with its parent domain in both
-directions. Trust is personalised PageRank from trusted seeds along the edges;
-distrust is the same from blocked seeds along the reversed edges, so a host
-that links to blocked hosts inherits distrust. Both run in Spark on the
-aggregated host graph and end in one threshold per host.
+directions. Trust is personalised PageRank from trusted seeds along the edges.
+Distrust of a blocked seed is 1, of another host the damped mean over its own
+out-links, so a host that links to blocked hosts inherits distrust however many
+others link there too. Both run in Spark on the aggregated host graph.
 
-Seeds: hosts whose names hold a term of ``BLOCKED_TERMS`` and hosts that a rule
-blocks as a whole are blocked; hosts with a page that a rule allows are trusted.
+A host is blocked if its distrust is at least ``LEAST_DISTRUST`` and above its
+trust in units of what a seed emits, or if it is a blocked seed and no trusted one.
+
+Seeds: hosts with a term of ``BLOCKED_TERMS`` as a whole word of the name and
+hosts that a rule blocks as a whole are blocked, whether they have a page, are
+linked to or are a parent domain; hosts with a page that a rule allows are trusted.
 
 Defined results
 * null url or no ``://``: empty host and path, no rule, allowed.
@@ -30,7 +34,9 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"),
          ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 BLOCKED_TERMS = ("casino", "pills", "bets", "porn", "viagra", "poker", "payday")
-DAMPING, ROUNDS, LEAST_DISTRUST = 0.85, 12, 0.05
+DAMPING, ROUNDS, LEAST_DISTRUST = 0.85, 12, 0.5
+#: Part of a host's distrust that comes from its domain edges if it has links too.
+DOMAIN_SHARE = 0.2
 _LINK = r"(?i)href\s*=\s*[\"']?(?:[a-z][a-z0-9+.\-]*:)?//([^/?#\"'\s>]+)"
 
 
@@ -100,6 +106,31 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
     return rank
 
 
+def inherit(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+    """(host, rank): 1 for seeds, else ``damping`` times the mean rank of what the host points to.
+
+    ``edges`` are (src, dst, links, domains). A host's shares sum to 1, so its
+    rank depends neither on the in-links of its targets nor on the graph's size.
+    A round is one join on the target and one partially aggregated sum per source.
+    """
+    seeds = stored(seeds.select("host").distinct(), "seeds")
+    out = edges.groupBy("src").agg(F.sum("links").alias("n_links"), F.sum("domains").alias("n_domains"))
+    links, domains = F.col("links") / F.col("n_links"), F.col("domains") / F.col("n_domains")
+    part = (F.when(F.col("n_links") == 0, domains).when(F.col("n_domains") == 0, links)
+            .otherwise((1 - DOMAIN_SHARE) * links + DOMAIN_SHARE * domains))
+    share = stored(edges.join(seeds, edges["src"] == seeds["host"], "left_anti").join(out, "src")
+                   .select("src", "dst", part.alias("share")), "inherit")
+    start = seeds.withColumn("rank", F.lit(1.0))
+    rank = start
+    for i in range(rounds):
+        moved = (share.join(rank, share["dst"] == rank["host"])
+                 .select(F.col("src").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank")))
+        rank = moved.groupBy("host").agg(F.sum("rank").alias("rank")).unionByName(start)
+        if i % 4 == 3:
+            rank = stored(rank, f"inherited{i}")
+    return rank
+
+
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", rules=RULES,
           blocked_terms=BLOCKED_TERMS, rounds: int = ROUNDS, least_distrust: float = LEAST_DISTRUST) -> DataFrame:
     """(id, host, path, rule, verdict, trust, distrust) per page."""
@@ -107,20 +138,31 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_
                         path_of(F.col(url_col)).alias("path"))
     paths = urls.groupBy("host").agg(F.count("*").alias("n_pages"))
     hosts = stored(paths, "hosts")
-    fitted = stored(host_rules(hosts, rules), "rules")
+    links = stored(link_edges(pages, url_col, body_col), "links")
+    ends = hosts.select("host").union(links.select("dst"))
+    graph = stored(ends.select(F.explode(suffixes(F.col("host"))).alias("host"))
+                   .where("host like '%.%'").union(ends).distinct(), "graph")
+    fitted = stored(host_rules(graph, rules), "rules")
     first = lambda: F.get(F.filter("rules", lambda r: F.startswith(F.col("path"), r["rule_path"])), F.lit(0))
-    allowed = (urls.join(fitted, "host").select("host", first().alias("r"))
-               .where("r.verdict = 'allow'").select("host").distinct())
+    allowed = stored(urls.join(fitted, "host").select("host", first().alias("r"))
+                     .where("r.verdict = 'allow'").select("host").distinct(), "allowed")
     whole = fitted.where(F.exists("rules", lambda r: (r["verdict"] == "block") & (r["rule_path"] == "/"))).select("host")
-    named = hosts.select("host").where(F.col("host").rlike("|".join(blocked_terms))) if blocked_terms else whole
-    edges = stored(link_edges(pages, url_col, body_col).unionByName(domain_edges(hosts))
-                   .groupBy("src", "dst").agg(F.sum("weight").alias("weight")), "edges")
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    trust = propagate(edges, allowed, rounds=rounds).withColumnRenamed("rank", "trust")
-    distrust = propagate(back, whole.union(named), rounds=rounds).withColumnRenamed("rank", "distrust")
+    word = r"(?<!\p{L})(?:" + "|".join(blocked_terms) + r")(?!\p{L})"
+    named = graph.where(F.col("host").rlike(word)) if blocked_terms else whole
+    domains = domain_edges(graph)
+    edges = stored(links.select("src", "dst", F.col("weight").alias("links"), F.lit(0.0).alias("domains"))
+                   .unionByName(domains.select("src", "dst", F.lit(0.0).alias("links"), F.col("weight").alias("domains")))
+                   .groupBy("src", "dst").agg(F.sum("links").alias("links"), F.sum("domains").alias("domains")), "edges")
+    ahead = edges.select("src", "dst", (F.col("links") + F.col("domains")).alias("weight"))
+    trust = propagate(ahead, allowed, rounds=rounds).withColumnRenamed("rank", "trust")
+    seeds = stored(whole.union(named).distinct(), "blocked")
+    distrust = inherit(edges, seeds, rounds=rounds).withColumnRenamed("rank", "distrust")
+    alone = seeds.join(allowed, "host", "left_anti").select("host", F.lit(True).alias("seed"))
     known = (hosts.select("host").join(trust, "host", "left").join(distrust, "host", "left")
-             .join(fitted, "host", "left").na.fill(0.0, ["trust", "distrust"]))
-    blocked = (F.col("distrust") >= least_distrust) & (F.col("distrust") > F.col("trust"))
+             .join(fitted, "host", "left").join(alone, "host", "left")
+             .na.fill(0.0, ["trust", "distrust"]).na.fill(False, ["seed"]))
+    blocked = F.col("seed") | ((F.col("distrust") >= least_distrust)
+                               & (F.col("distrust") > F.col("trust") / (1.0 - DAMPING)))
     judged = urls.join(known, "host").withColumn("r", F.when(F.col("rules").isNotNull(), first()))
     return judged.select(F.col("id").alias(id_col), "host", "path", F.col("r.rule").alias("rule"),
                          F.coalesce("r.verdict", F.when(blocked, "block").otherwise("allow")).alias("verdict"),
