@@ -96,3 +96,10 @@ def test_much_linked_blocked_seed_stays_blocked(spark):
     rows = [("http://casino.info/1", "")] + [(f"http://h{i}.info/1", LINK.format("casino.info")) for i in range(50)]
     pages = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(rows)], "page_id long, url string, html string")
     assert {r.verdict for r in uf.judge(pages, rounds=4).collect()} == {"block"}
+
+
+def test_path_belongs_to_the_first_host(spark):
+    urls = ["http://a.net?u=http://b.com/x", "http://a.org#http://b.com/fr/1", "http://a.net", "http://a.net/?u=http://b.com/x"]
+    pages = spark.createDataFrame([(i, u, "") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    got = {r.page_id: (r.host, r.path, r.rule) for r in uf.judge(pages, rounds=1).collect()}
+    assert got == {0: ("a.net", "", None), 1: ("a.org", "", None), 2: ("a.net", "", None), 3: ("a.net", "/", "net/")}
