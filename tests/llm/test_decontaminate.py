@@ -66,3 +66,22 @@ def test_item_that_spans_two_documents_is_no_match(spark):
     docs = spark.createDataFrame([(1, item[:30]), (2, item[30:]), (3, item.upper())], "doc_id long, text string").coalesce(1)
     bench = spark.createDataFrame([(7, item)], "item_id long, text string")
     assert {r.doc_id for r in dc.contamination(docs, bench).collect() if r.contaminated} == {3}
+
+
+def test_five_percent_of_edits_are_found_at_every_length(spark):
+    rng = random.Random(9)
+    items, texts, want = [], [], {}
+    for n, m in enumerate([24, 60, 61, 80, 100, 233, 394, 1000]):
+        item = "".join(rng.choice("abcdefgh") for _ in range(m))
+        items.append((n, item))
+        for more in (0, 1):
+            k = int(0.05 * m) + more
+            t = list(item)
+            for j in range(k):  # spread evenly: the fewest q-grams stay
+                t[(2 * j + 1) * m // (2 * k)] = "z"
+            want[len(texts)] = [] if more else [n]
+            texts.append("lorem ipsum dolor " + "".join(t) + " sit amet")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {r.doc_id: list(r["items"]) for r in dc.contamination(docs, bench).collect()} == want
+    assert sorted(r.doc_id for r in dc.clean(docs, bench).collect()) == [d for d in want if not want[d]]

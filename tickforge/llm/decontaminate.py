@@ -52,8 +52,8 @@ def normal_form(text: str | None) -> np.ndarray:
 
 
 def edit_budget(m: int, q: int = Q, rate: float = EDITS) -> int:
-    """Permitted edits: ``rate`` of the length, less where the bound would be lost."""
-    return max(0, min(int(rate * m), (m + 1 - q) // (2 * q)))
+    """Permitted edits: ``rate`` of the length, less where the bound would fall below 1."""
+    return max(0, min(int(rate * m), (m - q) // q))
 
 
 def banded_distance(item: np.ndarray, text: np.ndarray, shift: int, width: int, most: int) -> int:
