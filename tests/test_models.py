@@ -149,3 +149,16 @@ def test_trees_forecast_days_and_come_back_from_storage(spark, tmp_path):
     again, meta = ML.model_load(ML.model_save(model, str(tmp_path / "m")))
     assert meta["lookback"] == 60 and meta["feature_names"][-1] == "horizon"
     assert sorted(map(str, ML.gbt_forecast(again, f, 10).collect())) == sorted(map(str, got))
+
+
+def test_trees_learn_every_distance_and_refuse_longer_ones(spark):
+    from pyspark.sql import functions as F
+    rows = [("A", D0 + dt.timedelta(days=i), 100.0 + i) for i in range(40)]
+    bars = spark.createDataFrame(rows, "symbol string, date timestamp_ntz, close double").withColumn("target", F.lit(0.0))
+    for c in set(FE.MODEL_FEATURES) - {"close"}:
+        bars = bars.withColumn(c, F.lit(1.0))
+    n = {r.horizon: r["count"] for r in ML.horizon_rows(bars).groupBy("horizon").count().collect()}
+    assert n == {h: 40 - h for h in range(1, 31)}
+    with pytest.raises(ValueError):
+        ML.gbt_forecast(None, bars, 31)
+    assert ML.gbt_pipeline().getStages()[-1].getValidationTol() == 0.0

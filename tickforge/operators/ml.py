@@ -36,17 +36,18 @@ def standard_scale(train: DataFrame, other: DataFrame | None = None,
             model.transform(other).drop("_raw") if other is not None else None)
 
 
-#: Forecast distances whose labels are trained on; others are interpolated by the trees.
-HORIZONS = (1, 2, 3, 5, 8, 13, 21, 30)
-ROUNDS, LEARNING_RATE, DEPTH, VALIDATION_TOL = 500, 0.05, 5, 1e-4
+#: Forecast distances whose labels are trained on: all of them, as trees do not interpolate.
+HORIZONS = tuple(range(1, 31))
+ROUNDS, LEARNING_RATE, DEPTH, VALIDATION_TOL = 500, 0.05, 5, 0.0
 
 
 def gbt_pipeline(features=MODEL_FEATURES, rounds: int = ROUNDS, depth: int = DEPTH,
                  step: float = LEARNING_RATE, seed: int = 42) -> Pipeline:
     """Assemble -> z-score -> boosted trees.
 
-    Up to ``rounds`` rounds; training ends at the first round that no longer
-    lowers the error on the validation rows by ``VALIDATION_TOL``.
+    Up to ``rounds`` rounds; training ends at the first round whose error on the
+    validation rows is above the least so far. With a ``VALIDATION_TOL`` over 0
+    Spark would ask for a gain of that part of max(error, 0.01) every round.
     """
     asm = VectorAssembler(inputCols=[*features, "horizon"], outputCol="_raw")
     scaler = StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True)
@@ -107,10 +108,14 @@ def feature_importance(spark: SparkSession, model: PipelineModel,
     return df.orderBy(F.col("importance").desc(), "feature")
 
 
-def gbt_forecast(model: PipelineModel, features: DataFrame, days: int = 30) -> DataFrame:
+def gbt_forecast(model: PipelineModel, features: DataFrame, days: int = 30, longest: int = max(HORIZONS)
+                 ) -> DataFrame:
     """Forecast of the next ``days`` calendar days from each symbol's newest bar
     with complete features (the target is not needed). A symbol without such a
-    bar keeps its last close (``model_used`` last_close)."""
+    bar keeps its last close (``model_used`` last_close). Raises if ``days`` is
+    over ``longest``, the greatest distance that ``model`` was trained on."""
+    if days > longest:
+        raise ValueError(f"the model was trained on distances up to {longest}, not {days}")
     full = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in MODEL_FEATURES])
     ends = features.groupBy("symbol").agg(
         F.max("date").alias("_last"), F.max_by("close", "date").alias("_close"),
@@ -128,11 +133,11 @@ def gbt_forecast(model: PipelineModel, features: DataFrame, days: int = 30) -> D
                       "predicted_value", "model_used")
 
 
-def model_save(model: PipelineModel, path: str) -> str:
+def model_save(model: PipelineModel, path: str, horizons=HORIZONS) -> str:
     """Scaler and trees, and beside them what a caller must know to use them."""
     model.write().overwrite().save(path + "/model")
     spark = SparkSession.getActiveSession()
-    spark.createDataFrame([([*MODEL_FEATURES, "horizon"], S.LOOKBACK, list(HORIZONS))],
+    spark.createDataFrame([([*MODEL_FEATURES, "horizon"], S.LOOKBACK, list(horizons))],
                           "feature_names array<string>, lookback int, horizons array<int>").coalesce(1) \
         .write.mode("overwrite").json(path + "/metadata")
     return path
