@@ -72,3 +72,20 @@ def test_interval_tree_names_all_repeats():
     lcp = [0] + [sd.common_prefix(text[a:].encode(), text[b:].encode()) for a, b in zip(suffixes, suffixes[1:], strict=False)]
     found = {(text[suffixes[a]:][:d], b - a + 1) for a, b, d in sd.lcp_intervals(lcp)}
     assert {("a", 3), ("ana", 2), ("na", 2)} <= found
+
+
+def test_removal_takes_its_spans_from_the_maximal_repeats(monkeypatch):
+    import pandas as pd
+    rng, found, split = random.Random(3), [], sd.maximal_repeats
+    monkeypatch.setattr(sd, "maximal_repeats", lambda *a: (found.append(x) or x for x in split(*a)))
+    word = lambda: "".join(rng.choice("ab") for _ in range(8)).encode()
+    sides = sorted({(word(), b"s" + word()) for _ in range(60)})  # all share a seed
+    group = pd.DataFrame([(0, i, 100, hash(x), hash(y), x, y) for i, (x, y) in enumerate(sides)], columns=sd._CONTEXT)
+    got = {r.ref: (100 - r.start, r.end - 100) for r in sd._spans(group, 8, False).itertuples()}
+    want = {}
+    for i, (x, y) in enumerate(sides):
+        for j, (u, v) in enumerate(sides):
+            k, r = sd.common_prefix(x, u), sd.common_prefix(y, v)
+            if i != j and k + r >= 8:
+                want[i] = tuple(map(max, want.get(i, (0, 0)), (k, r)))
+    assert found and got == want

@@ -118,11 +118,6 @@ def _adjacent(strings: list[bytes]) -> np.ndarray:
     return np.array([0, *(common_prefix(a, b) for a, b in zip(strings, strings[1:], strict=False))], dtype=np.int64)
 
 
-def _widest(gaps: np.ndarray) -> np.ndarray:
-    """Each member's larger agreement with its two neighbours in left order."""
-    return np.maximum(gaps, np.append(gaps[1:], 0))
-
-
 Node = tuple[np.ndarray, np.ndarray, int]
 
 
@@ -172,17 +167,14 @@ def maximal_repeats(nodes: Iterator[Node], least: int = LEAST) -> Iterator[tuple
 
 
 def hull(nodes: Iterator[Node], n: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
-    """Per member the bytes before and after its anchor that some repeat covers.
+    """Per member the bytes before and after its anchor that its maximal repeats cover.
 
     All repeats of a member hold its anchor, so their union is one stretch.
     """
     before, after = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    for members, gaps, depth in nodes:
-        reach = _widest(gaps)
-        enough = reach + depth >= least
-        some = members[enough]
-        before[some] = np.maximum(before[some], reach[enough])
-        after[some] = np.maximum(after[some], depth)
+    for members, reach, depth in maximal_repeats(nodes, least):
+        before[members] = np.maximum(before[members], reach)
+        after[members] = np.maximum(after[members], depth)
     return before, after
 
 
