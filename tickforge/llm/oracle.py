@@ -89,6 +89,48 @@ SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, payload_digest,
 FROM firsts
 """
 
+#: CRC-32 byte by byte: a table of 256 remainders, then one step per byte of the text.
+_CRC = r"""
+tab AS (SELECT list_transform(range(0, 256), lambda b: list_reduce(range(0, 8),
+          lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)) AS tab)"""
+
+
+def _crc32(text: str) -> str:
+    data = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: ('0x' || h)::BIGINT)"
+    return f"xor(list_reduce({data}, lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8), 4294967295), 4294967295)"
+
+
+OP11 = rf"""
+WITH {_CRC.strip()},
+d AS (SELECT doc_id, lang, source, octet_length(encode(coalesce(text, '')))::BIGINT + 1 AS size,
+             {_crc32("coalesce(text, '')")}::BIGINT AS text_crc32 FROM documents, tab),
+t AS (SELECT count(*) AS total FROM d),
+bl AS (SELECT lang AS v, (sum(count(*)) OVER (ORDER BY lang NULLS FIRST) - count(*)) * 16 // any_value(total) AS b
+       FROM d, t GROUP BY lang),
+bs AS (SELECT source AS v, (sum(count(*)) OVER (ORDER BY source NULLS FIRST) - count(*)) * 16 // any_value(total) AS b
+       FROM d, t GROUP BY source),
+bz AS (SELECT size AS v, (sum(count(*)) OVER (ORDER BY size) - count(*)) * 16 // any_value(total) AS b
+       FROM d, t GROUP BY size),
+x AS (SELECT d.*, list_reduce([3, 2, 1], lambda s, b: list_reduce([1, 2, 3], lambda a, i: list_transform([1, 2, 3],
+             lambda j: xor(a[j], CASE
+               WHEN a[i] & (1 << b) <> 0 THEN CASE WHEN j = 1 THEN (1 << b) - 1 ELSE 0 END
+               WHEN j = 1 OR j = i THEN CASE WHEN i = 1 THEN 0 ELSE xor(a[1], a[i]) & ((1 << b) - 1) END
+               ELSE 0 END)), s), [bl.b::BIGINT, bs.b::BIGINT, bz.b::BIGINT]) AS a
+      FROM d JOIN bl ON d.lang IS NOT DISTINCT FROM bl.v JOIN bs ON d.source IS NOT DISTINCT FROM bs.v
+      JOIN bz ON d.size = bz.v),
+g AS (SELECT *, [a[1], xor(a[1], a[2]), xor(xor(a[1], a[2]), a[3])] AS g,
+             list_reduce([1, 2, 3], lambda t, b: CASE WHEN xor(xor(a[1], a[2]), a[3]) & (1 << b) <> 0
+                                                      THEN xor(t, (1 << b) - 1) ELSE t END, 0) AS f FROM x),
+h AS (SELECT doc_id, size, text_crc32, list_reduce([3, 2, 1, 0], lambda h, b: list_reduce([1, 2, 3],
+             lambda v, i: v * 2 + (xor(g[i], f) >> b & 1), h), 0::BIGINT) AS curve FROM g),
+o AS (SELECT *, row_number() OVER (ORDER BY curve, doc_id NULLS FIRST, size, text_crc32) - 1 AS pos FROM h),
+s AS (SELECT *, (pos * 8 // total)::INT AS shard FROM o, t)
+SELECT doc_id, size, text_crc32, 'rows' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY pos) - 1 AS slot, NULL::INT AS grown_shard, curve
+FROM s
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": OP5, "op7_ngram_jaccard": OP7, "op8_warc": OP8, "op9_quality_rules": OP9}
+    return {"op5_line_dedup": OP5, "op7_ngram_jaccard": OP7, "op8_warc": OP8, "op9_quality_rules": OP9,
+            "op11_hilbert_sharding": OP11}

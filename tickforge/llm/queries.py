@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tickforge.llm import (
     decontaminate,
+    hilbert,
     line_dedup,
     ngram_join,
     packing,
@@ -73,7 +74,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op11_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    put = hilbert.shard_table(table(spark, sf_dir, "documents"))
+    return put.select("doc_id", "size", "text_crc32", "law", "shard", "slot",
+                      F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
 def queries() -> dict:
     found = (op1_benchmark_decontamination, op2_best_fit_packing, op3_url_filter,
-             op4_suffix_array_dedup, op5_line_dedup, op6_quality_classifier, op7_ngram_jaccard, op8_warc, op9_quality_rules, op10_token_counts)
+             op4_suffix_array_dedup, op5_line_dedup, op6_quality_classifier, op7_ngram_jaccard,
+             op8_warc, op9_quality_rules, op10_token_counts, op11_hilbert_sharding)
     return {f.__name__: f for f in found}
