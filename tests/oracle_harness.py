@@ -33,7 +33,8 @@ def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return None
-        return float(v) + 0.0
+        # a null makes pandas read longs as floats, DuckDB as nullable integers
+        return int(v) if v.is_integer() else float(v)
     if isinstance(v, pd.Timestamp):
         return v.to_pydatetime().isoformat()
     if hasattr(v, "isoformat"):
