@@ -130,7 +130,37 @@ SELECT doc_id, size, text_crc32, 'rows' AS law, shard,
 FROM s
 """
 
+#: Two words are near if one is the other without a code point, or if they share
+#: what is left when the code point at one place goes.
+OP12 = rf"""
+WITH RECURSIVE {_CRC.strip()},
+runs AS (SELECT doc_id, run, count(*) AS c FROM (
+           SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+             'abcdefghijklmnopqrstuvwxyz'), '[a-z' || chr(192) || '-' || chr(255) || ']+')) AS run FROM documents)
+         GROUP BY doc_id, run),
+hashed AS (SELECT run, c, {_crc32("coalesce(doc_id::VARCHAR, '') || ':' || run")} AS h FROM runs, tab),
+v AS (SELECT word, sum(c)::BIGINT AS n FROM (
+        SELECT c, CASE WHEN h % 97 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2)
+                       ELSE run END AS word FROM hashed)
+      WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+cuts AS (SELECT word, i, left(word, i - 1) || substr(word, i + 1) AS rest
+         FROM (SELECT word, unnest(range(1, length(word) + 1))::INT AS i FROM v)),
+pairs AS (SELECT a.word, b.word AS other FROM cuts a JOIN cuts b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+          UNION SELECT c.word, v.word FROM cuts c JOIN v ON c.rest = v.word
+          UNION SELECT v.word, c.word FROM cuts c JOIN v ON c.rest = v.word),
+near AS (SELECT p.word, count(*) AS n_near, min(ROW(-v.n, p.other)) AS best
+         FROM pairs p JOIN v ON v.word = p.other GROUP BY p.word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near,
+             CASE WHEN -best[1] >= 2 * v.n THEN best[2] END AS form,
+             CASE WHEN -best[1] >= 2 * v.n THEN (-best[1])::BIGINT END AS form_n
+      FROM v LEFT JOIN near USING (word)),
+walk AS (SELECT word, word AS root FROM f
+         UNION ALL SELECT w.word, f.form FROM walk w JOIN f ON f.word = w.root WHERE f.form IS NOT NULL),
+ends AS (SELECT w.word, w.root FROM walk w JOIN f ON f.word = w.root WHERE f.form IS NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN ends USING (word)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {"op5_line_dedup": OP5, "op7_ngram_jaccard": OP7, "op8_warc": OP8, "op9_quality_rules": OP9,
-            "op11_hilbert_sharding": OP11}
+            "op11_hilbert_sharding": OP11, "op12_spelling_variants": OP12}

@@ -13,6 +13,7 @@ from tickforge.llm import (
     packing,
     quality_knn,
     quality_rules,
+    spelling,
     suffix_dedup,
     token_counts,
     url_filter,
@@ -80,8 +81,13 @@ def op11_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents")).select(
+        "word", "form", "root", "n", "n_near", "form_n")
+
+
 def queries() -> dict:
     found = (op1_benchmark_decontamination, op2_best_fit_packing, op3_url_filter,
              op4_suffix_array_dedup, op5_line_dedup, op6_quality_classifier, op7_ngram_jaccard,
-             op8_warc, op9_quality_rules, op10_token_counts, op11_hilbert_sharding)
+             op8_warc, op9_quality_rules, op10_token_counts, op11_hilbert_sharding, op12_spelling_variants)
     return {f.__name__: f for f in found}
