@@ -99,11 +99,10 @@ def test_variants_match_brute_force(spark, block):
     assert any(w[3] for w in want) and any(w[5] not in (w[0], w[3]) for w in want)
 
 
-def test_counts_flush_and_add_up(spark, monkeypatch):
-    monkeypatch.setattr(S, "_FLUSH", 10)
+def test_counts_flush_and_add_up(spark):
     rows = texts(2, 30)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
-    assert {r.word: r.n for r in S.word_counts(docs).where("n >= 3").collect()} == {w[0]: w[1] for w in brute(rows)}
+    assert {r.word: r.n for r in S.word_counts(docs, flush=10).where("n >= 3").collect()} == {w[0]: w[1] for w in brute(rows)}
 
 
 def test_odd_rows(odd, none):

@@ -31,7 +31,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -44,7 +44,7 @@ LEAST_LENGTH, LEAST_COUNT, FACTOR, BLOCK = 5, 3, 2, 40_000
 #: Letters of a run after A-Z are lower-cased; one in 97 occurrences is damaged.
 RUN = re.compile("[a-zÀ-ÿ]+")
 DAMAGE = 97
-_FLUSH, _BATCH = 200_000, 8_000
+_BATCH = 8_000
 
 
 def damaged(doc_id: str, run: str, crc: int | None = None) -> str:
@@ -56,9 +56,15 @@ def damaged(doc_id: str, run: str, crc: int | None = None) -> str:
     return run[:at] + run[at + 1:]
 
 
+def _frame(rows: Iterable[tuple], names: list[str]) -> pd.DataFrame:
+    """Python objects as they are: pandas' own string columns may come in several pieces."""
+    return pd.DataFrame(list(rows), columns=names, dtype=object)
+
+
 def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                least_length: int = LEAST_LENGTH) -> DataFrame:
-    """(word, n) of every word of at least ``least_length`` code points."""
+                least_length: int = LEAST_LENGTH, flush: int = 200_000) -> DataFrame:
+    """(word, n) of every word of at least ``least_length`` code points; a task
+    sends its counts on whenever it holds over ``flush`` words."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: Counter = Counter()
         for batch in batches:
@@ -70,10 +76,10 @@ def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     word = damaged(doc, run, zlib.crc32(run.encode(), here))
                     if len(word) >= least_length:
                         total[word] += n
-                if len(total) > _FLUSH:
-                    yield pd.DataFrame({"word": list(total), "n": list(total.values())})
+                if len(total) > flush:
+                    yield _frame(total.items(), ["word", "n"])
                     total.clear()
-        yield pd.DataFrame({"word": list(total), "n": list(total.values())})
+        yield _frame(total.items(), ["word", "n"])
 
     rows = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"),
                        F.col(text_col).alias("body")).where("body is not null")
@@ -140,7 +146,7 @@ def near_words(rows: DataFrame) -> DataFrame:
 
         def flush() -> Iterator[pd.DataFrame]:
             for lo in range(0, len(waiting), _BATCH):
-                yield pd.DataFrame(_search(index, words, counts, key[1], waiting[lo:lo + _BATCH]), columns=names)
+                yield _frame(_search(index, words, counts, key[1], waiting[lo:lo + _BATCH]), names)
             waiting.clear()
 
         for batch in batches:
