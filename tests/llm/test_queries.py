@@ -9,7 +9,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_one_query_per_operator():
     names = E.queries()
-    assert [sum(k.startswith(f"op{n}_") for k in names) for n in range(1, 13)] == [1] * 12
+    assert [sum(k.startswith(f"op{n}_") for k in names) for n in range(1, 14)] == [1] * 13
     assert "pipeline" in names and set(oracle_sql()) <= set(names)
 
 

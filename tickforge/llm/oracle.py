@@ -161,6 +161,75 @@ SELECT f.word, form, root, n, n_near, form_n FROM f JOIN ends USING (word)
 """
 
 
+def _then(path: str, cost: str, edit: str) -> str:
+    """A path (nine digits of cost, then edits) and one more edit; least() of such
+    strings is the cheapest, among equals the one with the least edits."""
+    return f"lpad((left({path}, 9)::INT + {cost})::VARCHAR, 9, '0') || substr({path}, 10) || '{edit}'"
+
+
+def _if(condition: str, value: str) -> str:
+    return f"CASE WHEN {condition} THEN {value} END"
+
+
+_STAY, _LATE = "must = 0", "2 + late"
+OP13 = rf"""
+WITH RECURSIVE {_CRC.strip()},
+src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+               {_crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS kind
+        FROM conversations, tab),
+rows_ AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+                 CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+                 unnest(range(0, CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM src),
+judged AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS rn,
+                  row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+                  regexp_replace(text, '[\x20\x09-\x0D]', '', 'g') AS bare FROM rows_),
+j AS (SELECT conv_id, turn, role, text, rn, left(role, 1) AS i,
+             CASE WHEN bare = '' THEN 'blank' WHEN again THEN 'duplicate'
+                  WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault FROM judged),
+f AS (SELECT *, coalesce(fault IN ('blank', 'duplicate'), false)::INT AS must,
+             coalesce(fault = 'truncated', false)::INT AS late FROM j),
+dp AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS rn, '000000000' AS k0, NULL::VARCHAR AS ks, '000000002I' AS ku, '000000004II' AS ka
+  FROM conversations
+  UNION ALL
+  SELECT conv_id, rn, n0, ns, cu, least(na, {_then("cu", "2", "I")}) FROM (
+    SELECT *, least(nu, {_then("n0", "2", "I")}, {_then("ns", "2", "I")}, {_then("na", "2", "I")}) AS cu FROM (
+      SELECT dp.conv_id, f.rn, {_then("k0", "3", "D")} AS n0,
+             least({_then("ks", "3", "D")}, {_if(_STAY + " AND i = 's'", _then("k0", "late", "K"))}) AS ns,
+             least({_then("ku", "3", "D")}, {", ".join(
+                 _if(_STAY, _then(k, _LATE, "R")) + ", " + _if(_STAY + " AND i = 'u'", _then(k, "late", "K"))
+                 for k in ("k0", "ks", "ka"))}) AS nu,
+             least({_then("ka", "3", "D")}, {_if(_STAY, _then("ku", _LATE, "R"))},
+                   {_if(_STAY + " AND i = 'a'", _then("ku", "late", "K"))}) AS na
+      FROM dp JOIN f ON f.conv_id IS NOT DISTINCT FROM dp.conv_id AND f.rn = dp.rn + 1))),
+best AS (SELECT conv_id, least(k0, ka) AS path FROM dp QUALIFY rn = max(rn) OVER (PARTITION BY conv_id)),
+audits AS (SELECT conv_id, left(path, 9)::BIGINT AS cost, substr(path, 10) AS audit FROM best),
+walk AS (
+  SELECT conv_id, audit, 0 AS p, 0::BIGINT AS rn, '' AS st, []::VARCHAR[] AS said FROM audits
+  UNION ALL
+  SELECT conv_id, audit, p + 1, nrn, coalesce(left(who, 1), st),
+         CASE WHEN who IS NULL THEN said ELSE list_append(said, who || ':' || what) END FROM (
+    SELECT w.*, w.rn + (e <> 'I')::INT AS nrn,
+           CASE e WHEN 'D' THEN NULL WHEN 'K' THEN f.role ELSE CASE WHEN st = 'u' THEN 'assistant' ELSE 'user' END END AS who,
+           CASE WHEN e = 'I' THEN '' ELSE f.text END AS what
+    FROM (SELECT *, substr(audit, p + 1, 1) AS e FROM walk WHERE p < length(audit)) w
+    LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.rn = w.rn + 1)),
+texts AS (SELECT conv_id, sha256(coalesce(array_to_string(said, chr(10)), '')) AS repaired_sha256
+          FROM walk WHERE p = length(audit)),
+pairs AS (SELECT *, lag(i) OVER (PARTITION BY conv_id ORDER BY rn) AS pre FROM f),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+                  count(*) FILTER (fault = 'blank')::BIGINT AS blank, count(*) FILTER (fault = 'duplicate')::BIGINT AS duplicate,
+                  count(*) FILTER (fault = 'truncated')::BIGINT AS truncated,
+                  count(*) FILTER (pre IS NOT NULL AND pre || i NOT IN ('su', 'ua', 'au'))::BIGINT AS illegal
+           FROM pairs GROUP BY conv_id)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, cost, audit, repaired_sha256
+FROM audits a JOIN texts t ON t.conv_id IS NOT DISTINCT FROM a.conv_id
+LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM a.conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {"op5_line_dedup": OP5, "op7_ngram_jaccard": OP7, "op8_warc": OP8, "op9_quality_rules": OP9,
-            "op11_hilbert_sharding": OP11, "op12_spelling_variants": OP12}
+            "op11_hilbert_sharding": OP11, "op12_spelling_variants": OP12,
+            "op13_conversation_repair": OP13}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickforge.llm import (
+    conversations,
     decontaminate,
     hilbert,
     line_dedup,
@@ -86,8 +87,14 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
         "word", "form", "root", "n", "n_near", "form_n")
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    harmed = conversations.damage(table(spark, sf_dir, "conversations"))
+    return conversations.digest(conversations.repair(harmed))
+
+
 def queries() -> dict:
     found = (op1_benchmark_decontamination, op2_best_fit_packing, op3_url_filter,
              op4_suffix_array_dedup, op5_line_dedup, op6_quality_classifier, op7_ngram_jaccard,
-             op8_warc, op9_quality_rules, op10_token_counts, op11_hilbert_sharding, op12_spelling_variants)
+             op8_warc, op9_quality_rules, op10_token_counts, op11_hilbert_sharding, op12_spelling_variants,
+             op13_conversation_repair)
     return {f.__name__: f for f in found}
