@@ -131,34 +131,83 @@ def test_selection_loses_no_symbol(spark):
     assert {r.symbol for r in got} == {"A", None, "ONE"} and len(got) == 15
 
 
-def test_trees_forecast_days_and_come_back_from_storage(spark, tmp_path):
-    rng = np.random.default_rng(4)
-    rows = []
-    for s, n in (("A", 260), ("B", 240), ("TINY", 8)):
+def walk_bars(spark, seed=4, **sizes):
+    rng, rows = np.random.default_rng(seed), []
+    for s, n in sizes.items():
         c = 100 + np.cumsum(rng.normal(size=n))
         rows += [(s, D0 + dt.timedelta(days=i), v - 0.5, v + 1, v - 1, v, 1000.0 + i % 7) for i, v in enumerate(c.tolist())]
-    bars = spark.createDataFrame(rows, "symbol string, date timestamp_ntz, open double, high double, low double, close double, volume double")
-    f = FE.model_features(bars)
-    model, pred = ML.gbt_train(f, rounds=8, horizons=(1, 5))
-    assert pred.count() > 0 and pred.where("predicted is null").count() == 0
-    assert model.stages[-1].getMaxIter() == 8 and model.stages[-1].getValidationIndicatorCol() == "is_validation"
-    got = ML.gbt_forecast(model, f, 10).collect()
-    assert {(r.symbol, r.model_used) for r in got} == {("A", "gbt"), ("B", "gbt"), ("TINY", "last_close")} and len(got) == 30
-    last = {s: max(r[1] for r in rows if r[0] == s) for s in ("A", "TINY")}
-    assert all(r.date == last[r.symbol] + dt.timedelta(days=r.forecast_step) for r in got if r.symbol in last)
-    again, meta = ML.model_load(ML.model_save(model, str(tmp_path / "m")))
-    assert meta["lookback"] == 60 and meta["feature_names"][-1] == "horizon"
-    assert sorted(map(str, ML.gbt_forecast(again, f, 10).collect())) == sorted(map(str, got))
-
-
-def test_trees_learn_every_distance_and_refuse_longer_ones(spark):
+    schema = "symbol string, date timestamp_ntz, open double, high double, low double, close double, volume double"
+    return spark.createDataFrame(rows, schema), rows
+
+
+def test_patience_looks_past_a_rise():
+    curve = [9.0, 8.0, 7.0, 7.5, 7.6, 6.0, 5.0] + [4.9 - 0.01 * i for i in range(20)] + [6.0] * 60
+    assert ML.kept_rounds(curve, 50) == (27, True)
+    assert ML.kept_rounds(curve[:40], 50) == (27, False)  # too short to say
+    assert ML.kept_rounds(curve, 2) == (3, True)
+    assert ML.kept_rounds([3.0], 50) == (1, False)
+    assert ML.kept_rounds([2.0, float("nan"), 1.0], 50)[0] == 3
+
+
+def test_training_rows_are_bars_and_labels_stay_in_their_part(spark):
+    bars, _ = walk_bars(spark, A=900, B=150, TINY=8)
+    rows = ML.training_rows(FE.model_features(bars)).select("symbol", "date", "actual", "close", "label", "part").collect()
+    assert len(rows) <= bars.count() and {r.symbol for r in rows} == {"A", "B"}
+    for s in "AB":
+        mine = sorted((r for r in rows if r.symbol == s), key=lambda r: r.date)
+        assert [p for p, _ in __import__("itertools").groupby(r.part for r in mine)] == ["train", "validation", "test"]
+        first = {p: min(r.date for r in mine if r.part == p) for p in ("validation", "test")}
+        last = {p: max(r.date for r in mine if r.part == p) for p in ("train", "validation")}
+        # the close that a label names is the next day's: still before the next part
+        assert last["train"] + dt.timedelta(days=1) < first["validation"]
+        assert last["validation"] + dt.timedelta(days=1) < first["test"]
+    assert all(abs(r.label - math.log(r.actual / r.close)) < 1e-12 for r in rows)
+    by_hash = ML.training_rows(FE.model_features(bars), "random").groupBy("part").count().collect()
+    assert {r.part for r in by_hash} == {"train", "validation", "test"}
+
+
+def test_boosting_keeps_the_rounds_that_the_whole_curve_asks_for(spark):
     from pyspark.sql import functions as F
-    rows = [("A", D0 + dt.timedelta(days=i), 100.0 + i) for i in range(40)]
-    bars = spark.createDataFrame(rows, "symbol string, date timestamp_ntz, close double").withColumn("target", F.lit(0.0))
-    for c in set(FE.MODEL_FEATURES) - {"close"}:
-        bars = bars.withColumn(c, F.lit(1.0))
-    n = {r.horizon: r["count"] for r in ML.horizon_rows(bars).groupBy("horizon").count().collect()}
-    assert n == {h: 40 - h for h in range(1, 31)}
-    with pytest.raises(ValueError):
-        ML.gbt_forecast(None, bars, 31)
-    assert ML.gbt_pipeline().getStages()[-1].getValidationTol() == 0.0
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1500, 2))
+    y = np.sin(2 * x[:, 0]) + 0.5 * x[:, 1] + rng.normal(size=1500) * 0.3
+    rows = spark.createDataFrame([(float(a), float(b), float(c), "validation" if i % 5 == 0 else "train")
+                                  for i, ((a, b), c) in enumerate(zip(x, y, strict=True))], "a double, b double, label double, part string")
+    model, curve = ML.gbt_fit(rows, rounds=45, patience=10, features=("a", "b"), step=0.2)
+    kept = model.stages[-1].getNumTrees
+    assert kept == ML.kept_rounds(curve, 10)[0] > 10 and curve[kept - 1] == min(curve[:kept])
+    # the prefix is the first trees of the whole ensemble: its error is the curve's
+    said = model.transform(rows.where("part = 'validation'"))
+    error = said.agg(F.avg((F.col("prediction") - F.col("label")) ** 2)).first()[0]
+    assert abs(error - curve[kept - 1]) < 1e-9
+    none, curve = ML.gbt_fit(rows.where("part = 'train'"), rounds=3, features=("a", "b"))
+    assert curve == [] and none.stages[-1].getNumTrees == 3
+
+
+def test_trees_forecast_any_days_and_come_back_from_storage(spark, tmp_path):
+    from pyspark.sql import functions as F
+    bars, rows = walk_bars(spark, A=260, B=240, TINY=8)
+    f = FE.model_features(bars)
+    model, pred, curve = ML.gbt_train(f, rounds=8)
+    assert len(curve) == 8 and pred.count() > 0 and pred.where("predicted is null").count() == 0
+    got = ML.gbt_forecast(model, f, 90, cut_every=30).collect()
+    assert len(got) == 270 and all(math.isfinite(r.predicted_value) for r in got)
+    assert {(r.symbol, r.model_used) for r in got} == {("A", "gbt"), ("B", "gbt"), ("TINY", "last_close")}
+    last = {s: max(r[1] for r in rows if r[0] == s) for s in ("A", "B", "TINY")}
+    assert all(r.date == last[r.symbol] + dt.timedelta(days=r.forecast_step) for r in got)
+    # step 1 is the model on the newest bar, step 2 on features with the predicted close in their history
+    newest = model.transform(f.join(f.groupBy("symbol").agg(F.max("date").alias("date")), ["symbol", "date"])
+                             .where("symbol != 'TINY'")).collect()
+    one = {r.symbol: r.close * math.exp(r.prediction) for r in newest}
+    steps = {(r.symbol, r.forecast_step): r.predicted_value for r in got}
+    assert all(abs(steps[s, 1] - v) < 1e-9 for s, v in one.items())
+    from_a = [r for r in rows if r[0] == "A"]
+    longer = [*from_a, ("A", last["A"] + dt.timedelta(days=1), *from_a[-1][2:5], one["A"], from_a[-1][6])]
+    again = FE.model_features(spark.createDataFrame(longer, bars.schema)).where(F.col("date") > last["A"])
+    old = f.where((F.col("symbol") == "A") & (F.col("date") == last["A"])).first().asDict()
+    held = [c for c in FE.MODEL_FEATURES if c not in ML.close_features(F.array(F.lit(0.0)))]
+    two = model.transform(again.withColumns({c: F.lit(old[c]) for c in held})).first()
+    assert abs(steps["A", 2] - two["close"] * math.exp(two["prediction"])) < 1e-9
+    back, meta = ML.model_load(ML.model_save(model, str(tmp_path / "m"), curve))
+    assert meta["lookback"] == 60 and meta["feature_names"] == list(FE.MODEL_FEATURES) and meta["curve"] == curve
+    assert sorted(map(str, ML.gbt_forecast(back, f, 5).collect())) == sorted(str(r) for r in got if r.forecast_step <= 5)

@@ -9,7 +9,8 @@ SF = "/root/testdata/sf0.001"
 FAST = ["resample_bars", "technical_features", "clean_bars", "validate_bars", "analyze_symbols",
         "drift_forecast", "merge_bars", "market_analysis", "regression_metrics",
         "direction_metrics", "stationarity", "outliers_iqr", "tail_n", "model_features",
-        "source_failover", "stream_resample", "ar_forecast", "random_split", "best_model"]
+        "source_failover", "stream_resample", "ar_forecast", "random_split", "best_model_drift_ar",
+        "gbt_training_rows"]
 
 
 @pytest.fixture(scope="module")
@@ -24,9 +25,9 @@ def test_query_matches_oracle(spark, con, name):
 
 
 #: Fitted models; their recovery and properties are tested in test_models.py.
-MODELS = {"gbt_train", "gbt_forecast", "feature_importance", "top_features", "model_save_load", "gbt_metrics",
+MODELS = {"gbt_train", "gbt_forecast", "gbt_validation_curve", "feature_importance", "top_features", "model_save_load", "gbt_metrics",
           "seasonal_trend_forecast", "seasonal_metrics", "ar_order_select", "arp_forecast", "arima_forecast",
-          "arima_metrics", "adf_test", "select_and_forecast_all"}
+          "arima_metrics", "adf_test", "select_and_forecast_all", "best_model", "select_and_forecast", "end_to_end"}
 
 
 def test_every_query_has_oracle_or_is_model():

@@ -175,9 +175,10 @@ def _arima(df, days=30, key="symbol", horizon=None):
 
 
 MODELS = {"drift": drift_forecast, "ar": ar_forecast, "seasonal_trend": _seasonal, "arima": _arima}
+DEFAULT_MODELS = ("arima", "seasonal_trend")
 
 
-def evaluate_models(df: DataFrame, models=("arima", "seasonal_trend"), key: str = "symbol"
+def evaluate_models(df: DataFrame, models=DEFAULT_MODELS, key: str = "symbol"
                     ) -> DataFrame:
     """Fit every model on the first 80 % of each symbol, score the rest.
 
@@ -200,7 +201,7 @@ def evaluate_models(df: DataFrame, models=("arima", "seasonal_trend"), key: str
     return reduce(lambda a, b: a.unionByName(b), out)
 
 
-def select_and_forecast(df: DataFrame, days: int = 30, models=("arima", "seasonal_trend"),
+def select_and_forecast(df: DataFrame, days: int = 30, models=DEFAULT_MODELS,
                         key: str = "symbol") -> DataFrame:
     """Best model per symbol by test RMSE, refit on all rows, forecast ``days``.
 

@@ -655,7 +655,7 @@ _eval = [_split.replace("tfit AS", "tfit_unused AS"),
   FROM te JOIN ev_dfc f ON te.symbol = f.symbol AND te.step = f.h GROUP BY te.symbol)""",
          """best AS (SELECT symbol, arg_min(model_name, (rmse, model_name)) AS best_model, min(rmse) AS best_rmse
   FROM scores WHERE rmse IS NOT NULL GROUP BY symbol)"""]
-SQL["best_model"] = with_("bars_nation", *_eval) + sel("best", ["best_rmse"], ["symbol", "best_model"])
+SQL["best_model_drift_ar"] = with_("bars_nation", *_eval) + sel("best", ["best_rmse"], ["symbol", "best_model"])
 _final = ["fz AS (SELECT symbol, 30 AS days FROM bars_nation GROUP BY symbol)",
           f"""fdd AS (SELECT symbol, date, close, close - {lag('close')} AS d, {lag('close')} - {lag('close', 2)} AS d1
   FROM bars_nation)""",
@@ -673,7 +673,7 @@ _final = ["fz AS (SELECT symbol, 30 AS days FROM bars_nation GROUP BY symbol)",
   last_close + h * ((last_close - first_close) / NULLIF(n - 1, 0)) AS y, sigma * sqrt(h) AS sd
   FROM dfit, range(1, 31) t(h))"""]
 _drift_fit_only = _drift.split("dfc AS")[0].rstrip().rstrip(",")
-SQL["select_and_forecast"] = with_("bars_nation", *_eval, _drift_fit_only, *_final) + sel(
+SQL["select_and_forecast_drift_ar"] = with_("bars_nation", *_eval, _drift_fit_only, *_final) + sel(
     "(SELECT * FROM far UNION ALL SELECT * FROM fdr) x JOIN best b ON x.symbol = b.symbol AND x.model_used = b.best_model",
     [("y", "predicted_value"), (f"y - {lit(1.959963984540054)} * sd", "lower_ci"),
      (f"y + {lit(1.959963984540054)} * sd", "upper_ci")],
@@ -740,9 +740,18 @@ SQL["standard_scale"] = with_("bars_nation", _mf_cte, f"""pm AS (SELECT *, row_n
     [(f"CASE WHEN s_{c} = 0 THEN 0.0 ELSE ({c} - m_{c}) / s_{c} END", f"z_{c}") for c in MODEL_FEATURES],
     ["symbol", "date"])
 
-SQL["end_to_end"] = (
+SQL["end_to_end_drift_ar"] = (
     "SELECT f.*, a.latest_price, a.total_return_percent, a.volatility_percent, a.rsi_signal "
-    f"FROM ({SQL['select_and_forecast']}) f JOIN ({SQL['analyze_symbols']}) a ON f.symbol = a.symbol")
+    f"FROM ({SQL['select_and_forecast_drift_ar']}) f JOIN ({SQL['analyze_symbols']}) a ON f.symbol = a.symbol")
+
+SQL["gbt_training_rows"] = with_("bars_nation", _mf_cte, f"""gp AS (
+  SELECT symbol, date, target AS actual, ln(target / close) AS label,
+         row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS rn,
+         floor(count(*) OVER (PARTITION BY symbol) * 0.8) AS t
+  FROM mf WHERE {_ok} AND close > 0 AND target > 0)""",
+    """gq AS (SELECT *, CASE WHEN rn >= t THEN 'test' WHEN rn = t - 1 THEN NULL WHEN rn >= floor(t * 0.9) THEN 'validation'
+  WHEN rn = floor(t * 0.9) - 1 THEN NULL ELSE 'train' END AS part FROM gp)""") + sel(
+    "gq", ["actual", "label"], ["symbol", "date", "part"], "part IS NOT NULL", {"label": 8})
 
 SQL["random_split"] = with_("bars_nation") + sel(
     "bars_nation", BAR[2:], BAR[:2] + [
@@ -752,7 +761,7 @@ SQL["random_split"] = with_("bars_nation") + sel(
 
 SQL["gbt_forecast_spine"] = with_("bars_nation") + """SELECT symbol, h::INT AS forecast_step,
   date_trunc('day', max(date)) + to_days(h::INT) AS date, true AS is_finite
-FROM bars_nation, range(1, 31) r(h) GROUP BY symbol, h"""
+FROM bars_nation, range(1, 61) r(h) GROUP BY symbol, h"""
 SQL["sector_sets"] = with_("bars_nation", "dim(sector, symbol) AS (VALUES " + ", ".join(
     f"('{sec}', '{sym}')" for sec, syms in S.SECTOR_SETS.items() for sym in syms) + ")") + """
 SELECT sector, count(*) AS symbols, 0::BIGINT AS renamed

@@ -653,11 +653,23 @@ def q_ar_fit(spark, d):
 
 @query("best_model")
 def q_best_model(spark, d):
+    """Best of ARIMA(p, d, q) and seasonal-trend per symbol (the defaults)."""
+    return E.best_model(FC.evaluate_models(nation(spark, d)), "rmse")
+
+
+@query("best_model_drift_ar")
+def q_best_model_drift_ar(spark, d):
     return E.best_model(FC.evaluate_models(nation(spark, d), ("drift", "ar")), "rmse")
 
 
 @query("select_and_forecast")
 def q_select(spark, d):
+    """The best of the default models per symbol, refit and forecast."""
+    return FC.select_and_forecast(nation(spark, d), 30)
+
+
+@query("select_and_forecast_drift_ar")
+def q_select_drift_ar(spark, d):
     return FC.select_and_forecast(nation(spark, d), 30, ("drift", "ar"))
 
 
@@ -723,8 +735,23 @@ def q_stream_resample(spark, d):
 from tickforge.operators import ml as ML  # noqa: E402
 
 
-def _gbt(spark, d):
-    return ML.gbt_train(FE.model_features(nation(spark, d)))
+#: Folder of the trained model by session and tables.
+_TRAINED: dict[tuple[str, str], str] = {}
+
+
+def _gbt(spark, d) -> ML.Trained:
+    """The model of these tables: trained once a session, saved with its test
+    predictions in the shared folder and loaded by every query that uses it."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _TRAINED:
+        path = _fresh(spark, "gbt")
+        trained = ML.gbt_train(FE.model_features(nation(spark, d)))
+        ML.model_save(trained.model, path, trained.curve)
+        trained.predictions.write.parquet(path + "/predictions")
+        _TRAINED[key] = path
+    path = _TRAINED[key]
+    model, meta = ML.model_load(path)
+    return ML.Trained(model, spark.read.parquet(path + "/predictions"), meta["curve"])
 
 
 @query("prepare_for_modeling")
@@ -742,54 +769,73 @@ def q_standard_scale(spark, d):
                                           for i, c in enumerate(FE.MODEL_FEATURES)])
 
 
+@query("gbt_training_rows", {"label": 8})
+def q_gbt_rows(spark, d):
+    """What the trees learn from: one row a bar, its label and its part."""
+    return ML.training_rows(FE.model_features(nation(spark, d))).select("symbol", "date", "actual", "label", "part")
+
+
 @query("gbt_train")
 def q_gbt_train(spark, d):
-    return _gbt(spark, d)[1]
+    return _gbt(spark, d).predictions
+
+
+@query("gbt_validation_curve")
+def q_gbt_curve(spark, d):
+    """Error on the validation rows after every round, and which rounds are kept."""
+    return ML.validation_curve(spark, _gbt(spark, d))
 
 
 @query("gbt_forecast")
 def q_gbt_forecast(spark, d):
-    return ML.gbt_forecast(_gbt(spark, d)[0], FE.model_features(nation(spark, d)), 30)
+    return ML.gbt_forecast(_gbt(spark, d).model, FE.model_features(nation(spark, d)), 30)
 
 
 @query("gbt_forecast_spine")
 def q_gbt_forecast_spine(spark, d):
-    """Rows and dates of a saved and reloaded model's forecast; values are finite."""
-    path = ML.model_save(_gbt(spark, d)[0], _fresh(spark, "gbt-spine"))
-    model, meta = ML.model_load(path)
-    f = ML.gbt_forecast(model, FE.model_features(nation(spark, d)), max(meta["horizons"]))
+    """Rows and dates of a saved and reloaded model's forecast over 60 days; values are finite."""
+    f = ML.gbt_forecast(_gbt(spark, d).model, FE.model_features(nation(spark, d)), 60)
     return f.select("symbol", "forecast_step", "date", (F.abs("predicted_value") < 1e12).alias("is_finite"))
 
 
 @query("feature_importance")
 def q_importance(spark, d):
-    return ML.feature_importance(spark, _gbt(spark, d)[0])
+    return ML.feature_importance(spark, _gbt(spark, d).model)
 
 
 @query("top_features")
 def q_top_features(spark, d):
-    return ML.feature_importance(spark, _gbt(spark, d)[0]).limit(10)
+    return ML.feature_importance(spark, _gbt(spark, d).model).limit(10)
 
 
 @query("model_save_load")
 def q_model_save_load(spark, d):
-    path = ML.model_save(_gbt(spark, d)[0], _fresh(spark, "gbt-model"))
-    model, _ = ML.model_load(path)
+    trained = _gbt(spark, d)
+    model, _ = ML.model_load(ML.model_save(trained.model, _fresh(spark, "gbt-model"), trained.curve))
     return ML.gbt_forecast(model, FE.model_features(nation(spark, d)), 30)
 
 
 @query("gbt_metrics")
 def q_gbt_metrics(spark, d):
-    return E.regression_metrics(_gbt(spark, d)[1])
+    return E.regression_metrics(_gbt(spark, d).predictions)
+
+
+def _end_to_end(bars, models):
+    analysis = A.analyze_symbols(bars).select("symbol", "latest_price", "total_return_percent",
+                                             "volatility_percent", "rsi_signal")
+    return FC.select_and_forecast(bars, 30, models).join(analysis, "symbol")
 
 
 @query("end_to_end")
 def q_end_to_end(spark, d):
-    """load -> preprocess -> analyse -> forecast, one row per symbol and step."""
-    n = nation(spark, d)
-    analysis = A.analyze_symbols(n).select("symbol", "latest_price", "total_return_percent",
-                                          "volatility_percent", "rsi_signal")
-    return FC.select_and_forecast(n, 30, ("drift", "ar")).join(analysis, "symbol")
+    """load -> preprocess -> analyse -> forecast with the default models, one row per
+    symbol and step."""
+    return _end_to_end(nation(spark, d), FC.DEFAULT_MODELS)
+
+
+@query("end_to_end_drift_ar")
+def q_end_to_end_drift_ar(spark, d):
+    return _end_to_end(nation(spark, d), ("drift", "ar"))
 
 
 @query("seasonal_trend_forecast")
