@@ -4,6 +4,7 @@ import datetime as dt
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from tickforge.sources import bars as B
 from tickforge.streaming import ingest as ST
@@ -28,6 +29,38 @@ def test_columns_follow_each_files_header(spark, tmp_path):
         B.scan_csv_validated(spark, str(tmp_path))
 
 
+def test_many_files_and_headers_without_a_driver_read(spark, tmp_path, monkeypatch):
+    heads = ["Date,Open,High,Low,Close,Volume", "close,date,open,high,low,volume", "\ufeffdate,open,high,low,close,volume,extra"]
+    for i in range(300):
+        folder = tmp_path / f"part{i % 7}"
+        folder.mkdir(exist_ok=True)
+        kind = 0 if i % 10 else 1 + i % 20 // 10
+        day = "2024-01-01"
+        line = [f"{day},1,3,0.5,{i},10", f"{i},{day},1,3,0.5,10", f"{day},1,3,0.5,{i},10,x{i}"][kind]
+        (folder / f"S{i}.csv").write_text("\n" * (i % 3 == 0) + f"{heads[kind]}\n{line}\n", encoding="utf-8")
+    (tmp_path / "stock_metadata.csv").write_text("Company,Industry\nx,y\n")
+    opened = []
+    monkeypatch.setattr(type(spark._jvm.org.apache.hadoop.fs), "__getattr__", opened.append, raising=False)
+    headers = B.csv_headers(spark, str(tmp_path))
+    monkeypatch.undo()
+    assert not opened and headers.count() == 300 and len(B.distinct_headers(headers)) == 3
+    rows = {r.symbol: r for r in B.scan_bars_csv(spark, str(tmp_path), headers=headers).collect()}
+    assert len(rows) == 300 and all(rows[f"S{i}"].close == i and rows[f"S{i}"].high == 3.0 for i in range(300))
+    assert {s for s, r in rows.items() if r.extra} == {f"S{i}" for i in range(300) if i % 20 == 10}
+    # a symbol's file is chosen before any data is read
+    one = B.scan_bars_csv(spark, str(tmp_path), ["S7"], headers)
+    assert [r.symbol for r in one.collect()] == ["S7"]
+
+
+def test_failover_reads_later_sources_for_missing_symbols_only(spark):
+    rows = lambda *s: spark.createDataFrame([(x, d, float(d)) for x in s for d in (1, 2)], "symbol string, date int, close double")
+    got = B.source_failover([("a", rows("X", None)), ("b", rows("X", "Y", None)), ("c", rows("Y", "Z").withColumn("more", F.lit(1)))])
+    assert sorted((r.symbol or "", r.date, r.source) for r in got.collect()) == [
+        ("", 1, "a"), ("", 2, "a"), ("X", 1, "a"), ("X", 2, "a"), ("Y", 1, "b"), ("Y", 2, "b"), ("Z", 1, "c"), ("Z", 2, "c")]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("LeftAnti") == 2
+    assert B.source_failover([("a", rows("X"))]).count() == 2
+
+
 def bar(symbol, day, close, n):
     return (symbol, dt.datetime(2024, 1, day), 1.0, 100.0, 0.5, close, 1.0, n)
 

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import csv
-import re
 from functools import reduce
-from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from tickforge import schema as S
 from tickforge.operators import clean as C
+from tickforge.operators import sequence as seq
+from tickforge.session import cut_lineage
+
 
 def _stem_symbol(path: F.Column) -> F.Column:
     """Symbol from the file path: Hive-style ``symbol=X`` dir, else the file stem.
@@ -22,62 +23,70 @@ def _stem_symbol(path: F.Column) -> F.Column:
     return F.url_decode(F.regexp_replace(raw, r"\+", "%2B"))
 
 
-def _file_symbol(path: str) -> str:
-    """The same rule as ``_stem_symbol`` for a path known to the driver."""
-    hive = re.search(r"symbol=([^/]+)/[^/]*$", path)
-    return unquote(hive[1] if hive else re.sub(r"\.[^./]*$", "", path.rsplit("/", 1)[-1]))
+def csv_headers(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line): the first line that is not blank of every symbol file under
+    ``path``, at any depth; files that hold no symbol and empty files are left out.
+
+    Listing and reading are Spark's, so nothing is opened by the driver: one pass of
+    the text reader, in which a file's lines shrink to one before the shuffle. That
+    pass is cheap beside parsing the same files as CSV.
+    """
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("place"))
+    firsts = (lines.where("start = 0 and trim(value) != ''").groupBy("file")
+              .agg(F.regexp_replace(F.min_by("value", "place"), "^\ufeff", "").alias("line")))
+    return cut_lineage(firsts.where(~_stem_symbol(F.col("file")).isin(*S.NON_SYMBOL_STEMS)))
 
 
-def csv_headers(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
-    """Files under ``path`` by their own header row.
+def distinct_headers(headers: DataFrame) -> list[tuple[str, list[str], str]]:
+    """(line, column names, a file that has it) of every header, the commonest first."""
+    rows = headers.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.min("file").alias("file")).collect()
+    return [(r["line"], next(csv.reader([r["line"]]), []), r["file"]) for r in sorted(rows, key=lambda r: (-r["n"], r["line"]))]
 
-    One small read per file through Hadoop's file system (any store, any codec
-    Spark knows); files that hold no symbol and empty files are left out.
-    """
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(conf)
-    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
-    found, files = {}, fs.listFiles(root, True)
-    while files.hasNext():
-        file = files.next().getPath()
-        name = file.toString()
-        if re.search(r"/[_.]", name[len(root.toString()):]) or _file_symbol(name) in S.NON_SYMBOL_STEMS:
-            continue
-        codec, stream = codecs.getCodec(file), fs.open(file)
-        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(
-            codec.createInputStream(stream) if codec else stream, "UTF-8"))
-        try:
-            line = reader.readLine()
-        finally:
-            reader.close()
-        if line is not None:
-            found.setdefault(tuple(next(csv.reader([line.lstrip("\ufeff")]), [])), []).append(name)
-    return found
-
-
-def scan_bars_csv(spark: SparkSession, path: str, symbols: list[str] | None = None) -> DataFrame:
+
+def _positions(spark: SparkSession, header: list[str]) -> dict[str, int]:
+    """Canonical column name -> place in the file; the symbol comes from the file name."""
+    unique = [c if c not in header[:i] else f"{c}_{i}" for i, c in enumerate(header)]
+    at = {c.strip().lower(): i for i, c in reversed(list(enumerate(unique)))}
+    at.pop("symbol", None)
+    frame = spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in at]))
+    named = dict(zip(C.map_synonyms(frame).columns, at.values(), strict=True))
+    named.pop("symbol", None)
+    return named
+
+
+def scan_bars_csv(spark: SparkSession, path: str, symbols: list[str] | None = None,
+                  headers: DataFrame | None = None) -> DataFrame:
     """Read every symbol file under ``path``, columns by each file's own header.
 
-    Files with the same header are one multi-file scan under an explicit
-    all-string schema (no inference pass); the scans are united by column name.
-    The symbol comes from the file name; ``symbols`` selects files before any
-    data is read.
+    One scan under an all-string schema by position (no inference pass). A row's
+    header is that of its file: the commonest unless ``headers`` says otherwise, so
+    only the files with other headers are joined to the rows. The symbol comes from
+    the file name; ``symbols`` selects files before any data is read.
     """
-    parts = []
-    for header, files in sorted(csv_headers(spark, path).items()):
-        files = [f for f in files if symbols is None or _file_symbol(f) in symbols]
-        names = [c if header[:i].count(c) == 0 else f"{c}_{i}" for i, c in enumerate(header)]
-        if not files:
-            continue
-        raw = T.StructType([T.StructField(c, T.StringType()) for c in names])
-        df = spark.read.schema(raw).option("header", True).csv(files)
-        df = df.withColumn("_file_symbol", _stem_symbol(F.col("_metadata.file_path")))
-        x = C.map_synonyms(C.standardise_columns(df).drop("symbol"))
-        parts.append(x.withColumn("symbol", F.col("_file_symbol")).drop("_file_symbol"))
-    if not parts:
+    headers = csv_headers(spark, path) if headers is None else headers
+    kinds = distinct_headers(headers)
+    if not kinds:
         return spark.createDataFrame([], S.BAR_SCHEMA)
-    x = C.cast_types(union_symbols(*parts))
+    width = max(len(names) for _, names, _ in kinds)
+    raw = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(width)])
+    rows = (spark.read.schema(raw).option("header", True).option("recursiveFileLookup", True).csv(path)
+            .select("*", F.col("_metadata.file_path").alias("_file")))
+    symbol = _stem_symbol(F.col("_file"))
+    rows = rows.where(~symbol.isin(*S.NON_SYMBOL_STEMS) if symbols is None else symbol.isin(*symbols))
+    if len(kinds) > 1:
+        number = {line: i for i, (line, _, _) in enumerate(kinds)}
+        other = headers.where(F.col("line") != kinds[0][0]).replace(
+            {k: str(v) for k, v in number.items()}, subset=["line"]).select(
+            F.col("file").alias("_other"), F.col("line").cast("int").alias("_kind"))
+        rows = rows.join(other, rows["_file"] == F.col("_other"), "left").drop("_other")
+    kind = F.coalesce("_kind", F.lit(0)) if len(kinds) > 1 else F.lit(0)
+    places = [_positions(spark, names) for _, names, _ in kinds]
+    columns = dict.fromkeys(c for p in places for c in p)
+    value = {c: F.coalesce(*[F.when(kind == i, F.col(f"_c{p[c]}")) for i, p in enumerate(places) if c in p])
+             for c in columns}
+    x = C.cast_types(rows.select(*[v.alias(c) for c, v in value.items()], _stem_symbol(F.col("_file")).alias("symbol")))
     keep = [c for c in S.BAR_COLS if c in x.columns]
     return x.select(*keep, *[c for c in x.columns if c not in keep])
 
@@ -87,14 +96,15 @@ def scan_csv_validated(spark: SparkSession, path: str, symbols: list[str] | None
     """Scan and validate bar files: (bars, rejects with a reason).
 
     A file that lacks one of the bar columns fails the scan; uploaded bytes are
-    a file landed under ``path``.
+    a file landed under ``path``. Headers are read once.
     """
-    for header, files in csv_headers(spark, path).items():
+    headers = csv_headers(spark, path)
+    for _, header, file in distinct_headers(headers):
         named = [c.strip().lower() for c in header]
         lacking = [c for c in S.BAR_COLS if c != "symbol" and not any(o in named for o in S.SYNONYMS[c])]
         if lacking:
-            raise ValueError(f"{files[0]}: bars lack the columns {lacking}")
-    return C.validate(scan_bars_csv(spark, path, symbols))
+            raise ValueError(f"{file}: bars lack the columns {lacking}")
+    return C.validate(scan_bars_csv(spark, path, symbols, headers))
 
 
 def scan_single_symbol(spark: SparkSession, path: str, symbol: str) -> DataFrame:
@@ -135,14 +145,21 @@ def unknown_symbols(df: DataFrame, dim: DataFrame) -> DataFrame:
 def source_failover(sources: list[tuple[str, DataFrame]]) -> DataFrame:
     """Per symbol, rows of the first source (in priority order) that has any.
 
-    The choice is a tiny (symbol -> best rank) aggregate joined back, so no
-    symbol's rows are ever gathered in one task.
+    A cascade: a later source is read only for the symbols that no earlier one
+    has (an anti-join with the symbols found so far, one row each). Symbols are
+    summed before they are compared, so a symbol's rows never meet in one task.
     """
-    tagged = union_symbols(*[d.withColumn("source", F.lit(name))
-                             .withColumn("source_rank", F.lit(i))
-                             for i, (name, d) in enumerate(sources)])
-    best = tagged.groupBy("symbol").agg(F.min("source_rank").alias("source_rank"))
-    return tagged.join(best, ["symbol", "source_rank"], "left_semi").drop("source_rank")
+    out, found = None, None
+    for name, rows in sources:
+        rows = rows.withColumn("source", F.lit(name))
+        key = seq.group_key("symbol")  # a null symbol is a symbol of its own
+        if found is not None:
+            rows = rows.withColumn("_key", key).join(found, "_key", "left_anti").drop("_key")
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+        if name != sources[-1][0]:
+            new = rows.select(key.alias("_key")).distinct()
+            found = cut_lineage(new if found is None else found.unionByName(new))
+    return out
 
 
 def source_health(sources: list[tuple[str, DataFrame]], spark: SparkSession) -> DataFrame:
