@@ -105,3 +105,61 @@ def test_resample_restarts_and_counts_late_ticks(spark, tmp_path):
     spark.createDataFrame([tick(3, 0, 7.0, 4), tick(1, 45, 2.0, 3)], schema).coalesce(1).write.parquet(src + "/b")
     got = {r.date.hour: (r.open, r.high, r.close, r.volume) for r in ST.stream_resample(spark.newSession(), *args).collect()}
     assert got == {1: (1.0, 5.0, 2.0, 3.0), 3: (7.0, 7.0, 7.0, 1.0)}
+
+
+def test_closed_windows_come_once_and_late_ticks_are_set_aside(spark, tmp_path):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "event_type string, ts timestamp, value double, event_id long"
+    empty = spark.createDataFrame([], schema)
+    tick = lambda day, h, v, n: ("x", dt.datetime(2024, 1, day, h, 10), v, n)
+    deliver = lambda rows, name: spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{src}/{name}")
+    run = lambda s: ST.stream_resample_closed(s, src + "/*", out, empty.schema)
+    deliver([tick(1, 1, 1.0, 1), tick(1, 1, 5.0, 2), tick(1, 2, 3.0, 3)], "a")
+    bars, late = run(spark)
+    assert bars.count() == 0 and late.count() == 0  # the watermark has passed nothing
+    deliver([tick(3, 0, 7.0, 4), tick(1, 2, 4.0, 5)], "b")  # the second is behind, but its window is open
+    bars, late = run(spark.newSession())
+    got = {r.date.hour: (r.open, r.close, r.volume) for r in bars.collect()}
+    assert got == {1: (1.0, 5.0, 2.0), 2: (3.0, 4.0, 2.0)} and late.count() == 0
+    deliver([tick(1, 2, 9.0, 6), ("x", None, 1.0, 7), tick(5, 0, 8.0, 8)], "c")  # now too late, and without a time
+    bars, late = run(spark)
+    assert sorted(r.event_id for r in late.collect()) == [6, 7]
+    assert {(r.date.day, r.date.hour): r.volume for r in bars.collect()} == {(1, 1): 2.0, (1, 2): 2.0, (3, 0): 1.0}
+
+
+def test_redelivered_rows_are_written_once_and_state_stays_small(spark, tmp_path):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    states, start, want = [], 1_700_000_000, {}
+    for epoch in range(20):  # one delivery an hour, half of it known from the hour before
+        rows = [bar("A", 1 + (10 * epoch + i) % 28, float((10 * epoch + i) % 90 + 11), 10 * epoch + i) for i in range(-10, 10)]
+        want |= {(r[0], r[1].day): r[5] for r in rows}
+        land(spark, src, rows, f"b{epoch:02d}")
+        for file in os.listdir(f"{src}/b{epoch:02d}"):
+            os.utime(f"{src}/b{epoch:02d}/{file}", (start + 3600 * epoch,) * 2)
+        q = ST.run_ingest(spark, src + "/*", out, spark.createDataFrame([], SCHEMA).schema, redelivery="2 hours")
+        states.append(q.lastProgress["stateOperators"][0]["numRowsTotal"] if q.lastProgress["stateOperators"] else 0)
+    assert max(states[4:]) <= max(states[:6]) <= 60
+    written = spark.read.parquet(out)
+    assert written.count() == 210  # 20 new rows, then 10 an epoch
+    assert closes(ST.current_bars(spark, out)) == want
+
+
+def test_upsert_rewrites_only_what_the_batch_touches(spark, tmp_path):
+    from tickforge.operators import merge as MG
+    path, schema = str(tmp_path / "bars"), "symbol string, date timestamp_ntz, open double, high double, low double, close double, volume double"
+    row = lambda s, m, d, c: (s, m and dt.datetime(2024, m, d), 1.0, 9.0, 0.5, c, 1.0)
+    frame = lambda rows: spark.createDataFrame(rows, schema)
+    old = [row(s, m, d, 2.0) for s in ("A", "B", None) for m in (1, 2, 3) for d in (1, 2)] + [row("A", None, 1, 3.0)]
+    MG.write_bar_table(frame(old), path)
+    files = lambda: {os.path.join(f, x): os.stat(os.path.join(f, x)).st_mtime_ns for f, _, xs in os.walk(path) for x in xs if x.endswith(".parquet")}
+    before = files()
+    batch = [row("A", 2, 2, 5.0), row("A", 2, 3, 6.0), row(None, 3, 1, 7.0), row("C", 1, 1, 8.0), row("A", None, 1, 9.0)]
+    MG.upsert_bars(spark, path, frame(batch))
+    got = {(r.symbol, r.date): r.close for r in MG.read_bar_table(spark, path, frame([]).schema).collect()}
+    want = {(r[0], r[1]): r[5] for r in [*old, *batch]}
+    assert got == want
+    after = files()
+    same = {f for f in before if after.get(f) == before[f]}
+    assert len(same) == len(before) - 3 and len(set(after) - set(before)) == 4
+    MG.upsert_bars(spark, path, frame([]))
+    assert files() == after

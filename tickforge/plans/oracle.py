@@ -504,6 +504,7 @@ SQL["merge_bars"] = with_("bars_nation") + sel(
     """(SELECT * EXCLUDE (_b) FROM (SELECT *, 0 AS _b FROM bars_nation WHERE date < TIMESTAMP '1997-01-01'
         UNION ALL SELECT * REPLACE (close + 1 AS close), 1 FROM bars_nation WHERE date >= TIMESTAMP '1996-07-01')
       QUALIFY row_number() OVER (PARTITION BY symbol, date ORDER BY _b DESC) = 1)""", BAR[2:], BAR[:2])
+SQL["upsert_bars"] = SQL["merge_bars"]
 SQL["sort_bars"] = bars_sql("bars_nation")
 _drift = f"""dfit AS (SELECT symbol, arg_min(close, date) AS first_close, arg_max(close, date) AS last_close,
   max(date) AS last_date, count(*) AS n, stddev_samp(d) AS sigma FROM
@@ -601,6 +602,11 @@ SQL["write_csv"] = bars_sql("bars_nation")
 SQL["write_metrics"] = SQL["regression_metrics"]
 SQL["stream_ingest"] = SQL["validate_bars"]
 SQL["stream_resample"] = bars_sql("bars_event")
+SQL["stream_ingest_redelivery"] = SQL["stream_ingest"]
+SQL["stream_resample_closed"] = with_("bars_event") + sel(
+    "bars_event", BAR[2:], BAR[:2], "date + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY")
+SQL["stream_late_rows"] = "SELECT event_id, ts, event_type, " + sql_round("value", "value") + \
+    " FROM events WHERE ts < TIMESTAMP '2024-01-02'"
 SQL["prepare_for_modeling"] = with_("bars_nation", _mf_cte) + sel(
     "mf", MODEL_FEATURES + ["target"], ["symbol", "date"],
     " AND ".join(f"{c} IS NOT NULL" for c in MODEL_FEATURES + ["target"]))

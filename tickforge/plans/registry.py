@@ -521,6 +521,15 @@ def q_merge(spark, d):
     return MG.merge_bars(existing, new)
 
 
+@query("upsert_bars")
+def q_upsert(spark, d):
+    """The same batch merged into a stored bar table, of which it touches a part."""
+    n, path = nation(spark, d), _fresh(spark, "bar-table")
+    MG.write_bar_table(n.filter(F.col("date") < "1997-01-01"), path)
+    MG.upsert_bars(spark, path, n.filter(F.col("date") >= "1996-07-01").withColumn("close", F.col("close") + 1))
+    return MG.read_bar_table(spark, path, n.schema)
+
+
 @query("sort_bars")
 def q_sort(spark, d):
     return MG.sort_bars(nation(spark, d))
@@ -730,6 +739,44 @@ def q_stream_resample(spark, d):
     return ST.stream_resample(spark, src, root + "/out", ev.schema, max_files_per_trigger=1)
 
 
+def _land_in_order(df: DataFrame, path: str, column: str, cuts: list[str]) -> str:
+    """Files that land one after the other, cut at the given values."""
+    edges = [None, *cuts, None]
+    for lo, hi in zip(edges, edges[1:], strict=False):
+        part = df.where((F.lit(True) if lo is None else F.col(column) >= lo) & (F.lit(True) if hi is None else F.col(column) < hi))
+        part.coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def _closed(spark, d):
+    """Events landing by week, then those of the first day again: too late."""
+    root, ev = _fresh(spark, "stream-closed"), fx.table(spark, d, "events")
+    src = _land_in_order(ev, root + "/in", "ts", ["2024-01-08", "2024-01-15", "2024-01-22"])
+    ev.where("ts < '2024-01-02'").coalesce(1).write.mode("append").parquet(src)
+    return ST.stream_resample_closed(spark, src, root + "/out", ev.schema, max_files_per_trigger=1)
+
+
+@query("stream_resample_closed")
+def q_stream_closed(spark, d):
+    """Windows that the watermark has passed, each emitted once."""
+    return _closed(spark, d)[0]
+
+
+@query("stream_late_rows")
+def q_stream_late(spark, d):
+    """The ticks that came after their window had been emitted."""
+    return _closed(spark, d)[1].select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_type", "value")
+
+
+@query("stream_ingest_redelivery")
+def q_stream_redelivery(spark, d):
+    """Dirty quotes landing twice; the second delivery is not written again."""
+    root, q = _fresh(spark, "stream-again"), dirty(spark, d)
+    src = _land(q, root + "/in", 4, "ingest_seq")
+    q.where("ingest_seq % 3 = 0").coalesce(1).write.mode("append").parquet(src)
+    return ST.stream_ingest(spark, src, root + "/out", q.schema, max_files_per_trigger=1, redelivery="1 day")
+
+
 # --- 2.9 models ---------------------------------------------------------------------
 
 from tickforge.operators import ml as ML  # noqa: E402
