@@ -213,19 +213,28 @@ def freshness(df: DataFrame, as_of, key: str = "symbol", fresh_days: int = S.FRE
 
 
 def pipeline_audit(raw: DataFrame, key: str = "symbol",
-                   chunk_rows: int = seq.DEFAULT_CHUNK_ROWS) -> DataFrame:
+                   chunk_rows: int = seq.DEFAULT_CHUNK_ROWS, counters: dict | None = None) -> DataFrame:
     """Per symbol and step: (symbol, step, metric, value) of the full pipeline;
-    dates are days since 1970."""
+    dates are days since 1970.
+
+    A dict given as ``counters`` gets the totals of the whole run (rows and nulls
+    after cleaning, after the outliers and with all features), observed while the
+    steps' tables are written, so they cost no scan.
+    """
     from tickforge.operators.clean import clean_bars, iqr_fences, outlier_counts, outliers_iqr
     from tickforge.operators.features import TECHNICAL_COLUMNS, technical_features
     from tickforge.session import cut_lineage
     value_cols = [c for c in raw.columns if c not in (key,)]
-    clean = cut_lineage(clean_bars(raw, key, chunk_rows=chunk_rows))
     price_cols = [c for c in S.BAR_COLS if c != key]
 
     def nulls(df, cols):
         return reduce(lambda a, b: a + b, [F.count_if(F.col(c).isNull()) for c in cols])
 
+    def totals(rows, empty, columns):
+        return {rows: F.count(F.lit(1)), empty: nulls(None, columns)}
+
+    clean = cut_lineage(clean_bars(raw, key, chunk_rows=chunk_rows), counters,
+                        totals("remaining_rows", "remaining_nulls", price_cols))
     s1 = raw.groupBy(key).agg(
         F.count(F.lit(1)).cast("double").alias("rows"),
         F.lit(float(len(raw.columns))).alias("columns"),
@@ -241,8 +250,10 @@ def pipeline_audit(raw: DataFrame, key: str = "symbol",
         (F.col("null_values") - F.coalesce(F.col("remaining_nulls"), F.lit(0.0))).alias("filled_nulls"))
     fences = cut_lineage(iqr_fences(clean, key=key))
     s3 = outlier_counts(clean, key=key, fences=fences)
-    cleaned = cut_lineage(outliers_iqr(clean, key=key, fences=fences))
-    feats = cut_lineage(technical_features(cleaned, key, chunk_rows))
+    cleaned = cut_lineage(outliers_iqr(clean, key=key, fences=fences), counters,
+                          totals("rows_after_outliers", "nulls_after_outliers", price_cols))
+    feats = cut_lineage(technical_features(cleaned, key, chunk_rows), counters,
+                        totals("feature_rows", "final_nulls", [*price_cols, *TECHNICAL_COLUMNS]))
     s4 = feats.groupBy(key).agg(
         F.count(F.lit(1)).cast("double").alias("feature_rows"),
         nulls(feats, [*price_cols, *TECHNICAL_COLUMNS]).cast("double").alias("final_nulls"),

@@ -734,6 +734,8 @@ def _audit_sql() -> str:
 
 
 SQL["pipeline_audit"] = _audit_sql()
+SQL["pipeline_counters"] = f"""SELECT metric AS counter, sum(value)::BIGINT AS value FROM ({SQL['pipeline_audit']})
+WHERE metric IN ('remaining_rows', 'remaining_nulls', 'feature_rows', 'final_nulls') GROUP BY metric"""
 
 
 _ok = " AND ".join(f"{c} IS NOT NULL" for c in MODEL_FEATURES + ["target"])

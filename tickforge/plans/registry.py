@@ -496,6 +496,15 @@ def q_audit(spark, d):
     return A.pipeline_audit(dirty(spark, d).drop("ingest_seq"))
 
 
+@query("pipeline_counters")
+def q_counters(spark, d):
+    """Totals of the run, observed while its tables are written."""
+    counters = {}
+    A.pipeline_audit(dirty(spark, d).drop("ingest_seq"), counters=counters)
+    names = ["remaining_rows", "remaining_nulls", "feature_rows", "final_nulls"]
+    return spark.createDataFrame([(c, int(counters[c])) for c in names], "counter string, value long")
+
+
 @query("duplicate_count")
 def q_dups(spark, d):
     return A.duplicate_count(dirty(spark, d))

@@ -11,7 +11,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Observation, SparkSession
 
 # Settings every caller should have. ANSI mode stays on (the default), so
 # every division in the library goes through ``try_divide``.
@@ -71,7 +71,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut_lineage(df):
+def cut_lineage(df, counters: dict | None = None, metrics: dict | None = None):
     """Truncate a long plan: write it to the shared folder and read it back.
 
     Composite operators call this between stages: every "aggregate, then join
@@ -79,10 +79,18 @@ def cut_lineage(df):
     (and recompute) exponentially without a cut. The table is computed once,
     compressed, pruned by column on re-read, and survives the loss of any
     executor.
+
+    ``metrics`` (name: aggregate) are observed in the pass that writes the table and
+    put into ``counters``, without another scan.
     """
     spark = df.sparkSession
     path = scratch_path(spark, f"cut-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    if counters is None or not metrics:
+        df.write.parquet(path)
+    else:
+        watch = Observation(f"cut-{uuid.uuid4().hex}")
+        df.observe(watch, *[m.alias(name) for name, m in metrics.items()]).write.parquet(path)
+        counters.update(watch.get)
     return spark.read.schema(df.schema).parquet(path)
 
 
