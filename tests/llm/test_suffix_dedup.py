@@ -89,3 +89,26 @@ def test_removal_takes_its_spans_from_the_maximal_repeats(monkeypatch):
             if i != j and k + r >= 8:
                 want[i] = tuple(map(max, want.get(i, (0, 0)), (k, r)))
     assert found and got == want
+
+
+def test_widest_repeat_of_each_member_is_found_without_the_whole_tree():
+    rng = random.Random(11)
+    for _ in range(30):
+        side = lambda: bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 9)))
+        pairs = sorted({(side(), side()) for _ in range(rng.randint(2, 60))})
+        lefts, rights = [a for a, _ in pairs], [b for _, b in pairs]
+        want = [{}, {}]
+        for members, k, r in sd.maximal_repeats(sd.suffix_nodes(lefts, rights, 6), 6):
+            for i in members.tolist():
+                want[0][i], want[1][i] = max(want[0].get(i, 0), k), max(want[1].get(i, 0), r)
+        before, after = sd.hull(sd.suffix_nodes(lefts, rights, 6), len(pairs), 6)
+        assert before.tolist() == [want[0].get(i, 0) for i in range(len(pairs))]
+        assert after.tolist() == [want[1].get(i, 0) for i in range(len(pairs))]
+
+
+def test_production_parameters_match_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    want = {i: x for (i, _), x in zip(rows, without_repeats([t for _, t in rows], 400), strict=True)}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in sd.remove_repeats(docs).collect()}
+    assert got == want and any(x[1] for x in want.values())

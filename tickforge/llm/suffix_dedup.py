@@ -28,7 +28,8 @@ Defined results
 * null ids pass through and are judged like any other.
 * very long texts: scanned in blocks of ``SCAN`` bytes.
 * ties cannot arise: a byte is covered or not. Empty table: empty result.
-* extra columns are not read. Texts are identified by two 64-bit hashes.
+* extra columns are not read. Equal texts are found by two 64-bit hashes; the spans
+  of different texts are kept apart by the first of them alone.
 """
 
 from __future__ import annotations
@@ -154,16 +155,29 @@ def suffix_nodes(lefts: list[bytes], rights: list[bytes], least: int = LEAST) ->
         yield place[ranks], np.append(0, lowest(ranks[:-1] + 1, ranks[1:])), depth
 
 
-def maximal_repeats(nodes: Iterator[Node], least: int = LEAST) -> Iterator[tuple[np.ndarray, int, int]]:
+def maximal_repeats(nodes: Iterator[Node], least: int = LEAST, widest: bool = False
+                    ) -> Iterator[tuple[np.ndarray, int | np.ndarray, int]]:
     """(members, l, r): every set that shares l bytes before and r after its anchors.
 
     In left order the members split where their left extensions differ; a part
     that cannot be extended as a whole is a maximal repeat with all occurrences.
+    With ``widest`` one entry per node: its members that repeat at all, and of each
+    the l of its widest repeat. That is the interval which is its parent in the tree
+    of left extensions, as deep as the deeper of its two neighbouring gaps; all
+    others that hold the member lie around it and reach less far.
     """
     for members, gaps, depth in nodes:
-        for first, last, reach in lcp_intervals(gaps.tolist()):
-            if reach + depth >= least:
-                yield members[first:last + 1], reach, depth
+        if widest:
+            reach = np.maximum(gaps, np.append(gaps[1:], 0))
+            some = reach + depth >= least
+            yield members[some], reach[some], depth
+        elif len(members) == 2:
+            if gaps[1] + depth >= least:
+                yield members, int(gaps[1]), depth
+        else:
+            for first, last, reach in lcp_intervals(gaps.tolist()):
+                if reach + depth >= least:
+                    yield members[first:last + 1], reach, depth
 
 
 def hull(nodes: Iterator[Node], n: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
@@ -172,7 +186,7 @@ def hull(nodes: Iterator[Node], n: int, least: int = LEAST) -> tuple[np.ndarray,
     All repeats of a member hold its anchor, so their union is one stretch.
     """
     before, after = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    for members, reach, depth in maximal_repeats(nodes, least):
+    for members, reach, depth in maximal_repeats(nodes, least, True):
         before[members] = np.maximum(before[members], reach)
         after[members] = np.maximum(after[members], depth)
     return before, after
@@ -184,6 +198,13 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                        F.xxhash64(body).alias("h1"), F.xxhash64(F.lit("text"), body).alias("h2"), body.alias("body"))
 
 
+_ANCHOR = ["seed", "ctx", "ref", "loc"]
+
+
+def _frame(parts: list[tuple[np.ndarray, ...]], names: list[str]) -> pd.DataFrame:
+    return pd.DataFrame({c: np.concatenate(x) for c, x in zip(names, zip(*parts, strict=True), strict=True)})
+
+
 def anchor_rows(texts: DataFrame, least: int, seed: int) -> DataFrame:
     """(seed, ctx, ref, loc) of every anchor; a copy in the same task is skipped."""
     before = least - seed
@@ -201,12 +222,12 @@ def anchor_rows(texts: DataFrame, least: int, seed: int) -> DataFrame:
                 right = np.minimum(least, len(raw) - at)
                 ctx = [_signed(xxhash.xxh3_64_intdigest(raw[max(0, p - before):p + least], min(p, before)))
                        for p in at.tolist()]
-                out.append(pd.DataFrame({"seed": seeds.view(np.int64), "ctx": ctx, "ref": ref, "loc": at * _PACK + right}))
+                out.append((seeds.view(np.int64), np.array(ctx, np.int64), np.full(len(at), ref), at * _PACK + right))
                 if len(out) > 500:
-                    yield pd.concat(out)
+                    yield _frame(out, _ANCHOR)
                     out = []
             if out:
-                yield pd.concat(out)
+                yield _frame(out, _ANCHOR)
 
     return texts.select("h1", "body").mapInPandas(scan, "seed long, ctx long, ref long, loc long")
 
@@ -221,9 +242,10 @@ def classify(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     apart = (F.min("ref") != F.max("ref")) | (F.min("loc") != F.max("loc"))
     kinds = rows.groupBy("seed", "ctx").agg(F.min("ref").alias("ref"), F.min_by("loc", "ref").alias("loc"),
                                             apart.alias("full"))
-    order = Window.partitionBy("seed").orderBy("ctx")
-    other = F.lag("ctx").over(order).isNotNull() | F.lead("ctx").over(order).isNotNull()
-    hits = stored(kinds.select("*", other.alias("edge")).where("full or edge"), "hits")
+    # a seed has several contexts if its least and its greatest differ: no seed is sorted
+    several = kinds.groupBy("seed").agg(F.min("ctx").alias("lo"), F.max("ctx").alias("hi")).where("lo != hi")
+    judged = kinds.join(several.select("seed", F.lit(True).alias("edge")).hint("merge"), "seed", "left")
+    hits = stored(judged.withColumn("edge", F.coalesce("edge", F.lit(False))).where("full or edge"), "hits")
     repeated = hits.where("full").select("seed", "ctx").hint("merge")
     return rows.join(repeated, ["seed", "ctx"]).select("ctx", "ref", "loc"), hits.where("edge").select("seed", "ref", "loc")
 
@@ -266,18 +288,23 @@ def contexts(texts: DataFrame, owners: DataFrame, edges: DataFrame, before: int,
 _CONTEXT = ["seed", "ref", "pos", "hl", "hr", "lhs", "rhs"]
 
 
-def _spans(group: pd.DataFrame, least: int, named: bool) -> pd.DataFrame:
+Spans = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _group_spans(refs: np.ndarray, places: np.ndarray, hl: list[int], hr: list[int], lhs: list[bytes | None],
+                 rhs: list[bytes | None], least: int, named: bool) -> Spans:
     """(repeat, ref, start, end) from the contexts of one node: one stretch per
     anchor, or if ``named`` one row per maximal repeat and occurrence."""
-    sides = {}
-    for c, h in (("lhs", "hl"), ("rhs", "hr")):
-        known = group[c].notna().to_numpy()
-        sides[c] = dict(zip(group[h].to_numpy()[known], group[c].to_numpy()[known], strict=True))
-    if group.duplicated(["hl", "hr"]).any():
-        group = group.drop_duplicates(["hl", "hr"])
-    refs, places = group["ref"].to_numpy(), group["pos"].to_numpy()
-    lefts = [bytes(sides["lhs"][h]) for h in group["hl"]]
-    rights = [bytes(sides["rhs"][h]) for h in group["hr"]]
+    left_of = {h: x for h, x in zip(hl, lhs, strict=True) if x is not None}
+    right_of = {h: x for h, x in zip(hr, rhs, strict=True) if x is not None}
+    seen = set(zip(hl, hr, strict=True))
+    if len(seen) < len(hl):  # of equal contexts, the first
+        first = {}
+        for i, key in enumerate(zip(hl, hr, strict=True)):
+            first.setdefault(key, i)
+        keep = list(first.values())
+        refs, places, hl, hr = refs[keep], places[keep], [hl[i] for i in keep], [hr[i] for i in keep]
+    lefts, rights = [bytes(left_of[h]) for h in hl], [bytes(right_of[h]) for h in hr]
     nodes = suffix_nodes(lefts, rights, least)
     if named:
         out = []
@@ -285,10 +312,17 @@ def _spans(group: pd.DataFrame, least: int, named: bool) -> pd.DataFrame:
             one = members[0]
             name = _signed(xxhash.xxh3_64_intdigest(lefts[one][:k][::-1] + rights[one][:r]))
             out += [(name, refs[i], places[i] - k, places[i] + r) for i in members.tolist()]
-        return pd.DataFrame(out, columns=_SPAN)
+        return tuple(np.array([row[c] for row in out], np.int64) for c in range(4))
     before, after = hull(nodes, len(lefts), least)
     some = after > 0
-    return pd.DataFrame({"repeat": 0, "ref": refs[some], "start": (places - before)[some], "end": (places + after)[some]})
+    return np.zeros(int(some.sum()), np.int64), refs[some], (places - before)[some], (places + after)[some]
+
+
+def _spans(group: pd.DataFrame, least: int, named: bool) -> pd.DataFrame:
+    """``_group_spans`` of a frame of contexts."""
+    known = lambda c: [x if isinstance(x, bytes | bytearray) else None for x in group[c]]
+    return _frame([_group_spans(group["ref"].to_numpy(), group["pos"].to_numpy(), group["hl"].tolist(),
+                                group["hr"].tolist(), known("lhs"), known("rhs"), least, named)], _SPAN)
 
 
 _SPAN = ["repeat", "ref", "start", "end"]
@@ -296,33 +330,37 @@ _SPAN = ["repeat", "ref", "start", "end"]
 
 def solve(rows: DataFrame, least: int, named: bool) -> DataFrame:
     """(repeat, ref, start, end) of all rows of ``contexts``, seed by seed."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = []
+    def groups(batches: Iterator[pd.DataFrame]) -> Iterator[list]:
+        """The columns of each seed's rows, in one piece."""
+        held, now = None, None
         for batch in batches:
-            seeds = batch["seed"].to_numpy()
+            seeds, refs, places = (batch[c].to_numpy() for c in ("seed", "ref", "pos"))
+            lists = [batch[c].tolist() for c in ("hl", "hr", "lhs", "rhs")]
             edges = [0, *(np.flatnonzero(np.diff(seeds)) + 1).tolist(), len(batch)]
             for lo, hi in zip(edges, edges[1:], strict=False):
-                part = batch.iloc[lo:hi]
-                if held and held[-1]["seed"].iloc[0] != seeds[lo]:
-                    yield _spans(pd.concat(held) if len(held) > 1 else held[0], least, named)
-                    held = []
-                held.append(part)
-        if held:
-            yield _spans(pd.concat(held), least, named)
-
-    def batched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                part = [refs[lo:hi], places[lo:hi], *(x[lo:hi] for x in lists)]
+                if held is None or now != seeds[lo]:
+                    if held is not None:
+                        yield held
+                    held, now = part, seeds[lo]
+                else:
+                    held = [np.concatenate([a, b]) if i < 2 else a + b for i, (a, b) in enumerate(zip(held, part, strict=True))]
+        if held is not None:
+            yield held
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out, size = [], 0
-        for spans in run(batches):
-            out.append(spans)
-            size += len(spans)
-            if size > 20_000 or len(out) > 1000:
-                yield pd.concat(out)
+        for group in groups(batches):
+            out.append(_group_spans(*group, least, named))
+            size += len(out[-1][1])
+            if size > 20_000 or len(out) > 5000:
+                yield _frame(out, _SPAN)
                 out, size = [], 0
         if out:
-            yield pd.concat(out)
+            yield _frame(out, _SPAN)
 
-    return rows.repartition("seed").sortWithinPartitions("seed").mapInPandas(
-        batched, "repeat long, ref long, start long, end long")
+    return rows.repartition("seed").sortWithinPartitions("seed").select(*_CONTEXT).mapInPandas(
+        run, "repeat long, ref long, start long, end long")
 
 
 @F.pandas_udf(IntegerType())
