@@ -85,3 +85,25 @@ def test_five_percent_of_edits_are_found_at_every_length(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     assert {r.doc_id: list(r["items"]) for r in dc.contamination(docs, bench).collect()} == want
     assert sorted(r.doc_id for r in dc.clean(docs, bench).collect()) == [d for d in want if not want[d]]
+
+
+def test_repetitive_text_needs_little_memory():
+    import tracemalloc
+    matcher = dc.Matcher([(1, "a" * 400), (2, "ab" * 150)])
+    for text, want in (("a" * 1_000_000, {1: 0}), ("ba" * 200_000, {2: 0})):
+        data = dc.normal_form(text)
+        tracemalloc.start()
+        found = matcher.matches(data, np.array([0]), np.array([len(data)]))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert {i: e for _, i, e in found} == want and most < 500_000_000
+
+
+def test_bands_do_not_depend_on_runs():
+    rng = random.Random(4)
+    items = [(i, "".join(rng.choice("ab ") for _ in range(rng.randint(20, 90)))) for i in range(12)]
+    matcher = dc.Matcher(items, q=4)
+    filler = lambda: "".join(rng.choice("ab ") for _ in range(300))
+    data = dc.normal_form("".join(filler() + t for _, t in items) + filler())
+    whole = matcher.bands(data)
+    assert len(whole) and all(np.array_equal(whole, matcher.bands(data, run)) for run in (1, 7, 500))

@@ -64,3 +64,15 @@ def test_long_chain_is_one_component(spark):
     got = {r.node: r.root for r in components(edges).collect()}
     assert got == {**{i: 0 for i in range(1, 61)}, 201: 200}
     assert components(edges.limit(0)).count() == 0
+
+
+def test_vectors_of_huge_sets_are_exact():
+    import numpy as np
+    from tickforge.llm import ngram_join as nj
+    s = np.arange(200_000, dtype=np.uint64)  # all in one group
+    v = nj.read_vector(nj.count_vector(s).tobytes())
+    assert v[0] == 200_000 and v.sum() == 200_000
+    assert nj.read_vector(nj.count_vector(s[:1000]).tobytes()).dtype == np.uint16
+    points = np.stack([v.astype(np.uint32)] * 2)
+    tree = nj.RTree(np.array([200_000] * 2), points)
+    assert {(int(a), int(b)) for x, y in tree.join(tree, 80) for a, b in zip(x, y)} == {(0, 0), (0, 1), (1, 0), (1, 1)}

@@ -41,3 +41,12 @@ def test_odd_rows(spark, odd, none):
     assert qk.score(none, model).count() == 0
     empty = qk.fit(odd, labels.limit(0))
     assert {r.score for r in qk.score(odd, empty).collect()} == {0.5}
+
+
+def test_nearest_takes_the_first_of_equals():
+    import numpy as np
+    from tickforge.llm.quality_knn import nearest
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 6, (50, 40)).astype(np.float32)
+    for row, got in zip(x, nearest(x, 9), strict=True):
+        assert set(got.tolist()) == set(np.lexsort((np.arange(40), -row))[:9].tolist())

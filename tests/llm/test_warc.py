@@ -48,6 +48,38 @@ def test_missing_segment_raises(spark, tmp_path):
         warc.read_archives(spark, str(folder)).collect()
 
 
+def rewritten(folder, change):
+    """Archives of the folder with their bytes changed."""
+    import gzip
+    out = folder.parent / "changed"
+    out.mkdir()
+    for f in folder.glob("part-*"):
+        (out / f.name).write_bytes(gzip.compress(change(gzip.decompress(f.read_bytes()))))
+    return str(out)
+
+
+@pytest.mark.parametrize("segment", [65_536, 60])
+def test_damaged_payload_raises(spark, tmp_path, segment):
+    folder = tmp_path / "good"
+    warc.write_archives(spark.createDataFrame([(1, "u", "some body text " * 9, "", "", 1)], SCHEMA), str(folder), segment=segment)
+    bad = rewritten(folder, lambda data: data.replace(b"body", b"bodi", 1))
+    with pytest.raises(Exception, match="declared"):
+        warc.read_archives(spark, bad).collect()
+
+
+def test_revisit_without_its_response_raises(spark, tmp_path):
+    folder = tmp_path / "good"
+    pages = spark.createDataFrame([(1, "u", "same", "", "", 1), (2, "u", "same", "", "", 1), (3, "u", "other", "", "", 1)], SCHEMA)
+    warc.write_archives(pages.coalesce(1), str(folder), records_per_file=1)
+
+    def without_first(data):
+        fields, _ = next(warc.records(data))
+        return b"" if fields["warc-type"] == "response" and ":1:" in fields["warc-record-id"] else data
+
+    with pytest.raises(Exception, match="no response for the revisit of page 2"):
+        warc.read_archives(spark, rewritten(folder, without_first)).collect()
+
+
 def test_chunk_framing():
     assert warc.dechunk(b"3\r\nabc\r\nA;x=y\r\n0123456789\r\n0\r\n\r\n") == b"abc0123456789"
     with pytest.raises(ValueError):

@@ -13,7 +13,8 @@ benchmark of any size runs in bounded memory; documents are never shuffled.
 
 Defined results
 * null or empty text: clean. Null ids pass through; repeated rows are judged row by row.
-* very long texts: whole, in linear time; hits are sparse.
+* very long texts: whole. Hits are counted in runs of at most ``RUN`` pairs of grams,
+  so a text and an item that repeat one gram need time for all pairs but no memory.
 * items whose normal form is shorter than q are no evidence and match nothing;
   repeated items are reported once per item id; null items are ignored.
 * empty documents or benchmark: empty result, or all clean.
@@ -31,10 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickforge.llm.grams import gram_hash
-from tickforge.llm.store import stored
+from tickforge.llm.store import discard, stored
 
 Q, EDITS = 12, 0.05
-SLICE_BYTES, BLOCK = 16_000_000, 4_000_000
+SLICE_BYTES, BLOCK, RUN = 16_000_000, 4_000_000, 2_000_000
 _TABLE_BITS = 22
 _FOLD = np.array([b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)], dtype=np.uint8)
 
@@ -95,26 +96,35 @@ class Matcher:
         self.budget = np.array([edit_budget(m, q, rate) for m in self.length], dtype=np.int64)
         self.bound = self.length + 1 - q - self.budget * q
 
-    def hits(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(item, diagonal) of every shared q-gram."""
+    def hits(self, data: np.ndarray, run: int = RUN) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(item, diagonal) of every shared q-gram, in runs of at most ``run`` (or of
+        the items that share a single gram of the text)."""
         grams = gram_hash(data, self.q)
         at = np.flatnonzero(self.table[grams >> np.uint64(64 - _TABLE_BITS)])
         found = grams[at]
         low = np.searchsorted(self.hashes, found, "left")
         n = np.searchsorted(self.hashes, found, "right") - low
-        which = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
-        return self.number[which], np.repeat(at, n) - self.place[which]
-
-    def bands(self, data: np.ndarray) -> np.ndarray:
+        at, low, n = at[n > 0], low[n > 0], n[n > 0]
+        ends = np.cumsum(n)
+        first = 0
+        while first < len(at):
+            last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + run, "right")))
+            m = n[first:last]
+            which = np.repeat(low[first:last] - np.cumsum(m) + m, m) + np.arange(m.sum())
+            yield self.number[which], np.repeat(at[first:last], m) - self.place[which]
+            first = last
+
+    def bands(self, data: np.ndarray, run: int = RUN) -> np.ndarray:
         """(item, first diagonal) of every band that meets the item's bound."""
-        item, diagonal = self.hits(data)
-        step = np.maximum(self.budget[item], 1)
-        band = diagonal // step
         wide = (len(data) + int(self.length.max(initial=0))) * 2 + 4
-        keys = np.concatenate([item * wide + b + wide // 2 for b in (band, band - 1)])
-        keys, n = np.unique(keys, return_counts=True)
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for item, diagonal in self.hits(data, run):
+            band = diagonal // np.maximum(self.budget[item], 1)
+            new, n = np.unique(np.concatenate([item * wide + b + wide // 2 for b in (band, band - 1)]), return_counts=True)
+            keys, place = np.unique(np.concatenate([keys, new]), return_inverse=True)
+            counts = np.bincount(place, np.concatenate([counts, n]), len(keys)).astype(np.int64)
         item, band = keys // wide, keys % wide - wide // 2
-        met = n >= self.bound[item]
+        met = counts >= self.bound[item]
         return np.stack([item[met], band[met] * np.maximum(self.budget[item[met]], 1)], axis=1)
 
     def matches(self, block: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int]]:
@@ -186,7 +196,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 _judge(matcher, batch["body"], items, edits)
                 yield batch.assign(items=items, edits=pd.array(edits, "Int64"))
 
-        found = (stored(found, "slice") if n else found).mapInPandas(scan, found.schema)
+        before, found = found, (stored(found, "slice") if n else found)
+        if n > 1:
+            discard(held)
+        held, found = found, found.mapInPandas(scan, before.schema)
     return found.select(F.col("key").alias(id_col), (F.size("items") > 0).alias("contaminated"),
                         F.array_sort(F.array_distinct("items")).alias("items"), "edits")
 
@@ -207,5 +220,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
                 _judge(matcher, texts, items, edits)
                 yield batch.filter(pa.array([not x for x in items], pa.bool_()))
 
-        out = (stored(out, "slice") if n else out).mapInArrow(scan, docs.schema)
+        out = stored(out, "slice") if n else out
+        if n > 1:
+            discard(held)
+        held, out = out, out.mapInArrow(scan, docs.schema)
     return out

@@ -62,7 +62,13 @@ def prefix_size(n: int, percent: int = PERCENT) -> int:
 
 
 def count_vector(s: np.ndarray) -> np.ndarray:
-    return np.minimum(np.bincount(s >> np.uint64(64 - 8), minlength=GROUPS), 65_535).astype(np.uint16)
+    """Shingles per group: two bytes a group, four where a group has more than fit."""
+    counts = np.bincount(s >> np.uint64(64 - 8), minlength=GROUPS)
+    return counts.astype(np.uint16 if counts.max(initial=0) < 1 << 16 else np.uint32)
+
+
+def read_vector(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.uint16 if len(raw) == 2 * GROUPS else np.uint32)
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
@@ -251,7 +257,7 @@ def _block_pairs(cell: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Candidate pairs between components of one cell block."""
     doc, label = cell["doc"].to_numpy(), cell["label"].to_numpy()
     size = cell["n"].to_numpy(np.int64)
-    points = np.stack([np.frombuffer(v, dtype=np.uint16) for v in cell["vec"]])
+    points = np.stack([read_vector(v).astype(np.uint32) for v in cell["vec"]])
     side = cell["side"].to_numpy()
     first, second = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
     if not len(first) or not len(second):

@@ -92,6 +92,17 @@ def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return np.concatenate([grams, FORM_WEIGHT * _unit(np.sqrt(counts[:, TRIGRAMS:]))], axis=1)
 
 
+def nearest(similarity: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the ``k`` greatest values of every row; of equal ones the first."""
+    near = np.argpartition(-similarity, k - 1, axis=1)[:, :k]
+    least = np.take_along_axis(similarity, near, axis=1).min(axis=1)[:, None]
+    tied = np.flatnonzero((similarity >= least).sum(axis=1) > k)
+    for i in tied:
+        above = np.flatnonzero(similarity[i] > least[i])
+        near[i] = np.concatenate([above, np.flatnonzero(similarity[i] == least[i])[:k - len(above)]])
+    return near
+
+
 @dataclass
 class Model:
     """What is broadcast: weights, projection, labelled vectors and votes."""
@@ -115,7 +126,7 @@ class Model:
             if not len(some):
                 continue
             cosine = self.embed(counts[some]) @ self.vectors.T
-            near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+            near = nearest(cosine, k)
             sim = np.take_along_axis(cosine, near, axis=1)
             weight = np.maximum(sim, 0.0).astype(np.float64) ** SHARPNESS + 1e-9
             out[at + some] = (weight * self.votes[near]).sum(axis=1) / weight.sum(axis=1)
@@ -132,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            counts = np.minimum(term_counts(batch["body"]), 65_535).astype(np.uint16)
+            counts = term_counts(batch["body"]).astype(np.uint32)
             yield pd.DataFrame({"id": batch["id"], "mark": batch["mark"], "counts": [c.tobytes() for c in counts]})
 
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -141,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not fitted:
         return Model(np.ones(TRIGRAMS, np.float32), np.zeros((BINS, dims), np.float32),
                      np.zeros((0, dims), np.float32), np.zeros(0), 0.5)
-    counts = np.stack([np.frombuffer(r["counts"], dtype=np.uint16) for r in fitted]).astype(np.float32)
+    counts = np.stack([np.frombuffer(r["counts"], dtype=np.uint32) for r in fitted]).astype(np.float32)
     votes = np.array([float(r["mark"] > 0) for r in fitted])
     held = (counts[:, :TRIGRAMS] > 0).sum(axis=0)
     idf = np.log((1 + len(counts)) / (1 + held)).astype(np.float32) + 1

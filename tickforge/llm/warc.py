@@ -18,7 +18,8 @@ Defined results
   a payload are all responses.
 * very long bodies: segments of fixed size; one body is gathered per row.
 * empty table: no archive, empty result. Extra columns are not read.
-* a missing segment or a wrong total length raises.
+* a missing segment, a wrong total length, a payload that does not have its declared
+  digest and a revisit without its response raise: no row is lost or made up.
 """
 
 from __future__ import annotations
@@ -148,6 +149,14 @@ def sha1_base32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def checked_digest(payload: bytes, declared: str | None, name: str) -> str:
+    """The digest of ``payload``; raises if the record declares another."""
+    found = sha1_base32(payload)
+    if declared and declared != found:
+        raise ValueError(f"{name}: payload digest {found}, declared {declared}")
+    return found
+
+
 _PARSED = ("origin string, number int, total long, kind string, page string, refers string, "
            "declared string, block binary, payload_bytes long, payload_digest string")
 
@@ -162,10 +171,11 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 kind, origin = f["warc-type"], f.get("warc-segment-origin-id", "").strip("<>") or name
                 whole = number == 0 and kind == "response"
                 payload = http_payload(block) if whole else None
+                declared = f.get("warc-payload-digest", "").removeprefix("sha1:")
                 rows.append((origin, number, int(f.get("warc-segment-total-length", 0)), kind,
                              name.split(":")[2], f.get("warc-refers-to", "").strip("<>") or None,
-                             f.get("warc-payload-digest", "").removeprefix("sha1:"), block if number else None,
-                             len(payload) if whole else None, sha1_base32(payload) if whole else None))
+                             declared, block if number else None, len(payload) if whole else None,
+                             checked_digest(payload, declared, name) if whole else None))
             yield pd.DataFrame(rows, columns=names)
 
 
@@ -180,7 +190,8 @@ def _join_segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if numbers != list(range(1, len(numbers) + 1)) or len(block) != total:
                 raise ValueError(f"{batch['origin'].iloc[i]}: segments {numbers}, {len(block)} of {total} bytes")
             payload = http_payload(block)
-            sizes[i], digests[i] = len(payload), sha1_base32(payload)
+            sizes[i] = len(payload)
+            digests[i] = checked_digest(payload, batch["declared"].iloc[i], batch["origin"].iloc[i])
         yield pd.DataFrame({"page": batch["page"], "kind": batch["kind"], "refers": batch["refers"],
                             "declared": batch["declared"], "payload_bytes": pd.array(sizes, "Int64"),
                             "payload_digest": digests})
@@ -205,8 +216,9 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
         F.max("payload_bytes").alias("held_bytes"))
     revisits = out.where("record_type = 'revisit'").drop("payload_bytes", "payload_digest")
     resolved = revisits.join(held.withColumnRenamed("page_id", "held_page"),
-                             (F.col("refers_to") == F.col("held_page")) & (revisits["declared"] == held["declared"]))
-    resolved = resolved.select(revisits["page_id"], F.col("held_bytes").alias("payload_bytes"),
+                             (F.col("refers_to") == F.col("held_page")) & (revisits["declared"] == held["declared"]), "left")
+    lost = F.raise_error(F.concat(F.lit("no response for the revisit of page "), F.coalesce(revisits["page_id"].cast("string"), F.lit("null"))))
+    resolved = resolved.select(revisits["page_id"], F.coalesce("held_bytes", lost.cast("long")).alias("payload_bytes"),
                                revisits["declared"].alias("payload_digest"), "record_type", "refers_to")
     responses = out.where("record_type = 'response'").select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
