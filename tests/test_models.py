@@ -211,3 +211,16 @@ def test_trees_forecast_any_days_and_come_back_from_storage(spark, tmp_path):
     back, meta = ML.model_load(ML.model_save(model, str(tmp_path / "m"), curve))
     assert meta["lookback"] == 60 and meta["feature_names"] == list(FE.MODEL_FEATURES) and meta["curve"] == curve
     assert sorted(map(str, ML.gbt_forecast(back, f, 5).collect())) == sorted(str(r) for r in got if r.forecast_step <= 5)
+
+
+def test_default_order_where_no_order_fits(spark):
+    from tickforge.operators.arima import arima_fit, arima_forecast
+    df = frame(spark, CONST=[5.0] * 40, SHORT=[1.0, 2.0, 4.0], ONE=[7.0])
+    fits = {r.symbol: r for r in arima_fit(df).collect()}
+    assert {(r.p, r.d, r.q) for r in fits.values()} == {(1, 1, 1)}
+    got = {(r.symbol, r.forecast_step): r for r in arima_forecast(df, 2).collect()}
+    assert {r.model_used for r in got.values()} == {"arima(1,1,1)"}
+    assert [got["CONST", h].predicted_value for h in (1, 2)] == [5.0, 5.0]
+    assert [got["SHORT", h].predicted_value for h in (1, 2)] == [5.5, 7.0]
+    assert [got["ONE", h].predicted_value for h in (1, 2)] == [7.0, 7.0]
+    assert {(r.p, r.d, r.q) for r in arima_fit(df, max_q=0, d=1).collect()} == {(0, 1, 0)}

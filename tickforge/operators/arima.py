@@ -6,8 +6,9 @@ is regressed on its own lags and on lagged residuals. Both regressions need
 only sums of products, one partially aggregated ``groupBy(symbol)`` each, so a
 long symbol is summed in many tasks. One small moment matrix per symbol reaches
 numpy, where every order (p, q) is solved on the same sample and the lowest AIC
-is kept. A symbol without a usable fit (constant, or too short) keeps a row:
-order (0, d, 0) with its mean step. Levels are centred before products are
+is kept. A symbol without a usable fit (constant, or too short) keeps a row: the
+default order (1, 1, 1) without an effect of lags, so its mean step goes on; in a
+search that the caller has narrowed, (0, d, 0). Levels are centred before products are
 summed. Null closes are left out; a null symbol is a symbol.
 """
 
@@ -216,14 +217,19 @@ def arima_fit(df: DataFrame, key: str = "symbol", max_p: int = MAX_P, max_q: int
         F.max("date").alias("last_date"), F.max_by("close", "date").alias("last_close"),
         F.max_by("_step", "date").alias("last_step"), F.first("_mean").alias("_mean"), F.first("d").alias("d"),
         F.avg("_z").alias("_drift"), F.var_samp("_z").alias("_var"), F.count(F.lit(1)).alias("_n"),
+        F.avg("_step").alias("_mean_step"), F.var_samp("_step").alias("_step_var"),
         F.max_by(F.array("_z", *z_lags[:-1]), "date").alias("last_z"),
         F.max_by(F.array("_e", *e_lags[:-1]) if max_q else F.array().cast("array<double>"), "date").alias("last_e"))
     fit = cut_lineage(seq.join_on_key(ends, chosen, [key]))
     none = F.array().cast("array<double>")
+    default = (max_p, max_q) == (MAX_P, MAX_Q) and d in (None, 1)
+    failed, zero = F.col("p").isNull(), F.array(F.lit(0.0)) if default else none
+    order = lambda c: F.coalesce(c, F.lit(1 if default else 0)).alias(c)
+    step, spread = ("_mean_step", "_step_var") if default else ("_drift", "_var")
     fit = fit.select(
-        key, F.coalesce("p", F.lit(0)).alias("p"), "d", F.coalesce("q", F.lit(0)).alias("q"),
-        F.coalesce("phi", none).alias("phi"), F.coalesce("theta", none).alias("theta"),
-        F.coalesce("c", "_drift", F.lit(0.0)).alias("c"), F.coalesce("sigma2", "_var").alias("sigma2"), "aic", "bic",
+        key, order("p"), (F.when(failed, 1).otherwise(F.col("d")) if default else F.col("d")).alias("d"), order("q"),
+        F.coalesce("phi", zero).alias("phi"), F.coalesce("theta", zero).alias("theta"),
+        F.coalesce("c", step, F.lit(0.0)).alias("c"), F.coalesce("sigma2", spread).alias("sigma2"), "aic", "bic",
         F.coalesce("n_obs", "_n").alias("n_obs"), "last_date", "last_close",
         F.coalesce("last_step", F.lit(0.0)).alias("last_step"), "_mean",
         F.transform("last_z", lambda v: F.coalesce(v, F.lit(0.0))).alias("last_z"),
