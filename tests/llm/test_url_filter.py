@@ -103,3 +103,42 @@ def test_path_belongs_to_the_first_host(spark):
     pages = spark.createDataFrame([(i, u, "") for i, u in enumerate(urls)], "page_id long, url string, html string")
     got = {r.page_id: (r.host, r.path, r.rule) for r in uf.judge(pages, rounds=1).collect()}
     assert got == {0: ("a.net", "", None), 1: ("a.org", "", None), 2: ("a.net", "", None), 3: ("a.net", "/", "net/")}
+
+
+def test_inherited_distrust_equals_dense_iteration(spark):
+    rng = np.random.default_rng(8)
+    n, rounds = 14, 6
+    links, domains = (np.where(rng.random((n, n)) < p, rng.integers(1, 5, (n, n)), 0).astype(float) for p in (0.2, 0.12))
+    for m in (links, domains):
+        np.fill_diagonal(m, 0)
+    links[5] = 0  # a host without links, and one without domain edges
+    domains[6] = 0
+    rows = [(f"h{a}", f"h{b}", float(links[a, b]), float(domains[a, b])) for a in range(n) for b in range(n) if links[a, b] + domains[a, b]]
+    seeds = [0, 3]
+    want = np.zeros(n)
+    want[seeds] = 1
+    for _ in range(rounds):
+        new = np.zeros(n)
+        for a in range(n):
+            if a in seeds:
+                new[a] = 1
+                continue
+            parts = [(m[a] @ want / m[a].sum(), w) for m, w in ((links, 1 - uf.DOMAIN_SHARE), (domains, uf.DOMAIN_SHARE)) if m[a].sum()]
+            total = sum(w for _, w in parts)
+            new[a] = uf.DAMPING * sum(x * w for x, w in parts) / total if parts else 0
+        want = new
+    got = {r.host: r["rank"] for r in uf.inherit(
+        spark.createDataFrame(rows, "src string, dst string, links double, domains double"),
+        spark.createDataFrame([("h0",), ("h3",), ("h3",)], "host string"), rounds=rounds).collect()}
+    assert all(abs(got.get(f"h{i}", 0.0) - want[i]) < 1e-9 for i in range(n))
+
+
+def test_seed_tables(spark):
+    rows = [("http://a.info/1", LINK.format("b.info")), ("http://b.info/1", ""), ("http://c.info/1", LINK.format("b.info") + LINK.format("d.info")),
+            ("http://d.info/1", LINK.format("c.info"))]
+    pages = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(rows)], "page_id long, url string, html string")
+    table = lambda *hosts: spark.createDataFrame([(h,) for h in hosts], "host string")
+    verdicts = lambda **k: {r.host: r.verdict for r in uf.judge(pages, rounds=4, **k).collect()}
+    assert set(verdicts().values()) == {"allow"}
+    got = verdicts(blocked_hosts=table("b.info", "b.info", None), trusted_hosts=table("d.info"))
+    assert got == {"a.info": "block", "b.info": "block", "c.info": "allow", "d.info": "allow"}

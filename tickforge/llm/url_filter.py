@@ -132,8 +132,14 @@ def inherit(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", rules=RULES,
-          blocked_terms=BLOCKED_TERMS, rounds: int = ROUNDS, least_distrust: float = LEAST_DISTRUST) -> DataFrame:
-    """(id, host, path, rule, verdict, trust, distrust) per page."""
+          blocked_terms=BLOCKED_TERMS, rounds: int = ROUNDS, least_distrust: float = LEAST_DISTRUST,
+          blocked_hosts: DataFrame | None = None, trusted_hosts: DataFrame | None = None) -> DataFrame:
+    """(id, host, path, rule, verdict, trust, distrust) per page.
+
+    Seeds: hosts blocked whole by a rule, hosts with a word of ``blocked_terms`` and
+    the ``host`` column of ``blocked_hosts``; trusted are hosts with a page that a
+    rule allows and those of ``trusted_hosts``. Seed tables may be of any size.
+    """
     urls = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"),
                         path_of(F.col(url_col)).alias("path"))
     paths = urls.groupBy("host").agg(F.count("*").alias("n_pages"))
@@ -144,8 +150,15 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_
                    .where("host like '%.%'").union(ends).distinct(), "graph")
     fitted = stored(host_rules(graph, rules), "rules")
     first = lambda: F.get(F.filter("rules", lambda r: F.startswith(F.col("path"), r["rule_path"])), F.lit(0))
-    allowed = stored(urls.join(fitted, "host").select("host", first().alias("r"))
-                     .where("r.verdict = 'allow'").select("host").distinct(), "allowed")
+    # which rule paths a page is under, once per host: a host with many pages is few rows
+    under = F.filter(F.array(*[F.lit(p) for p in sorted({p for _, _, p in rules})]), lambda p: F.startswith(F.col("path"), p))
+    kinds = urls.select("host", under.alias("under")).distinct()
+    best = F.get(F.filter("rules", lambda r: F.array_contains("under", r["rule_path"])), F.lit(0))
+    allowed = (kinds.join(fitted, "host").select("host", best.alias("r"))
+               .where("r.verdict = 'allow'").select("host"))
+    if trusted_hosts is not None:
+        allowed = allowed.union(trusted_hosts.select("host").where("host is not null"))
+    allowed = stored(allowed.distinct(), "allowed")
     whole = fitted.where(F.exists("rules", lambda r: (r["verdict"] == "block") & (r["rule_path"] == "/"))).select("host")
     word = r"(?<!\p{L})(?:" + "|".join(blocked_terms) + r")(?!\p{L})"
     named = graph.where(F.col("host").rlike(word)) if blocked_terms else whole
@@ -155,7 +168,10 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_
                    .groupBy("src", "dst").agg(F.sum("links").alias("links"), F.sum("domains").alias("domains")), "edges")
     ahead = edges.select("src", "dst", (F.col("links") + F.col("domains")).alias("weight"))
     trust = propagate(ahead, allowed, rounds=rounds).withColumnRenamed("rank", "trust")
-    seeds = stored(whole.union(named).distinct(), "blocked")
+    seeds = whole.union(named)
+    if blocked_hosts is not None:
+        seeds = seeds.union(blocked_hosts.select("host").where("host is not null"))
+    seeds = stored(seeds.distinct(), "blocked")
     distrust = inherit(edges, seeds, rounds=rounds).withColumnRenamed("rank", "distrust")
     alone = seeds.join(allowed, "host", "left_anti").select("host", F.lit(True).alias("seed"))
     known = (hosts.select("host").join(trust, "host", "left").join(distrust, "host", "left")
