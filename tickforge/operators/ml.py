@@ -41,7 +41,7 @@ def standard_scale(train: DataFrame, other: DataFrame | None = None,
 
 ROUNDS, PATIENCE, LEARNING_RATE, DEPTH = 500, 50, 0.05, 5
 #: Trees of the first fit, in patiences; rows a task gets in training.
-FIRST_FIT, TASK_ROWS = 3, 20_000
+FIRST_FIT, TASK_ROWS = 2, 20_000
 #: Share of a symbol's training bars, its latest, that early stopping watches.
 VALIDATION_FRACTION = 0.1
 
