@@ -69,3 +69,24 @@ def test_odd_rows(odd, none):
     check(rows, words, (64, 256))
     assert Counter(r.doc_id for r in rows if r.bin_id is None) == Counter([None, 1, 2, 3])
     assert packing.pack(none, packing.word_count(F.col("text"))).count() == 0
+
+
+def test_sequences_hold_every_token_once_and_in_order(spark):
+    import pytest
+    rng = random.Random(5)
+    texts = {i: " ".join(f"d{i}w{j}" for j in range(rng.choice([0, 1, 3, 9, 30, 75]))) for i in range(120)}
+    rows = [*texts.items(), (None, "null id"), (500, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    packed = packing.pack(docs, packing.word_count(F.col("text")), capacities=(16, 32))
+    bins = packing.sequences(docs, packed, packing.words(F.col("text"))).collect()
+    found = defaultdict(list)
+    for b in bins:
+        assert b.n_tokens == len(b.tokens) <= b.bin_capacity and b.boundaries[0] == 0
+        for at, end, doc in zip(b.boundaries, [*b.boundaries[1:], b.n_tokens], b.ids, strict=True):
+            found[doc].append(b.tokens[at:end])
+    order = lambda part: int(part[0].partition("w")[2] or 0)
+    assert {d: [w for p in (sorted(ps, key=order) if d is not None else ps) for w in p] for d, ps in found.items()} == {
+        d: t.split() for d, t in rows if t}
+    with pytest.raises(ValueError, match="repeated"):
+        packing.sequences(docs.union(docs), packed, packing.words(F.col("text")))
+    assert packing.sequences(docs.limit(0), packed.limit(0), packing.words(F.col("text"))).count() == 0

@@ -119,6 +119,11 @@ def word_count(text):
     return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != ""))
 
 
+def words(text):
+    """The words that ``word_count`` counts."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
+
 def pieces(docs: DataFrame, id_col: str, length, longest: int) -> DataFrame:
     """(id, piece, start, n): every document cut into pieces of at most ``longest``."""
     rows = docs.select(F.col(id_col).alias("id"), length.cast("int").alias("total"))
@@ -177,3 +182,25 @@ def pack(docs: DataFrame, length, id_col: str = "doc_id", capacities=CAPACITIES,
                                       nothing.alias("bin_id"), nothing.alias("bin_capacity"),
                                       nothing.alias("bin_offset"))
     return placed.unionByName(empty).withColumnRenamed("id", id_col)
+
+
+def sequences(docs: DataFrame, packed: DataFrame, tokens, id_col: str = "doc_id") -> DataFrame:
+    """The packed sequences: one row per bin with ``bin_id``, ``bin_capacity``,
+    ``n_tokens``, ``tokens`` (all pieces in order of their offsets), ``boundaries``
+    (where each piece begins) and ``ids`` (the document of each piece).
+
+    ``tokens`` is the array column whose size ``pack`` was given, words or token ids.
+    A bin gathers at most its capacity. Ids must be unique, as a piece finds its
+    document by id; a repeated id raises. A null id is an id.
+    """
+    bodies = docs.select(F.col(id_col).alias("_id"), tokens.alias("_tokens"))
+    if not bodies.groupBy("_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        raise ValueError(f"{id_col} holds repeated ids")
+    held = packed.where("bin_id is not null").join(bodies, F.col(id_col).eqNullSafe(F.col("_id")))
+    part = F.slice("_tokens", (F.col("start") + 1).cast("int"), F.col("n_tokens").cast("int"))
+    rows = held.select("bin_id", "bin_capacity", F.struct(
+        F.col("bin_offset").alias("at"), F.col("_id").alias("id"), part.alias("tokens")).alias("p"))
+    bins = rows.groupBy("bin_id", "bin_capacity").agg(F.sort_array(F.collect_list("p")).alias("p"))
+    flat = F.flatten(F.transform("p", lambda x: x["tokens"]))
+    return bins.select("bin_id", "bin_capacity", F.size(flat).cast("long").alias("n_tokens"), flat.alias("tokens"),
+                       F.transform("p", lambda x: x["at"]).alias("boundaries"), F.transform("p", lambda x: x["id"]).alias("ids"))
