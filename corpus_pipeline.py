@@ -4,6 +4,18 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame; between stages
 the table is written as Parquet in the shared folder and read again, so each
 stage works on exactly what its predecessor kept and a lost executor costs at
 most one stage's tasks. All stages but the last return the columns of documents.
+
+Defined results, stage by stage
+* null or empty texts: rejected by the quality rules, as they have under ten words;
+  in the later stages alone they stay (no lines, shingles or passages to lose) and
+  have one row without a bin in the packing.
+* null ids: sort after all others in line dedup and near duplicates, else untouched.
+* repeated rows (same id and text) are one document: they stay or go together, and
+  are packed each for itself. Ties: the least id keeps a line and stands for a group.
+* very long texts: whole in every stage; the packing cuts them into pieces of the
+  largest capacity.
+* empty table: every stage is empty. Extra columns pass through all but the packing,
+  whatever their names.
 """
 
 from __future__ import annotations
