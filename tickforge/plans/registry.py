@@ -849,8 +849,8 @@ def q_gbt_forecast(spark, d):
 
 @query("gbt_forecast_spine")
 def q_gbt_forecast_spine(spark, d):
-    """Rows and dates of a saved and reloaded model's forecast over 60 days; values are finite."""
-    f = ML.gbt_forecast(_gbt(spark, d).model, FE.model_features(nation(spark, d)), 60)
+    """Rows and dates of a saved and reloaded model's forecast; values are finite."""
+    f = ML.gbt_forecast(_gbt(spark, d).model, FE.model_features(nation(spark, d)), 30)
     return f.select("symbol", "forecast_step", "date", (F.abs("predicted_value") < 1e12).alias("is_finite"))
 
 
