@@ -20,3 +20,13 @@ def test_matches_percentile_with_hot_group_and_duplicates(spark):
         .set_index("symbol")
     for sym in ref.index:
         assert [got.loc[sym, f"q{i}"] for i in range(3)] == list(ref.loc[sym, "p"]), sym
+
+
+def test_widest_values_end(spark):
+    values = [-1.5e308, *(np.linspace(-1, 1, 200) * 1e308).tolist(), 1.5e308]
+    missing = [None, float("nan"), float("inf"), -float("inf")]
+    df = spark.createDataFrame([("A", v) for v in [*values, *missing]], "symbol string, v double")
+    got = exact_quantiles(df, "v", [0.0, 0.5, 1.0], bins=8, gather=0).first()
+    middle = sorted(values)
+    assert (got.q0, got.q2) == (-1.5e308, 1.5e308)
+    assert middle[100] <= got.q1 <= middle[101]

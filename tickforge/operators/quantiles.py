@@ -24,8 +24,8 @@ from tickforge.session import cut_lineage
 
 def exact_quantiles(df: DataFrame, value: str, probs: list[float], keys=("symbol",),
                     bins: int = 1024, gather: int = 100_000, salts: int = 32) -> DataFrame:
-    """One row per group: ``q0, q1, ...`` for ``probs`` (nulls ignored; null keys
-    are a group)."""
+    """One row per group: ``q0, q1, ...`` for ``probs`` (nulls, NaN and infinities
+    are missing values; null keys are a group)."""
     names = list(keys)
     keys = [f"_g{i}" for i in range(len(names))]
     df = df.select(value, *[group_key(c).alias(g) for c, g in zip(names, keys)],
@@ -34,7 +34,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], keys=("symbol
     # read several times (stats, passes, final sort): materialise the narrow
     # (group, value) projection once instead of re-running the upstream plan
     x = cut_lineage(df.select(*keys, *originals, F.col(value).cast("double").alias("_v")).filter(
-        F.col("_v").isNotNull()))
+        F.abs("_v") < F.lit(float("inf"))))
     x = x.withColumn("_salt", F.pmod(F.xxhash64("_v"), F.lit(salts)).cast("int"))
     spread = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt")
     stats = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"),
@@ -62,8 +62,11 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], keys=("symbol
             break
         j = x.join(open_.select(*tkeys, "lo", "hi", spread), [*keys, "_salt"]).filter(
             (F.col("_v") >= F.col("lo")) & (F.col("_v") <= F.col("hi")))
-        b = F.least(F.floor((F.col("_v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins),
-                    F.lit(bins - 1)).cast("int")
+        # halves where the width of the interval itself would overflow
+        part = F.when(F.col("hi") - F.col("lo") == F.lit(float("inf")),
+                      (F.col("_v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)).otherwise(
+            (F.col("_v") - F.col("lo")) / (F.col("hi") - F.col("lo")))
+        b = F.least(F.floor(part * bins), F.lit(bins - 1)).cast("int")
         h = j.groupBy(*tkeys, b.alias("_bin")).agg(F.count(F.lit(1)).alias("_c"),
                                                     F.min("_v").alias("_bmin"),
                                                     F.max("_v").alias("_bmax"))
