@@ -7,8 +7,10 @@ import numpy as np
 import pytest
 
 from tickforge.operators import features as FE
+from tickforge.operators import arima_css as CSS
 from tickforge.operators import forecast as FC
 from tickforge.operators import ml as ML
+from tickforge.operators import sequence as seq
 from tickforge.operators.arima import adf, adf_p_value, arima_fit, arima_forecast
 from tickforge.operators.seasonal import seasonal_fit, seasonal_metrics, seasonal_trend_forecast
 
@@ -224,3 +226,52 @@ def test_default_order_where_no_order_fits(spark):
     assert [got["SHORT", h].predicted_value for h in (1, 2)] == [5.5, 7.0]
     assert [got["ONE", h].predicted_value for h in (1, 2)] == [7.0, 7.0]
     assert {(r.p, r.d, r.q) for r in arima_fit(df, max_q=0, d=1).collect()} == {(0, 1, 0)}
+
+
+def squares(z, c, phi, theta, first):
+    """Sum of squared residuals from row ``first`` on, step by step from zero."""
+    e = []
+    for t in range(len(z)):
+        e.append(0.0 if t < len(phi) else z[t] - c - sum(f * z[t - i] for i, f in enumerate(phi, 1))
+                 - sum(v * e[t - j] for j, v in enumerate(theta, 1) if t >= j))
+    return sum(v * v for v in e[first:]), e
+
+
+def test_refined_models_are_the_least_squares_and_nearer_to_the_truth(spark):
+    rng, truth = np.random.default_rng(7), {"P": 0.8, "N": -0.7}
+    series = {f"{k}{i}": 50 + arma(rng, 300, (), (v,)) for k, v in truth.items() for i in range(8)}
+    series["none"] = series["P0"]
+    df = frame(spark, **series, CONST=[3.0] * 60).cache()
+    start = {r.symbol: r for r in arima_fit(df, max_p=0, max_q=1, d=0, refine=0).collect()}
+    fits = {r.symbol: r for r in arima_fit(df, max_p=0, max_q=1, d=0).collect()}
+    assert set(fits) == set(start) and fits["CONST"] == start["CONST"]
+    assert fits[None].theta == fits["P0"].theta
+    for s in (k for k in series if k != "none"):
+        z, r = series[s] - series[s].mean(), fits[s]
+        best, e = squares(z, r.c, r.phi, r.theta, 11)
+        assert best <= squares(z, start[s].c, start[s].phi, start[s].theta, 11)[0]
+        for dc, dt_ in ((0.01, 0), (-0.01, 0), (0, 0.01), (0, -0.01)):
+            assert best < squares(z, r.c + dc, r.phi, [r.theta[0] + dt_], 11)[0]
+        assert r.n_obs == len(z) - 11 and abs(r.rmse - math.sqrt(best / r.n_obs)) < 1e-9
+        assert abs(r.last_e[0] - e[-1]) < 1e-9 and abs(r.mae - np.abs(e[11:]).mean()) < 1e-9
+        assert abs(r.aic - (r.n_obs * math.log(best / r.n_obs) + 6)) < 1e-6
+    off = lambda f: sum((f[s].theta[0] - truth[s[0]]) ** 2 for s in series if s != "none")
+    assert off(fits) < off(start)
+
+
+def test_refinement_does_not_see_chunk_borders(spark):
+    rng = np.random.default_rng(8)
+    z = arma(rng, 9000, (0.6,), (0.5, 0.2)).tolist()
+    bars = spark.createDataFrame([("v", i, v, 5.0 if i % 9 else 0.0, i > 20) for i, v in enumerate(z)],
+                                 f"_k string, {seq.RN} long, _z double, close double, _in boolean")
+    first = spark.createDataFrame([("v", 1, 2, 0.0, [0.3], [0.2, 0.0]), ("far", 0, 1, 0.0, [], [0.99])],
+                                  "_k string, p int, q int, c double, phi array<double>, theta array<double>")
+    one, cut = (CSS.refine(bars, first, 2, 3, rounds=12, chunk_rows=n).collect() for n in (1 << 17, 2500))
+    assert len(one) == len(cut) == 1
+    for a, b in zip(one[0][1:], cut[0][1:], strict=True):
+        assert np.allclose(a, b, rtol=1e-7, atol=1e-9)
+    r = one[0]
+    best, e = squares(z, r.c, r.phi, r.theta, 21)
+    assert abs(r.rmse - math.sqrt(best / (9000 - 21))) < 1e-9 and np.allclose(r.last_e, e[:-4:-1], atol=1e-9)
+    assert np.allclose(_psi(r.phi, r.theta, 4), _psi((0.6,), (0.5, 0.2), 4), atol=0.05)
+    assert abs(r.mape - np.mean([abs(v) / 5 for i, v in enumerate(e) if i > 20 and i % 9]) * 100) < 1e-9

@@ -6,7 +6,8 @@ is regressed on its own lags and on lagged residuals. Both regressions need
 only sums of products, one partially aggregated ``groupBy(symbol)`` each, so a
 long symbol is summed in many tasks. One small moment matrix per symbol reaches
 numpy, where every order (p, q) is solved on the same sample and the lowest AIC
-is kept. A symbol without a usable fit (constant, or too short) keeps a row: the
+is kept. Models with moving-average terms are then refined to the least conditional
+sum of squares (`arima_css`). A symbol without a usable fit (constant, or too short) keeps a row: the
 default order (1, 1, 1) without an effect of lags, so its mean step goes on; in a
 search that the caller has narrowed, (0, d, 0). Levels are centred before products are
 summed. Null closes are left out; a null symbol is a symbol.
@@ -16,13 +17,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from tickforge.operators import sequence as seq
+from tickforge.operators import arima_css as css, sequence as seq
 from tickforge.operators.forecast import Z95, with_horizon
+from tickforge.operators.moments import matrix, solve
 from tickforge.session import cut_lineage
 
 MAX_P, MAX_Q, LONG_P, MAX_D, ADF_LAGS = 5, 5, 10, 2, 8
@@ -59,21 +62,6 @@ def _moments(x: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return x.groupBy(key).agg(F.array(*sums).alias("m"), F.count(F.lit(1)).alias("n"))
 
 
-def _matrix(m, k: int) -> np.ndarray:
-    out = np.zeros((k, k))
-    out[np.triu_indices(k)] = m
-    return out + np.triu(out, 1).T
-
-
-def _solve(a: np.ndarray, b: np.ndarray) -> np.ndarray | None:
-    """Least squares from moments; None if the regressors are not independent."""
-    scale = np.sqrt(np.diag(a))
-    if not (scale > 0).all():
-        return None
-    scaled = a / np.outer(scale, scale)
-    return np.linalg.solve(scaled, b / scale) / scale if np.linalg.cond(scaled) < 1e12 else None
-
-
 def adf(df: DataFrame, key: str = "symbol", d: int = 0, max_lags: int = ADF_LAGS) -> DataFrame:
     """Augmented Dickey-Fuller test of the d-th difference, constant, lag by AIC:
     (symbol, n_obs, used_lag, adf_stat, p_value, is_stationary)."""
@@ -94,10 +82,10 @@ def adf(df: DataFrame, key: str = "symbol", d: int = 0, max_lags: int = ADF_LAGS
         for batch in batches:
             out = []
             for symbol, m, n in batch.itertuples(index=False):
-                a, best = _matrix(m, k), None
+                a, best = matrix(m, k), None
                 for lag in range(max_lags + 1):
                     use = slice(0, 2 + lag)
-                    b = _solve(a[use, use], a[use, -1])
+                    b = solve(a[use, use], a[use, -1])
                     if b is None or n <= 3 + lag:
                         continue
                     ssr = float(a[-1, -1] - 2 * b @ a[use, -1] + b @ a[use, use] @ b)
@@ -153,11 +141,12 @@ def _lags(x: DataFrame, column: str, n: int, key: str) -> tuple[DataFrame, list[
 
 
 def arima_fit(df: DataFrame, key: str = "symbol", max_p: int = MAX_P, max_q: int = MAX_Q, d: int | None = None,
-              long_p: int = LONG_P) -> DataFrame:
+              long_p: int = LONG_P, refine: int = css.ROUNDS) -> DataFrame:
     """One row per symbol: p, d, q, phi, theta, c, sigma2, aic, bic, n_obs, in-sample
     rmse, mae and mape, and the state a forecast starts from.
 
-    ``d`` None: chosen per symbol by unit-root tests; otherwise 0, 1 or 2.
+    ``refine``: most rounds of Gauss-Newton after the order is chosen; 0 keeps the
+    Hannan-Rissanen estimates. ``d`` None: chosen per symbol by unit-root tests; otherwise 0, 1 or 2.
     """
     if d is not None and not 0 <= d <= MAX_D:
         raise ValueError(f"d must be 0, 1 or 2, not {d}")
@@ -172,8 +161,8 @@ def arima_fit(df: DataFrame, key: str = "symbol", max_p: int = MAX_P, max_q: int
         for batch in batches:
             out = []
             for symbol, m, _ in batch.itertuples(index=False):
-                a = _matrix(m, len(first))
-                b = _solve(a[:-1, :-1], a[:-1, -1])
+                a = matrix(m, len(first))
+                b = solve(a[:-1, :-1], a[:-1, -1])
                 out.append((symbol, None if b is None else b.tolist()))
             yield pd.DataFrame(out, columns=["symbol", "_long"])
 
@@ -185,18 +174,18 @@ def arima_fit(df: DataFrame, key: str = "symbol", max_p: int = MAX_P, max_q: int
     x = x.withColumn("_e", F.col("_z") - fitted)
     x, e_lags = _lags(x, "_e", max_q, key)
     z_lags = z_long[:max_p]
-    x = cut_lineage(seq.drop_halo(x).select(key, "date", "close", "d", "_mean", "_step", "_one", "_z", "_e", *z_lags, *e_lags))
+    x = cut_lineage(seq.drop_halo(x, keep_position=True).select(key, seq.RN, "date", "close", "d", "_mean", "_step", "_one", "_z", "_e", *z_lags, *e_lags))
     second = ["_one", *z_lags, *e_lags, "_z"]
 
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for symbol, m, n in batch.itertuples(index=False):
-                a, best = _matrix(m, len(second)), None
+                a, best = matrix(m, len(second)), None
                 for p in range(max_p + 1):
                     for q in range(max_q + 1):
                         use = [0, *range(1, p + 1), *range(1 + max_p, 1 + max_p + q)]
-                        b, k = _solve(a[np.ix_(use, use)], a[use, -1]), p + q + 2
+                        b, k = solve(a[np.ix_(use, use)], a[use, -1]), p + q + 2
                         if b is None or n <= k + 1 or not (_roots_ok(b[1:p + 1]) and _roots_ok(-b[p + 1:])):
                             continue
                         ssr = float(a[-1, -1] - 2 * b @ a[use, -1] + b @ a[np.ix_(use, use)] @ b)
@@ -234,7 +223,16 @@ def arima_fit(df: DataFrame, key: str = "symbol", max_p: int = MAX_P, max_q: int
         F.coalesce("last_step", F.lit(0.0)).alias("last_step"), "_mean",
         F.transform("last_z", lambda v: F.coalesce(v, F.lit(0.0))).alias("last_z"),
         F.transform("last_e", lambda v: F.coalesce(v, F.lit(0.0))).alias("last_e"))
-    return seq.join_on_key(fit, _in_sample(x, fit, z_lags, e_lags, key), [key])
+    fit = seq.join_on_key(fit, _in_sample(x, fit, z_lags, e_lags, key), [key])
+    if not (refine and max_q):
+        return fit
+    whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in second])
+    bars = x.where(F.col("_z").isNotNull()).select(seq.group_key(key).alias("_k"), seq.RN, "_z", "close", whole.alias("_in"))
+    fit = cut_lineage(fit)
+    better = css.refine(bars, fit.where("aic is not null").withColumn("_k", seq.group_key(key)), max_p, max_q, refine)
+    better = better.select("_k", *[F.col(c).alias(f"_{c}") for c in better.columns if c != "_k"])
+    return fit.withColumn("_k", seq.group_key(key)).join(better, "_k", "left").select(
+        *[F.coalesce(f"_{c}", c).alias(c) if f"_{c}" in better.columns else c for c in fit.columns])
 
 
 def _in_sample(x: DataFrame, fit: DataFrame, z_lags: list[str], e_lags: list[str], key: str) -> DataFrame:
