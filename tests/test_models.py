@@ -275,3 +275,17 @@ def test_refinement_does_not_see_chunk_borders(spark):
     assert abs(r.rmse - math.sqrt(best / (9000 - 21))) < 1e-9 and np.allclose(r.last_e, e[:-4:-1], atol=1e-9)
     assert np.allclose(_psi(r.phi, r.theta, 4), _psi((0.6,), (0.5, 0.2), 4), atol=0.05)
     assert abs(r.mape - np.mean([abs(v) / 5 for i, v in enumerate(e) if i > 20 and i % 9]) * 100) < 1e-9
+
+
+def test_chained_forecasts_stay_within_the_range_of_the_closes(spark):
+    from pyspark.sql import functions as F
+    rng = np.random.default_rng(9)
+    c = np.exp(rng.normal(size=120) * 3 + 5)
+    rows = [("J", D0 + dt.timedelta(days=i), v * 0.9, v * 1.2, v * 0.8, v, 100.0 + i % 5) for i, v in enumerate(c.tolist())]
+    bars = spark.createDataFrame(rows, "symbol string, date timestamp_ntz, open double, high double, low double, close double, volume double")
+    f = FE.model_features(bars)
+    model, _, _ = ML.gbt_train(f, rounds=4)
+    span = c.max() / c.min()
+    got = [r.predicted_value for r in ML.gbt_forecast(model, f, 12, cut_every=4).collect()]
+    newest = f.where(F.col("symbol") == "J").dropna(subset=list(FE.MODEL_FEATURES)).orderBy(F.desc("date")).first().close
+    assert len(got) == 12 and all(newest / span * 0.999999 <= v <= newest * span * 1.000001 for v in got)

@@ -210,10 +210,12 @@ def close_features(closes: Column) -> dict[str, Column]:
 
 def _states(features: DataFrame) -> DataFrame:
     """One row per symbol: last date and close, the newest bar with complete features
-    (null without one) and the closes up to it, at most ``HISTORY``."""
+    (null without one), the closes up to it, at most ``HISTORY``, and ``_span``, the
+    ratio of the highest to the lowest positive close."""
     full = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in MODEL_FEATURES])
     ends = cut_lineage(features.groupBy("symbol").agg(
         F.max("date").alias("_last"), F.max_by("close", "date").alias("_close"),
+        F.try_divide(F.max("close"), F.min(F.when(F.col("close") > 0, F.col("close")))).alias("_span"),
         F.max(F.when(full, F.col("date"))).alias("_at"),
         F.max_by(F.struct(*MODEL_FEATURES), F.when(full, F.col("date"))).alias("_f")))
     upto = seq.join_on_key(features.select("symbol", "date", "close"), ends.select("symbol", "_at"), ["symbol"], "inner")
@@ -230,23 +232,28 @@ def gbt_forecast(model: PipelineModel, features: DataFrame, days: int = 30, cut_
     complete features, step by step: a predicted close joins the history and what
     depends on closes is computed anew; open, high, low, volume and their ratios
     stay those of the last bar. A symbol without such a bar keeps its last close
-    (``model_used`` last_close).
+    (``model_used`` last_close). Chained returns can add up without end where few bars
+    jump by orders of magnitude, so no forecast is further from the newest close than
+    the symbol's highest and lowest closes are from each other (as a ratio).
 
     The state is one row a symbol (its last closes and the path so far), cut off from
     its lineage every ``cut_every`` steps, so any number of days can be asked for.
     """
     start = cut_lineage(_states(features))
     held = [c for c in MODEL_FEATURES if c not in close_features(F.col("_closes"))]
+    # null, and so no bound, without a positive close
+    newest = F.when(F.col("_f.close") > 0, F.col("_f.close"))
+    bounds = [F.try_divide(newest, F.col("_span")).alias("_least"), (newest * F.col("_span")).alias("_most")]
     state = start.where("_f is not null").select(
-        "symbol", "_last", "_closes", *[F.col(f"_f.{c}").alias(c) for c in MODEL_FEATURES],
+        "symbol", "_last", "_closes", *bounds, *[F.col(f"_f.{c}").alias(c) for c in MODEL_FEATURES],
         F.array().cast("array<double>").alias("_path"))
     for step in range(days):
         if step:
-            state = state.select("symbol", "_last", "_closes", "_path", *held, *[
+            state = state.select("symbol", "_last", "_closes", "_path", "_least", "_most", *held, *[
                 v.alias(k) for k, v in close_features(F.col("_closes")).items()])
-        said = F.col("close") * F.exp("prediction")
-        state = model.transform(state).select("symbol", "_last", "_closes", "_path", *held, said.alias("_said"))
-        state = state.select("symbol", "_last", *held, F.concat("_path", F.array("_said")).alias("_path"),
+        said = F.greatest(F.least(F.col("close") * F.exp("prediction"), F.col("_most")), F.col("_least"))
+        state = model.transform(state).select("symbol", "_last", "_closes", "_path", "_least", "_most", *held, said.alias("_said"))
+        state = state.select("symbol", "_last", "_least", "_most", *held, F.concat("_path", F.array("_said")).alias("_path"),
                              F.concat(F.slice("_closes", F.greatest(F.lit(1), F.size("_closes") - HISTORY + 2), F.lit(HISTORY)),
                                       F.array("_said")).alias("_closes"))
         if step % cut_every == cut_every - 1:
