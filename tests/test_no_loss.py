@@ -36,6 +36,22 @@ def test_good_and_rejects_are_the_input(dirty, with_seq):
     assert got == sorted(map(str, C.cast_types(df).select(*good.columns).collect()))
 
 
+def _filters(df):
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return [line for line in plan.splitlines() if "Filter" in line]
+
+
+def test_rejects_of_text_parse_a_value_once(dirty):
+    """No filter repeats the parsing: each mention of a price would be one more."""
+    text = dirty.select(*[F.col(c).cast("string").alias(c) if c != "ingest_seq" else F.col(c) for c in dirty.columns])
+    good, bad = C.validate(text)
+    assert _filters(bad) and not [f for f in _filters(bad) if "cast" in f]
+    plan = bad._jdf.queryExecution().optimizedPlan().toString()
+    assert all(line.count("try_cast") <= 6 for line in plan.splitlines())
+    assert sorted(map(str, good.unionByName(bad.drop("reject_reason")).collect())) == sorted(
+        map(str, C.cast_types(text).select(*good.columns).collect()))
+
+
 def test_null_keys_keep_their_rows(dirty):
     assert C.fill_prices(dirty).count() == dirty.count()
     x = seq.with_position(dirty, tiebreak=("ingest_seq",))

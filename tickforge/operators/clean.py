@@ -52,7 +52,9 @@ def finite(c: F.Column) -> F.Column:
 
 
 def cast_types(df: DataFrame, date_col: str = "date") -> DataFrame:
-    """date -> timestamp_ntz, numbers -> double; unparsable, NaN and infinite values become null."""
+    """date -> timestamp_ntz, numbers -> double; unparsable, NaN and infinite values become null.
+
+    Two projections: ``finite`` names its column three times, and each would parse."""
     out = []
     types = dict(df.dtypes)
     for c in df.columns:
@@ -63,12 +65,23 @@ def cast_types(df: DataFrame, date_col: str = "date") -> DataFrame:
                 out.append(F.col(c).cast("timestamp_ntz").alias(c))
         elif c in S.OHLCV:
             if types[c] == "string":
-                out.append(finite(F.expr(f"try_cast(trim(`{c}`) as double)")).alias(c))
+                out.append(F.expr(f"try_cast(trim(`{c}`) as double)").alias(c))
             else:
-                out.append(finite(F.col(c).cast("double")).alias(c))
+                out.append(F.col(c).cast("double").alias(c))
         else:
             out.append(F.col(c))
-    return df.select(*out)
+    read = df.select(*out)
+    return read.select(*[finite(F.col(c)).alias(c) if c in S.OHLCV and c != date_col else F.col(c)
+                         for c in df.columns])
+
+
+def computed(df: DataFrame) -> DataFrame:
+    """The same rows as output of a generator, which no filter is pushed through.
+
+    Else the optimizer copies the parsing of a column into each of its mentions in a
+    later filter, which makes methods too large for Java's compiler.
+    """
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
 
 
 def null_report(df: DataFrame, columns=S.OHLCV, key: str | None = "symbol") -> DataFrame:
@@ -252,7 +265,7 @@ def validate(df: DataFrame, order: str = "ingest_seq") -> tuple[DataFrame, DataF
     Rules: null symbol, null date, broken price relation, negative volume,
     superseded duplicate of (symbol, date).
     """
-    x = _prepare(df)
+    x = computed(_prepare(df))
     reason = (F.when(F.col("symbol").isNull(), F.lit("null_symbol"))
               .when(F.col("date").isNull(), F.lit("null_date"))
               .when(F.coalesce(price_relation_broken(), F.lit(False)),
@@ -261,13 +274,14 @@ def validate(df: DataFrame, order: str = "ingest_seq") -> tuple[DataFrame, DataF
     x = x.withColumn("reject_reason", reason)
     ok = x.filter(F.col("reject_reason").isNull()).drop("reject_reason")
     # Equal rows are counted once, map-side; of each key the last row stays once,
-    # every other copy is a reject, so good + rejects = input.
+    # every other copy is a reject, so good + rejects = input. The last row takes its
+    # count along, so that all readers of ``rows`` share one shuffle.
     rest = [c for c in ok.columns if c not in S.KEY]
     rows = ok.groupBy(*ok.columns).agg(F.count(F.lit(1)).alias("_copies"))
     rank = F.struct(order, *[c for c in rest if c != order]) if order in rest else F.struct(*rest)
-    best = rows.groupBy(*S.KEY).agg(F.max_by(F.struct(*rest), rank).alias("_best"))
+    best = rows.groupBy(*S.KEY).agg(F.max_by(F.struct(*rest, "_copies"), rank).alias("_best"))
     good = best.select(*S.KEY, "_best.*").select(*ok.columns)
-    spare = F.col("_copies") - F.struct(*rest).eqNullSafe(F.col("_best")).cast("int")
+    spare = F.col("_copies") - F.struct(*rest, "_copies").eqNullSafe(F.col("_best")).cast("int")
     superseded = (rows.join(best, list(S.KEY)).withColumn("_spare", spare).where("_spare > 0")
                   .select(*ok.columns, F.explode(F.sequence(F.lit(1), F.col("_spare").cast("int"))).alias("_n"))
                   .drop("_n"))
