@@ -52,6 +52,20 @@ def test_rejects_of_text_parse_a_value_once(dirty):
         map(str, C.cast_types(text).select(*good.columns).collect()))
 
 
+def test_bars_and_rejects_share_one_count_of_rows(dirty):
+    """Derived prices are not computed again in a filter, and the rows that are
+    counted per key are shuffled once, not for the bars and the rejects each."""
+    df = dirty.unionByName(dirty).withColumn("high", F.when(F.col("ingest_seq") % 37 == 0, 3.25 * F.col("high")).otherwise(F.col("high")))
+    good, bad = C.validate(df)
+    both = good.withColumn("reject_reason", F.lit("kept")).unionByName(bad)
+    assert _filters(both) and not [f for f in _filters(both) if "3.25" in f]
+    got = both.groupBy("reject_reason").agg(F.count("*").alias("n"))
+    counts = {r.reject_reason: r.n for r in got.collect()}
+    assert sum(counts.values()) == 2 * dirty.count() and counts["kept"] == good.count()
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "ReusedExchange" in plan
+
+
 def test_null_keys_keep_their_rows(dirty):
     assert C.fill_prices(dirty).count() == dirty.count()
     x = seq.with_position(dirty, tiebreak=("ingest_seq",))
